@@ -14,18 +14,19 @@ DISCOVERY_WINDOW_US = 5_000_000
 
 
 def settle_tracks(announcements: DataFrame, gap_us: int = SETTLE_GAP_US, feed: str = "feed_id", at: str = "announce_us",
-                  tie: str = "track", first_wait_us: int | None = None, span_us: int = 86_400_000_000) -> DataFrame:
+                  tie: str = "track", first_wait_us: int | None = None, span_us: int = 86_400_000_000,
+                  **kw) -> DataFrame:
     """Announcements with ``settled``: true until the first quiet gap of their feed.
 
     ``first_wait_us`` keeps the set open for that long after the first track.
     """
-    d = running(announcements, [feed], [at, tie], [prev_row("__prev", F.col(at))], span=span_us)
+    d = running(announcements, [feed], [at, tie], [prev_row("__prev", F.col(at))], span=span_us, **kw)
     if first_wait_us:
         start = announcements.groupBy(feed).agg(F.min(at).alias("__start"))
         d = d.join(start, [feed])
         d = d.withColumn("__prev", F.greatest("__prev", F.when(F.col("__prev").isNotNull(), F.col("__start") + (first_wait_us - gap_us))))
     gap = F.when(F.col(at) - F.col("__prev") > gap_us, 1).otherwise(0).cast("bigint")
-    d = running(d, [feed], [at, tie], [run_sum("__session", gap)], span=span_us)
+    d = running(d, [feed], [at, tie], [run_sum("__session", gap)], span=span_us, **kw)
     return d.withColumn("settled", F.col("__session") == 0).drop("__prev", "__session", "__start")
 
 

@@ -28,11 +28,11 @@ from medialake.session import checkpoint_dir
 
 CHUNK = "__chunk"
 SEQ_SPAN = 1 << 20
-SPAN_CONF = "medialake.sequence.span"
+SPAN_CONF = "spark.medialake.sequence.span"
 
 
 def seq_span(spark: SparkSession) -> int:
-    """Rows of one key that one task orders; ``medialake.sequence.span`` overrides it."""
+    """Rows of one key that one task orders; ``spark.medialake.sequence.span`` overrides it."""
     return int(spark.conf.get(SPAN_CONF, str(SEQ_SPAN)))
 
 

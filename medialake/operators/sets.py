@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions.text import OPEN_END
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import row_index, run_max, run_sum, running, seq_span
+from medialake.operators.ordered import find_hot, row_index, run_max, run_sum, running, seq_span
 
 RANGE_SPAN_MS = 3600_000
 SAP_EVENT_TYPE = "org.ietf.moq.cmsf.sap"
@@ -55,7 +55,7 @@ def plan_dependencies(tracks: DataFrame, asset: str = "asset_id", **kw) -> DataF
 
 
 def build_plan(frags: DataFrame, tracks: DataFrame, sap: bool = True, timeline: bool = True, asset: str = "asset_id",
-               seq: str = "arrival_seq", span: int | None = None) -> DataFrame:
+               seq: str = "arrival_seq", span: int | None = None, **kw) -> DataFrame:
     """All objects of an asset in publish order: catalog, media, timeline, SAP timelines."""
     media = frags.select(asset, "track_name", "group_id", "object_id", F.col(seq).cast("bigint").alias("__seq"),
                          F.lit(SECTIONS["media"]).alias("__section"), F.lit("media").alias("kind"))
@@ -73,7 +73,7 @@ def build_plan(frags: DataFrame, tracks: DataFrame, sap: bool = True, timeline:
         out = out.unionByName(synthetic(tracks, sap_track_name(F.col("track_name")), "sap", "metadata", F.col("track_id").cast("bigint")))
     width = span or seq_span(frags.sparkSession)
     plan = row_index(out, [asset], ["__section", "__seq"], "plan_index",
-                     chunk=F.struct(F.col("__section").alias("s"), idiv("__seq", width).alias("b")))
+                     chunk=F.struct(F.col("__section").alias("s"), idiv("__seq", width).alias("b")), **kw)
     return plan.drop("__section", "__seq")
 
 
@@ -101,7 +101,7 @@ def program_pids(pat: DataFrame, pmt: DataFrame, file: str = "file_id") -> DataF
     return streams.unionByName(tables).distinct()
 
 
-def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: int | None = None) -> DataFrame:
+def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: int | None = None, **kw) -> DataFrame:
     """Union of overlapping ranges per key; touching but not overlapping ranges stay apart.
 
     Equal starts are reduced to their largest end first, so a chunk holds at
@@ -120,9 +120,11 @@ def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: i
     d = ranges.select(*keys, start.alias("__s"), end.alias("__e"), F.col(lead).alias("__lead"))
     d = d.groupBy(*keys, "__s", "__lead").agg(F.max("__e").alias("__e"))
     chunk = idiv("__lead", width)
-    d = running(d, keys, ["__s"], [run_max("__reach", F.col("__e"), exclusive=True)], chunk=chunk)
+    if "hot" not in kw:
+        kw["hot"] = find_hot(ranges, keys)
+    d = running(d, keys, ["__s"], [run_max("__reach", F.col("__e"), exclusive=True)], chunk=chunk, **kw)
     head = F.col("__reach").isNull() | (F.col("__s") > F.col("__reach"))
-    d = running(d, keys, ["__s"], [run_sum("__island", F.when(head, 1).otherwise(0).cast("bigint"))], chunk=chunk)
+    d = running(d, keys, ["__s"], [run_sum("__island", F.when(head, 1).otherwise(0).cast("bigint"))], chunk=chunk, **kw)
     m = d.groupBy(*keys, "__island").agg(F.min("__s").alias("s"), F.max("__e").alias("e")).drop("__island")
 
     def closed(c):

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries on order: end flags, deltas, transitions, send order, latest-first, plans, ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from medialake.operators import order, relate, sequence, sets
+from medialake.plans.registry import query
+from medialake.plans.relations import _MATCH, _subs
+
+
+@query("W9_end_flags", """
+WITH s AS (SELECT broadcast_id, track_name, group_id, subgroup_id, max(object_id) AS m FROM objects_v GROUP BY 1, 2, 3, 4)
+SELECT broadcast_id, plan_index,
+  coalesce(max(object_id) OVER (PARTITION BY broadcast_id, track_name, group_id ORDER BY plan_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= object_id, true) AS final_in_group,
+  coalesce(max(object_id) OVER (PARTITION BY broadcast_id, track_name, group_id, subgroup_id ORDER BY plan_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= object_id, true) AS final_in_subgroup,
+  NOT EXISTS (SELECT 1 FROM s WHERE s.broadcast_id = o.broadcast_id AND s.track_name = o.track_name AND s.group_id = o.group_id
+              AND s.subgroup_id <> o.subgroup_id AND s.m > o.object_id) AS contains_group_largest
+FROM objects_v o""")
+def _(v):
+    return sequence.end_flags(v.objects, hot=v.hot_broadcasts).select(
+        "broadcast_id", "plan_index", "final_in_group", "final_in_subgroup", "contains_group_largest")
+
+
+@query("W10_id_delta", """
+SELECT broadcast_id, plan_index, coalesce(object_id - lag(object_id) OVER (PARTITION BY broadcast_id, track_name, group_id, subgroup_id ORDER BY plan_index) - 1, object_id) AS id_delta
+FROM objects_v""")
+def _(v):
+    return sequence.object_id_delta(v.objects, hot=v.hot_broadcasts).select("broadcast_id", "plan_index", "id_delta")
+
+
+@query("W14_group_transitions", """
+SELECT broadcast_id, track_name, plan_index, group_id, p AS closed_group FROM
+ (SELECT *, lag(group_id) OVER (PARTITION BY broadcast_id, track_name ORDER BY plan_index) AS p FROM objects_v) WHERE p IS NULL OR p <> group_id""")
+def _(v):
+    return sequence.group_transitions(v.objects, hot=v.hot_broadcasts).select("broadcast_id", "track_name", "plan_index", "group_id", "closed_group")
+
+
+@query("O1_send_order", f"""
+WITH m AS (SELECT s.request_id, o.broadcast_id, o.plan_index, o.media_time_us FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name WHERE {_MATCH}),
+r AS (SELECT *, max((media_time_us - (plan_index % 5) * 40000000000, plan_index)) OVER (PARTITION BY request_id ORDER BY plan_index ROWS UNBOUNDED PRECEDING) AS head FROM m)
+SELECT broadcast_id, request_id, plan_index, CAST(dense_rank() OVER (PARTITION BY broadcast_id ORDER BY head, plan_index) AS BIGINT) AS send_seq FROM r""")
+def _(v):
+    o = v.objects.select("track_name", "broadcast_id", "plan_index", "group_id", "object_id",
+                         (F.col("media_time_us") - (F.col("plan_index") % 5) * F.lit(40000000000)).alias("media_time_us"))
+    m = relate.match_subscriptions(_subs(v), o).select("request_id", "broadcast_id", "plan_index", "media_time_us")
+    # A broadcast has at most objects x subscriptions matches; only one above the task size needs splitting.
+    hot = v.hot_matches
+    return order.send_order(m, hot=hot).select("broadcast_id", "request_id", "plan_index", "send_seq")
+
+
+@query("O2_next_object", f"""
+SELECT s.request_id, n AS next_index FROM subs_v s LEFT JOIN (SELECT s.request_id, min(plan_index) AS n FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name
+  WHERE {_MATCH} AND o.plan_index >= s.request_id % 3000 GROUP BY 1) USING (request_id)""")
+def _(v):
+    s = _subs(v).withColumn("position", F.col("request_id") % 3000)
+    o = v.objects.select("track_name", "plan_index", "group_id", "object_id")
+    return order.next_object(s, o).select("request_id", "next_index")
+
+
+@query("O3_latest_groups", """
+SELECT broadcast_id, plan_index, group_id FROM (SELECT *, max(group_id) OVER (PARTITION BY broadcast_id) AS m FROM objects_v) WHERE group_id >= m - 1""")
+def _(v):
+    return order.retain_latest_groups(v.objects, feed="broadcast_id", hot=v.hot_broadcasts).select("broadcast_id", "plan_index", "group_id")
+
+
+@query("O4_newest_objects", """
+SELECT session_id, arrival_seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival_seq DESC) AS r FROM shared_v) WHERE r <= 128""")
+def _(v):
+    return order.retain_newest(v.shared, hot=v.hot_sessions).select("session_id", "arrival_seq")
+
+
+@query("U1_build_plan", """
+WITH a AS (SELECT asset_id, 0 AS sec, 0 AS s, 'catalog' AS track_name, 0 AS group_id, 0 AS object_id, 'initialization' AS kind FROM tracks_v GROUP BY 1
+ UNION ALL SELECT broadcast_id, 1, plan_index, track_name, group_id, object_id, 'media' FROM objects_v
+ UNION ALL SELECT asset_id, 2, 0, 'timeline', 0, 0, 'metadata' FROM tracks_v GROUP BY 1
+ UNION ALL SELECT asset_id, 3, track_id, track_name || '_sap', 0, 0, 'metadata' FROM tracks_v)
+SELECT asset_id, track_name, group_id, object_id, kind, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY sec, s) - 1 AS BIGINT) AS plan_index FROM a""")
+def _(v):
+    f = v.objects.select(F.col("broadcast_id").alias("asset_id"), "track_name", "group_id", "object_id", F.col("plan_index").alias("arrival_seq"))
+    return sets.build_plan(f, v.tracks, hot=v.hot_assets)
+
+
+@query("U1_plan_tracks", """
+WITH m AS (SELECT asset_id, max(track_id) AS mx FROM tracks_v GROUP BY 1)
+SELECT asset_id, 0 AS track_id, 'catalog' AS track_name, 'catalog' AS packaging, NULL AS depends_on FROM m
+UNION ALL SELECT asset_id, track_id, track_name, 'cmaf', NULL FROM tracks_v
+UNION ALL SELECT asset_id, mx + 1, 'timeline', 'mediatimeline', NULL FROM m
+UNION ALL SELECT asset_id, mx + 1 + row_number() OVER (PARTITION BY asset_id ORDER BY track_id), track_name || '_sap', 'eventtimeline', track_name FROM tracks_v JOIN m USING (asset_id)""")
+def _(v):
+    return sets.plan_tracks(v.tracks).select("asset_id", "track_id", "track_name", "packaging", "depends_on")
+
+
+@query("U1_plan_dependencies", """
+SELECT asset_id, 'timeline' AS track_name, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY track_id) - 1 AS BIGINT) AS position, track_name AS depends_on FROM tracks_v
+UNION ALL SELECT asset_id, track_name || '_sap', 0, track_name FROM tracks_v""")
+def _(v):
+    return sets.plan_dependencies(v.tracks)
+
+
+@query("U3_announced_tracks", """
+SELECT feed_id, 'catalog' AS track_name FROM announce_v GROUP BY 1 UNION ALL SELECT feed_id, track FROM announce_v""")
+def _(v):
+    reg = v.announcements.select("feed_id", F.col("track").alias("track_name"))
+    cat = v.table("customer").select(F.col("c_custkey").alias("feed_id"), F.lit("catalog").alias("track_name"))
+    return sets.announced_tracks(cat, reg)
+
+
+@query("U5_merge_time_ranges", """
+WITH o AS (SELECT link_id, start_ms, coalesce(end_ms, 9223372036854775807) AS e FROM links_v),
+m AS (SELECT *, max(e) OVER (PARTITION BY link_id ORDER BY start_ms, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY link_id ORDER BY start_ms, e ROWS UNBOUNDED PRECEDING) AS isl FROM m)
+SELECT link_id, min(start_ms) AS start_ms, nullif(max(e), 9223372036854775807) AS end_ms FROM i GROUP BY link_id, isl""")
+def _(v):
+    return sets.merge_ranges(v.links.select("link_id", "start_ms", "end_ms"), ["link_id"], hot=v.hot_links)
+
+
+@query("U5_merge_location_ranges", """
+WITH o AS (SELECT link_id, start_group * 100000 + coalesce(start_object, 0) AS s,
+   CASE WHEN end_group IS NULL THEN 9000000000 ELSE end_group * 100000 + coalesce(end_object, 99999) END AS e FROM links_v),
+m AS (SELECT *, max(e) OVER (PARTITION BY link_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY link_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m),
+r AS (SELECT link_id, min(s) AS s, max(e) AS e FROM i GROUP BY link_id, isl)
+SELECT link_id, s // 100000 AS start_group, s % 100000 AS start_object, CASE WHEN e < 9000000000 THEN e // 100000 END AS end_group,
+  CASE WHEN e < 9000000000 AND e % 100000 <> 99999 THEN e % 100000 END AS end_object FROM r""")
+def _(v):
+    return sets.merge_ranges(v.links.select("link_id", "start_group", "start_object", "end_group", "end_object"), ["link_id"], "location", hot=v.hot_links)

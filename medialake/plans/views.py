@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv, micros_of
-from medialake.operators.ordered import HotKeys, find_hot, row_index
+from medialake.operators.ordered import HotKeys, find_hot, row_index, seq_span, stage
 
 EPOCH_US = 1704067200000000  # first instant of the events table's year
 
@@ -186,10 +186,10 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     ctes = ", ".join(f"{n} AS ({SQL[n].strip()})" for n in needed)
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes}, {body[5:]}"
     if body[:15].upper() == "WITH RECURSIVE ":
         return f"WITH RECURSIVE {ctes}, {body[15:]}"
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
 
 
@@ -229,6 +229,22 @@ class Views:
         rows = self.hot_shards.rows
         return HotKeys(("asset_id",), None if rows is None else rows.select(idiv("shard", 2).alias("asset_id")).distinct())
 
+    @cached_property
+    def hot_links(self) -> HotKeys:
+        return find_hot(self.table("orders").select(F.col("o_custkey").alias("link_id")), ["link_id"])
+
+    @cached_property
+    def hot_files(self) -> HotKeys:
+        return find_hot(self.table("events").select((F.col("user_id") % 10).alias("file_id")), ["file_id"])
+
+    @cached_property
+    def hot_matches(self) -> HotKeys:
+        """Broadcasts whose subscriptions times objects pass the size of one task: a bound on their matches."""
+        o = self.table("events").groupBy(F.col("user_id").alias("broadcast_id")).agg(F.count(F.lit(1)).alias("n"))
+        s = self.table("orders").groupBy(idiv("o_custkey", 10).alias("broadcast_id")).agg(F.count(F.lit(1)).alias("m"))
+        big = o.join(s, ["broadcast_id"]).where(F.col("n") * F.col("m") > seq_span(self.spark)).select("broadcast_id")
+        return HotKeys(("broadcast_id",), None if big.isEmpty() else stage(big))
+
     @cached_property
     def hot_runs(self) -> HotKeys:
         return find_hot(self.table("lineitem").select(F.col("l_orderkey").alias("asset_id")), ["asset_id"])
