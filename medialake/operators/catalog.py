@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from medialake.functions.text import is_uuid, percent_ok
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running
+from medialake.operators.ordered import (
+    HotKeys, find_hot, ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running, with_key_totals,
+)
 from medialake.operators.relate import dangling_protection_refs, dangling_refs
 from medialake.operators.rollup import duplicate_keys
 
@@ -209,35 +211,53 @@ def catalogs_equal(a: Catalog, b: Catalog, broadcast: str = "broadcast_id", orde
 
 # ---------------------------------------------------------------- change log
 
-def version_changes(snapshots: DataFrame, versions: DataFrame | None = None, broadcast: str = "broadcast_id") -> DataFrame:
-    """Track-level changes of each version against the version before: rows (broadcast, version_seq, namespace, name, op).
+def _versions(snapshots: DataFrame, versions: DataFrame | None, broadcast: str, hot: HotKeys) -> DataFrame:
+    """One row per version with its ordinal, its broadcast's last ordinal and the change flags."""
+    flags = ("other_changed", "header_changed", "ended")
+    source = snapshots if versions is None else versions
+    given = [c for c in flags if versions is not None and c in versions.columns]
+    v = source.select(broadcast, "version_seq", *given).distinct()
+    v = v.withColumns({c: F.lit(False) for c in flags if c not in given})
+    v = row_index(v, [broadcast], ["version_seq"], "version_no", hot=hot)
+    return with_key_totals(v, [broadcast], {"last_no": F.max("version_no")}, hot)
 
-    ``op`` is add, remove or change. A track's rows are compared with that
-    track's own previous row, so neither a self-join of whole snapshots nor a
-    list of a snapshot's tracks is needed.
-    """
+
+def _track_events(snapshots: DataFrame, versions: DataFrame, broadcast: str, hot: HotKeys) -> DataFrame:
     key = [broadcast, "namespace", "name"]
     s = snapshots.withColumn("namespace", F.coalesce("namespace", F.lit("")))
-    listed = snapshots.select(broadcast, "version_seq") if versions is None else versions.select(broadcast, "version_seq")
-    order = row_index(listed.distinct(), [broadcast], ["version_seq"], "version_no")
     body = F.struct(*_comparable(s, {*key, "version_seq", "position"})).alias("__b")
-    d = s.join(order, [broadcast, "version_seq"]).select(*key, "version_no", body)
-    d = running(d, key, ["version_no"], [prev_row("__prev", F.struct(F.col("version_no").alias("n"), F.col("__b").alias("b")))])
-    d = running(d, key, ["version_no"], [prev_row("__next_no", F.col("version_no"))], reverse=True)
-    last = order.groupBy(broadcast).agg(F.max("version_no").alias("__last"))
-    d = d.join(last, [broadcast])
+    d = s.join(versions.select(broadcast, "version_seq", "version_no", "last_no"), [broadcast, "version_seq"])
+    d = d.select(*key, "version_no", "last_no", body)
+    d = running(d, key, ["version_no"], [prev_row("__prev", F.struct(F.col("version_no").alias("n"), F.col("__b").alias("b")))], hot=hot)
+    d = running(d, key, ["version_no"], [prev_row("__next_no", F.col("version_no"))], reverse=True, hot=hot)
     contiguous = F.col("__prev").isNotNull() & (F.col("__prev.n") == F.col("version_no") - 1)
-    here = F.when(~contiguous, "add").when(~F.col("__prev.b").eqNullSafe(F.col("__b")), "change")
-    leaves = (F.col("version_no") < F.col("__last")) & (F.col("__next_no").isNull() | (F.col("__next_no") > F.col("version_no") + 1))
+    here = (
+        F.when(contiguous & ~F.col("__prev.b").eqNullSafe(F.col("__b")), "change")
+        .when(~contiguous & (F.col("version_no") > 0), "add")
+    )
+    leaves = (F.col("version_no") < F.col("last_no")) & (F.col("__next_no").isNull() | (F.col("__next_no") > F.col("version_no") + 1))
     events = F.array_compact(F.array(
         F.when(here.isNotNull(), F.struct(F.col("version_no").alias("version_no"), here.alias("op"))),
         F.when(leaves, F.struct((F.col("version_no") + 1).alias("version_no"), F.lit("remove").alias("op")))))
-    rows = d.select(*key, F.explode(events).alias("e")).select(*key, "e.version_no", "e.op")
-    return rows.join(order, [broadcast, "version_no"]).drop("version_no")
+    return d.select(*key, F.explode(events).alias("e")).select(*key, "e.version_no", "e.op")
+
+
+def version_changes(snapshots: DataFrame, versions: DataFrame | None = None, broadcast: str = "broadcast_id",
+                    hot: HotKeys | None = None) -> DataFrame:
+    """Track-level changes of each version against the one before: (broadcast, version_seq, namespace, name, op).
+
+    ``op`` is add, remove or change. A track's rows are compared with that
+    track's own previous row, so neither a self-join of whole snapshots nor a
+    list of a snapshot's tracks is needed.
+    """
+    hot = hot or find_hot(snapshots, [broadcast])
+    v = _versions(snapshots, versions, broadcast, hot)
+    rows = _track_events(snapshots, v, broadcast, hot)
+    return rows.join(v.select(broadcast, "version_no", "version_seq"), [broadcast, "version_no"]).drop("version_no")
 
 
 def catalog_log(snapshots: DataFrame, max_deltas: int = MAX_DELTAS, versions: DataFrame | None = None,
-                broadcast: str = "broadcast_id") -> DataFrame:
+                broadcast: str = "broadcast_id", hot: HotKeys | None = None) -> DataFrame:
     """Published catalog objects of each broadcast: (version_seq, kind, group_id, object_id, added, removed).
 
     ``versions`` (optional) lists every version with flags: ``other_changed``
@@ -248,37 +268,32 @@ def catalog_log(snapshots: DataFrame, max_deltas: int = MAX_DELTAS, versions: Da
     forced by content, the p-th emitted version is independent again exactly
     when p is a multiple of ``max_deltas + 1``.
     """
-    changes = version_changes(snapshots, versions, broadcast)
-    key = [broadcast, "version_seq"]
-    per = changes.groupBy(*key).agg(
-        F.sum(F.when(F.col("op") == "add", 1).otherwise(0)).cast("bigint").alias("added"),
-        F.sum(F.when(F.col("op") == "remove", 1).otherwise(0)).cast("bigint").alias("removed"),
-        F.max(F.when(F.col("op") == "change", 1).otherwise(0)).alias("__changed"))
-    v = (snapshots if versions is None else versions).select(
-        *key, *[F.col(c) for c in ("other_changed", "header_changed", "ended") if versions is not None and c in versions.columns]).distinct()
-    for c in ("other_changed", "header_changed", "ended"):
-        if c not in v.columns:
-            v = v.withColumn(c, F.lit(False))
-    first = v.groupBy(broadcast).agg(F.min("version_seq").alias("__first"))
-    d = v.join(per, key, "left").join(first, [broadcast]).na.fill(0, ["added", "removed", "__changed"])
-    d = running(d, [broadcast], ["version_seq"], [run_max("__over", F.when(F.col("ended"), 1).otherwise(0), exclusive=True)])
+    hot = hot or find_hot(snapshots, [broadcast])
+    v = _versions(snapshots, versions, broadcast, hot)
+    key = [broadcast, "version_no"]
+
+    def count_of(op: str) -> Column:
+        return F.sum(F.when(F.col("op") == op, 1).otherwise(0)).cast("bigint")
+
+    per = _track_events(snapshots, v, broadcast, hot).groupBy(*key).agg(
+        count_of("add").alias("added"), count_of("remove").alias("removed"), count_of("change").alias("__changed"))
+    d = v.join(per, key, "left").na.fill(0, ["added", "removed", "__changed"])
+    d = running(d, [broadcast], ["version_seq"], [run_max("__over", F.when(F.col("ended"), 1).otherwise(0), exclusive=True)], hot=hot)
     moved = (F.col("added") + F.col("removed")) > 0
-    is_first = F.col("version_seq") == F.col("__first")
-    emitted = is_first | moved | (F.col("__changed") == 1) | F.col("other_changed") | F.col("header_changed") | F.col("ended")
-    forced = is_first | (F.col("__changed") == 1) | F.col("other_changed") | ~moved | F.col("ended")
+    first, changed = F.col("version_no") == 0, F.col("__changed") > 0
+    emitted = first | moved | changed | F.col("other_changed") | F.col("header_changed") | F.col("ended")
+    forced = first | changed | F.col("other_changed") | ~moved | F.col("ended")
     live = d.where(emitted & (F.coalesce("__over", F.lit(0)) == 0)).withColumn("__forced", F.when(forced, 1).otherwise(0).cast("bigint"))
-    live = running(live, [broadcast], ["version_seq"], [run_sum("__run", F.col("__forced"))])
-    live = row_index(live, [broadcast, "__run"], ["version_seq"], "__p")
-    cycle = max_deltas + 1
-    live = live.withColumn("object_id", F.col("__p") % cycle)
-    live = running(live, [broadcast], ["version_seq"], [run_sum("__ind", F.when(F.col("object_id") == 0, 1).otherwise(0).cast("bigint"))])
+    live = running(live, [broadcast], ["version_seq"], [run_sum("__run", F.col("__forced"))], hot=hot)
+    live = row_index(live, [broadcast, "__run"], ["version_seq"], "__p", hot=hot)
+    live = live.withColumn("object_id", F.col("__p") % (max_deltas + 1))
     independent = F.col("object_id") == 0
+    live = running(live, [broadcast], ["version_seq"], [run_sum("__ind", F.when(independent, 1).otherwise(0).cast("bigint"))], hot=hot)
     return live.select(
-        *key,
+        broadcast, "version_seq",
         F.when(independent, "independent").otherwise("delta").alias("kind"),
         (F.col("__ind") - 1).alias("group_id"), "object_id", F.lit(0).cast("bigint").alias("subgroup_id"),
-        F.when(independent, F.lit(None)).otherwise(F.col("added")).alias("added"),
-        F.when(independent, F.lit(None)).otherwise(F.col("removed")).alias("removed"))
+        F.when(~independent, F.col("added")).alias("added"), F.when(~independent, F.col("removed")).alias("removed"))
 
 
 def delta_operations(log: DataFrame, changes: DataFrame, broadcast: str = "broadcast_id") -> DataFrame:

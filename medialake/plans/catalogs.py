@@ -96,7 +96,17 @@ FROM walk WHERE emitted"""
 
 @query("L2_catalog_log", _LOG_SQL)
 def _(v):
-    return catalog.catalog_log(v.snapshots)
+    return catalog.catalog_log(v.snapshots, hot=v.hot_nations)
+
+
+@query("L2_version_changes", _LOG_SQL[:_LOG_SQL.index("chg AS (")].replace("RECURSIVE ", "").rstrip().rstrip(",") + """
+SELECT c.broadcast_id, v.version_seq, namespace, name, op FROM (
+   SELECT coalesce(a.broadcast_id, b.broadcast_id) AS broadcast_id, coalesce(a.vn, b.vn + 1) AS vn, 'ns' AS namespace, coalesce(a.name, b.name) AS name,
+     CASE WHEN b.name IS NULL THEN 'add' WHEN a.name IS NULL THEN 'remove' WHEN a.bitrate <> b.bitrate THEN 'change' END AS op
+   FROM s a FULL JOIN s b ON a.broadcast_id = b.broadcast_id AND a.name = b.name AND a.vn = b.vn + 1) c
+JOIN ver v ON v.broadcast_id = c.broadcast_id AND v.vn = c.vn WHERE op IS NOT NULL AND v.vn > 1""")
+def _(v):
+    return catalog.version_changes(v.snapshots, hot=v.hot_nations)
 
 
 @query("L3_convert_to_vod", """

@@ -233,6 +233,13 @@ class Views:
     def hot_links(self) -> HotKeys:
         return find_hot(self.table("orders").select(F.col("o_custkey").alias("link_id")), ["link_id"])
 
+    @cached_property
+    def hot_nations(self) -> HotKeys:
+        """Broadcasts of the snapshot view: a bound from each nation's customers times 80 versions."""
+        n = self.table("customer").groupBy(F.col("c_nationkey").cast("bigint").alias("broadcast_id")).agg((80 * F.count(F.lit(1))).alias("n"))
+        big = n.where(F.col("n") > seq_span(self.spark)).select("broadcast_id")
+        return HotKeys(("broadcast_id",), None if big.isEmpty() else stage(big))
+
     @cached_property
     def hot_files(self) -> HotKeys:
         return find_hot(self.table("events").select((F.col("user_id") % 10).alias("file_id")), ["file_id"])
