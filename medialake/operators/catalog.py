@@ -411,7 +411,8 @@ def catalog_json(cat: Catalog, broadcast: str = "broadcast_id", order: str = "po
         if source is None:
             continue
         if name == "contentProtections":
-            rows, item = source, protection_json(source)
+            rows = source if order in source.columns else source.withColumn(order, F.col("ref_id").try_cast("bigint"))
+            item = protection_json(source)
         elif name == "publishTracks":
             rows = complete_tracks(source)
             item = track_json()

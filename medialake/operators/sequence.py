@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.functions.binary import be_uint, has_bit, slice_bytes
 from medialake.functions.timing import AAC_FRAME_SAMPLES, CLOCK_90K, idiv, presentation_micros, ticks_to_micros
 from medialake.operators.ordered import (
     HotKeys, find_hot, prev_row, row_index, run_count, run_last, run_max, run_sum, running, with_key_totals,
@@ -262,3 +263,35 @@ def expand_audio_frames(pes: DataFrame, frame_count: str = "frame_count", pts: s
 
 def occurrence(df: DataFrame, keys: list[str], order: list[str], name: str = "occurrence", **kw) -> DataFrame:
     return running(df, keys, order, [run_count(name)], **kw)
+
+
+def pes_samples(packets: DataFrame, keys: list[str] | None = None, seq: str = "packet_index", flush_last: bool = False, **kw) -> DataFrame:
+    """Packets to samples per (feed, pid): a unit start closes the sample before it.
+
+    The last open sample comes out only with ``flush_last``. Sample numbers and
+    closings are running values; only one sample's own packets are put together.
+    """
+    keys = keys or ["feed_id", "pid"]
+    if "hot" not in kw:
+        kw["hot"] = find_hot(packets, keys)
+    p = packets.where(F.col("payload").isNotNull())
+    d = running(p, keys, [seq], [run_sum("__unit", _flag(F.col("pusi")))], **kw).where("__unit > 0")
+    last = with_key_totals(d.select(*keys, seq, "__unit", "pusi", "payload"), keys, {"__last": F.max("__unit")}, kw["hot"])
+    done = last if flush_last else last.where("__unit < __last")
+    head, body = be_uint("payload", 0, 3) == 1, F.col("payload")
+    stamped = (F.length(body) >= 14) & has_bit(be_uint("payload", 7, 1), 0x80)
+    bits = [(9, 1, 0x07, 30), (10, 0, 0xFF, 22), (11, 1, 0x7F, 15), (12, 0, 0xFF, 7), (13, 1, 0x7F, 0)]
+    pts = sum((F.shiftleft(F.shiftright(be_uint("payload", at, 1), right).bitwiseAND(F.lit(mask).cast("bigint")), left) for at, right, mask, left in bits),
+              F.lit(0).cast("bigint"))
+    whole = (F.length(body) >= 9) & head
+    start = 9 + be_uint("payload", 8, 1)
+    rest = F.when(whole & (start < F.length(body)), slice_bytes("payload", start, F.length(body) - start)).otherwise(F.lit(b""))
+    done = done.withColumns({
+        "__data": F.when(F.col("pusi"), rest).otherwise(body),
+        "__pts": F.when(F.col("pusi"), F.when(whole & stamped, pts).otherwise(0)),
+    })
+    s = done.groupBy(*keys, "__unit").agg(
+        F.min(seq).alias(seq), F.max("__pts").alias("pts90k"),
+        F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("__data").alias("d")))).alias("__parts"))
+    joined = F.aggregate("__parts", F.lit(b""), lambda a, e: F.concat(a, e["d"]))
+    return s.select(*keys, seq, "pts90k", joined.alias("payload")).where(F.length("payload") > 0)

@@ -94,7 +94,8 @@ def announced_tracks(catalog: DataFrame, registered: DataFrame, feed: str = "fee
 
 def program_pids(pat: DataFrame, pmt: DataFrame, file: str = "file_id") -> DataFrame:
     """Pids of the picked program: 0, its table, its clock and its streams. ``pat``: file, program, pmt_pid."""
-    picked = pmt.join(pat.select(file, "program", "pmt_pid"), [file, "program"])
+    on = [file, "program", *(["pmt_pid"] if "pmt_pid" in pmt.columns else [])]
+    picked = pmt.join(pat.select(file, "program", "pmt_pid"), on)
     listed = F.array(F.lit(0).cast("bigint"), *[F.col(c).cast("bigint") for c in ("pmt_pid", "pcr_pid", "elementary_pid")])
     streams = picked.select(file, F.explode(listed).alias("pid"))
     tables = pat.select(file, F.explode(F.array(F.lit(0).cast("bigint"), F.col("pmt_pid").cast("bigint"))).alias("pid"))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medialake.functions.binary import be_int32, be_uint, fourcc, has_bit, slice_bytes
 from medialake.functions.text import language_tag, uuid_text
@@ -203,7 +204,7 @@ def scan_fragments(spark: SparkSession, path: str, glob: str | None = "*.mp4") -
 
 def attach_payload(rows: DataFrame, offset: str, size: str, name: str = "payload") -> DataFrame:
     """Read the bytes [offset, offset+size) of each row's ``path`` last, after all pruning."""
-    schema = rows.schema.add(name, "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
