@@ -130,13 +130,15 @@ def parse_links(urls: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame
             F.struct(r["s"]["g"].alias("group"), F.when(r["s"]["o"] != 0, r["s"]["o"]).alias("object")).alias("start"),
             F.when(r["e"]["g"] != OPEN_END, F.struct(r["e"]["g"].alias("group"), closed(r["e"]["o"]).alias("object"))).alias("end")))
 
-    keep = [F.col(c) for c in urls.columns]
-    links = d.where("error IS NULL").select(
-        *keep, "host", "port", "path", "path_explicit", "query", "namespace", "track_name",
+    fields = F.struct(
+        "host", "port", "path", "path_explicit", "query", "namespace", "track_name",
         F.get("__connection", F.lit(0)).alias("connection"), F.get("__c4m", F.lit(0)).alias("c4m_token"),
         times("__wall").alias("wallclock"), times("__media").alias("mediatime"), places("__loc").alias("location"),
-        F.filter("__pairs", lambda p: ~p["name"].isin(*known)).alias("extra_params"))
-    return links, d.where("error IS NOT NULL").select(*keep, "error")
+        F.filter("__pairs", lambda p: ~p["name"].isin(*known)).alias("extra_params"), "error")
+    # The generator keeps the filter on ``error`` above the parsed columns: pushed
+    # down it would repeat the whole parse tree in the predicate.
+    parsed = d.select(*urls.columns, F.inline(F.array(fields)))
+    return parsed.where("error IS NULL").drop("error"), parsed.where("error IS NOT NULL").select(*urls.columns, "error")
 
 
 def build_links(links: DataFrame, name: str = "url") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medialake.operators import order, relate, rollup, sequence, sets
-from medialake.operators.links import build_links
+from medialake.operators.links import build_links, parse_links
 from medialake.plans.registry import query
 
 _PROG = """
@@ -72,6 +72,10 @@ SELECT o_orderkey, 'moqt://h' || (o_custkey % 50) || '.example' || CASE WHEN o_o
   || CASE WHEN o_orderstatus = 'O' THEN '&connection=wt' ELSE '' END
   || '&mediatime-range=' || (o_orderkey % 900) || CASE WHEN o_orderkey % 2 = 0 THEN '-' || (o_orderkey % 900 + 50) ELSE '' END AS url FROM orders""")
 def _(v):
+    return _links(v)
+
+
+def _links(v):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     d = v.table("orders").select(
         "o_orderkey", F.concat(F.lit("h"), (c % 50).cast("string"), F.lit(".example")).alias("host"),
@@ -82,3 +86,28 @@ def _(v):
         F.when(F.col("o_orderstatus") == "O", "wt").alias("connection"),
         F.array(F.struct((o % 900).alias("start_ms"), F.when(o % 2 == 0, o % 900 + 50).alias("end_ms"))).alias("mediatime"))
     return build_links(d).select("o_orderkey", "url")
+
+
+_URL_SQL = """
+SELECT o_orderkey, 'h' || (o_custkey % 50) || '.example' AS host, CASE WHEN o_orderkey % 3 = 0 THEN 4000 + o_orderkey % 3 ELSE 443 END AS port,
+  CASE WHEN o_orderstatus = 'F' THEN '/relay' ELSE '' END AS path, 'live|c' || o_custkey AS namespace, 't' || (o_orderkey % 7) AS track_name,
+  CASE WHEN o_orderstatus = 'O' THEN 'wt' END AS connection, o_orderkey % 900 AS start_ms, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 900 + 50 END AS end_ms,
+  o_totalprice > 400000 AS broken FROM orders"""
+
+
+def _some_broken(v):
+    """The built links, those of the dearest orders with a second connection parameter."""
+    d = _links(v).join(v.table("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return d.select("o_orderkey", F.when(F.col("o_totalprice") > 400000, F.concat("url", F.lit("&connection=q&connection=q"))).otherwise(F.col("url")).alias("url"))
+
+
+@query("F2_parse_links", f"SELECT * EXCLUDE (broken) FROM ({_URL_SQL}) WHERE NOT broken")
+def _(v):
+    links, _rejects = parse_links(_some_broken(v))
+    return links.select("o_orderkey", "host", "port", "path", F.array_join("namespace", "|").alias("namespace"), "track_name", "connection",
+                        F.get("mediatime", F.lit(0))["start_ms"].alias("start_ms"), F.get("mediatime", F.lit(0))["end_ms"].alias("end_ms"))
+
+
+@query("F2_rejected_links", f"SELECT o_orderkey, 'connection is repeated' AS error FROM ({_URL_SQL}) WHERE broken")
+def _(v):
+    return parse_links(_some_broken(v))[1].select("o_orderkey", "error")
