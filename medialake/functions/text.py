@@ -21,29 +21,24 @@ VARIABLE_PATTERN = "%[A-Za-z0-9_-]+%"
 
 
 def escape_element(c: Column | str) -> Column:
-    """Bytes outside ``[A-Za-z0-9_]`` become ``.`` and two lower-case hex digits."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(col(c), "UTF-8")), F.lit("(..)"), F.lit(1))
+    """Bytes outside ``[A-Za-z0-9_]`` become ``.`` and two lower-case hex digits.
 
-    def one(pair: Column) -> Column:
-        code = F.conv(pair, 16, 10).cast("int")
-        plain = code.between(48, 57) | code.between(65, 90) | code.between(97, 122) | (code == 95)
-        return F.when(plain, F.chr(code)).otherwise(F.concat(F.lit("."), F.lower(pair)))
-
-    return F.array_join(F.transform(pairs, one), "")
+    Form encoding already writes those bytes as ``%XX``, but for ``. - *`` and
+    the blank; only texts that need escapes are taken apart.
+    """
+    form = F.url_encode(col(c))
+    for plain, code in ((".", "%2E"), ("-", "%2D"), ("*", "%2A"), ("+", "%20")):
+        form = F.replace(form, F.lit(plain), F.lit(code))
+    pieces = F.transform(F.split(form, "%", -1), lambda p, i: F.when(i == 0, p).otherwise(
+        F.concat(F.lower(F.substring(p, 1, 2)), F.substr(p, F.lit(3)))))
+    return F.when(col(c).rlike("^[A-Za-z0-9_]*$"), col(c)).otherwise(F.array_join(pieces, "."))
 
 
 def unescape_element(c: Column | str) -> Column:
     """Inverse of :func:`escape_element`; NULL when an escape or character is malformed."""
-    ok = col(c).rlike("^([A-Za-z0-9_]|\\.[0-9A-Fa-f]{2})+$")
-    tokens = F.regexp_extract_all(col(c), F.lit("(\\.[0-9A-Fa-f]{2}|[A-Za-z0-9_])"), F.lit(1))
-    hexed = F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(F.length(t) == 3, F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))),
-        ),
-        "",
-    )
-    return F.when(ok, F.decode(F.unhex(hexed), "UTF-8"))
+    plain = col(c).rlike("^[A-Za-z0-9_]+$")
+    escaped = col(c).rlike("^([A-Za-z0-9_]|\\.[0-9A-Fa-f]{2})+$")
+    return F.when(plain, col(c)).when(escaped, F.url_decode(F.replace(col(c), F.lit("."), F.lit("%"))))
 
 
 def track_key_encode(namespace: Column, name: Column | str) -> Column:

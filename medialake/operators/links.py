@@ -31,7 +31,7 @@ def _merge_sorted(ranges: Column, start, end, build) -> Column:
         return F.when((F.size(acc) > 0) & (start(r) <= end(F.get(acc, F.size(acc) - 1))), grown).otherwise(F.concat(acc, F.array(build(start(r), end(r)))))
 
     empty = F.slice(F.transform(ranges, lambda r: build(start(r), end(r))), 1, 0)
-    return F.aggregate(ranges, empty, step)
+    return F.when(F.size(ranges) <= 1, ranges).otherwise(F.aggregate(ranges, empty, step))
 
 
 def parse_links(urls: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:

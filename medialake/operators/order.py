@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import HotKeys, find_hot, prev_row, run_count, run_max, run_sum, running, with_key_totals
+from medialake.operators.ordered import HotKeys, find_hot, prev_row, run_max, run_sum, running, with_key_totals
 from medialake.operators.relate import match_subscriptions
 
 VIDEO_STREAM_TYPES = (0x1B, 0x24, 0x02)
@@ -54,10 +54,14 @@ def retain_latest_groups(frags: DataFrame, n: int = 2, feed: str = "feed_id", **
     return d.where(F.col("group_id") > F.col("__latest") - n).drop("__latest")
 
 
-def retain_newest(objects: DataFrame, n: int = QUEUE_DEPTH, session: str = "session_id", seq: str = "arrival_seq", **kw) -> DataFrame:
-    """The newest ``n`` rows of each session by arrival."""
-    d = running(objects, [session], [seq], [run_count("__newer", exclusive=True)], reverse=True, **kw)
-    return d.where(F.col("__newer") < max(n, 1)).drop("__newer")
+def retain_newest(objects: DataFrame, n: int = QUEUE_DEPTH, session: str = "session_id", seq: str = "arrival_seq") -> DataFrame:
+    """The newest ``n`` rows of each session by arrival.
+
+    Spark limits each group to ``n`` rows before the shuffle (WindowGroupLimit),
+    so a hot session sends at most ``n`` rows per task.
+    """
+    w = Window.partitionBy(session).orderBy(F.col(seq).desc())
+    return objects.withColumn("__newest", F.row_number().over(w)).where(F.col("__newest") <= max(n, 1)).drop("__newest")
 
 
 def pick_program(pat: DataFrame, requested: int | None = None, file: str = "file_id") -> DataFrame:

@@ -170,9 +170,8 @@ def only_frozen_tracks(objects: DataFrame, announcements: DataFrame, freeze: Dat
 
 def select_program(packets: DataFrame, pids: DataFrame, file: str = "file_id") -> DataFrame:
     """Null packets and packets of the program's pids."""
-    listed = pids.select(file, "pid").unionByName(
-        packets.where("pid = 8191").select(file, "pid")).distinct()
-    return packets.join(listed, [file, "pid"], "left_semi")
+    listed = pids.select(file, "pid").distinct().withColumn("__listed", F.lit(True))
+    return packets.join(listed, [file, "pid"], "left").where((F.col("pid") == 8191) | F.col("__listed")).drop("__listed")
 
 
 def dangling_refs(tracks: DataFrame, inits: DataFrame, broadcast: str = "broadcast_id", ref: str = "init_ref", key: str = "id") -> DataFrame:

@@ -67,7 +67,7 @@ def _(v):
 @query("O4_newest_objects", """
 SELECT session_id, arrival_seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arrival_seq DESC) AS r FROM shared_v) WHERE r <= 128""")
 def _(v):
-    return order.retain_newest(v.shared, hot=v.hot_sessions).select("session_id", "arrival_seq")
+    return order.retain_newest(v.shared).select("session_id", "arrival_seq")
 
 
 @query("U1_build_plan", """

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from medialake.operators.ordered import HotKeys, find_hot
+
 OBJECT_KEY = ["broadcast_id", "track_name", "group_id", "object_id"]
 
 
@@ -35,17 +37,20 @@ def lake_rows(objects: DataFrame, inits: DataFrame | None = None) -> DataFrame:
     return rows.unionByName(init, allowMissingColumns=True)
 
 
-def write_object_lake(objects: DataFrame, inits: DataFrame | None, path: str, mode: str = "overwrite",
-                      partitions: int | None = None, salt: int = 16) -> None:
+def write_object_lake(objects: DataFrame, inits: DataFrame | None, path: str, mode: str = "overwrite", hot: HotKeys | None = None) -> None:
     """Write the lake partitioned by track.
 
-    Rows are spread by (track, hash of group) first, so each track becomes a
-    bounded number of files and a hot track is written by many tasks.
+    Each track goes to one task and file set; a hot track is spread over all
+    shuffle partitions by (group, object).
     """
     rows = lake_rows(objects, inits)
-    spread = F.pmod(F.hash("group_id", "object_id"), F.lit(salt))
-    by = [F.col("track_name"), spread]
-    rows = rows.repartition(partitions, *by) if partitions else rows.repartition(*by)
+    hot = hot or find_hot(objects, ["track_name"])
+    spread = F.lit(0)
+    if hot.rows is not None:
+        width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.join(hot.rows.withColumn("__hot", F.lit(True)), list(hot.keys), "left")
+        spread = F.when(F.col("__hot"), F.pmod(F.hash("group_id", "object_id"), F.lit(width))).otherwise(0)
+    rows = rows.withColumn("__spread", spread).repartition("track_name", "__spread").drop("__spread", "__hot")
     rows.write.mode(mode).partitionBy("track_name").parquet(path)
 
 
@@ -57,30 +62,38 @@ def write_catalog_json(documents: DataFrame, path: str, broadcast: str = "broadc
 
 
 def write_object_stream(df: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None,
-                        key: list[str] | None = None, once: bool = True) -> StreamingQuery:
+                        key: list[str] | None = None, once: bool = True, bucket: int = 64) -> StreamingQuery:
     """Append served objects exactly once per key.
 
     Each micro-batch goes to its own ``batch=<id>`` folder with overwrite, so a
-    replayed batch replaces itself. Rows already stored by earlier batches are
-    left out by an anti-join that reads the key columns only. ``on_batch`` is
-    called with the rows that are new.
+    replayed batch replaces itself. Rows stored by earlier batches are left out by
+    an anti-join on the key columns; it reads only the folders of the batch's own
+    range of group buckets, not the whole lake. ``on_batch`` gets the new rows.
     """
     key = key or OBJECT_KEY
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(folder) and any(s.getPath().getName() != f"batch={batch_id}" for s in fs.listStatus(folder)
-                                     if s.getPath().getName().startswith("batch=")):
-            seen = spark.read.parquet(path).where(F.col("batch") != batch_id).select(*key)
-            new = new.join(seen, key, "left_anti")
+        new = batch.withColumn("group_bucket", F.floor(F.col("group_id") / bucket).cast("int")).dropDuplicates(key)
+        reach = new.agg(F.min("group_bucket").alias("lo"), F.max("group_bucket").alias("hi")).first()
+        if reach.lo is None:
+            return
+        if _has_other_batches(spark, path, batch_id):
+            seen = spark.read.parquet(path).where(F.col("group_bucket").between(reach.lo, reach.hi) & (F.col("batch") != batch_id))
+            new = new.join(seen.select("group_bucket", *key), ["group_bucket", *key], "left_anti")
         target = f"{path}/batch={batch_id}"
-        new.write.mode("overwrite").parquet(target)
+        new.write.mode("overwrite").partitionBy("group_bucket").parquet(target)
         if on_batch is not None:
-            on_batch(spark.read.schema(batch.schema).parquet(target), batch_id)
+            on_batch(spark.read.schema(new.schema).parquet(target), batch_id)
 
     writer = df.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _has_other_batches(spark: SparkSession, path: str, batch_id: int) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return False
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return any(n.startswith("batch=") and n != f"batch={batch_id}" for n in names)

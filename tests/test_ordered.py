@@ -72,6 +72,11 @@ def test_plain_plan_has_one_shuffle_for_groups_and_numbers(spark, views):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_newest_rows_are_limited_before_the_shuffle(spark, views):
+    plan = order.retain_newest(views.shared, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit"), plan
+
+
 OPERATORS = {
     "shared_groups": (lambda v, **k: sequence.assign_shared_groups(v.shared, **k), ["session_id", "arrival_seq", "group_id", "object_id"]),
     "groups": (lambda v, **k: sequence.number_objects(sequence.assign_groups(v.frags, **k), **k), ["feed_id", "arrival_seq", "group_id", "object_id"]),
@@ -81,9 +86,8 @@ OPERATORS = {
     "merge": (lambda v, **k: sets.merge_ranges(v.links, ["link_id"], **{"span": 86_400_000, **k}), ["link_id", "start_ms", "end_ms"]),
     "stats": (lambda v, **k: rollup.live_stats(v.objects, **k), ["broadcast_id", "bytes", "objects", "groups"]),
     "latest": (lambda v, **k: order.retain_latest_groups(v.objects, feed="broadcast_id", **k), ["broadcast_id", "plan_index"]),
-    "newest": (lambda v, **k: order.retain_newest(v.shared, 9, **k), ["session_id", "arrival_seq"]),
 }
-KEYS = {"shared_groups": "session_id", "groups": "feed_id", "clock": "feed_id", "gops": "asset_id", "merge": "link_id", "newest": "session_id"}
+KEYS = {"shared_groups": "session_id", "groups": "feed_id", "clock": "feed_id", "gops": "asset_id", "merge": "link_id"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
