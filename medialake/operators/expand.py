@@ -76,7 +76,8 @@ def sample_offsets(chunks: DataFrame, chunk_map: DataFrame, sizes: DataFrame, as
 
 def replay(objects: DataFrame, cycles: int, broadcast: str = "broadcast_id") -> DataFrame:
     """Repeat a plan: later cycles shift groups by the track's span and times by the cycle length."""
-    spans, plan = track_group_span(objects, broadcast), loop_span(objects, broadcast).select(broadcast, "cycle_us")
+    spans = track_group_span(objects, broadcast).select(broadcast, "track_name", "group_span")
+    plan = loop_span(objects, broadcast).select(broadcast, "cycle_us")
     d = objects.join(spans, [broadcast, "track_name"]).join(plan, [broadcast])
     d = d.withColumn("cycle", F.explode(F.sequence(_zero(), F.lit(cycles - 1).cast("bigint"))))
     d = d.where((F.col("kind") != "initialization") | (F.col("cycle") == 0))

@@ -97,8 +97,11 @@ def frame_rate(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return d.withColumn("frame_rate", F.coalesce(rate, F.lit(0.0))).drop("__n", "__ticks", "__scale")
 
 
-def track_group_span(objects: DataFrame, broadcast: str = "broadcast_id") -> DataFrame:
-    return objects.groupBy(broadcast, "track_name").agg((F.max("group_id") + 1).alias("group_span"))
+def track_group_span(objects: DataFrame, broadcast: str = "broadcast_id", seq: str = "plan_index") -> DataFrame:
+    """Per track: groups one loop cycle takes, first index that loops, whether the track loops at all."""
+    body = F.col("kind") != "initialization"
+    return objects.groupBy(broadcast, "track_name").agg(
+        (F.max("group_id") + 1).alias("group_span"), F.min(F.when(body, F.col(seq))).alias("first_body_index"), F.max(body).alias("loopable"))
 
 
 def loop_span(objects: DataFrame, broadcast: str = "broadcast_id", seq: str = "plan_index") -> DataFrame:
@@ -169,6 +172,22 @@ def streams_per_subscription(served: DataFrame, request: str = "request_id") ->
     return pairs.groupBy(request).agg(F.count(F.lit(1)).alias("streams"), F.sum("__n").alias("objects"))
 
 
+def pacing_rows(sends: DataFrame, broadcast: str = "broadcast_id", seq: str = "send_seq", sent: str = "send_time_us",
+                time: str = "media_time_us") -> DataFrame:
+    """Target time and lateness of each media send.
+
+    Pacing starts with a broadcast's first media object; a target is the media
+    time since then, not below 0.
+    """
+    media = sends.where("kind = 'media'")
+    start = media.groupBy(broadcast).agg(F.min_by(F.struct(F.col(sent).alias("at"), F.col(time).alias("media")), seq).alias("__start"))
+    d = media.join(start, [broadcast])
+    target = F.col("__start.at") + F.greatest(F.col(time) - F.col("__start.media"), F.lit(0).cast("bigint"))
+    return d.withColumns({
+        "target_ms": idiv(target, 1000), "now_ms": idiv(F.col(sent), 1000), "delta_ms": idiv(F.col(sent) - target, 1000),
+    }).drop("__start")
+
+
 def pacing_report(trace: DataFrame, by: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Lateness of paced sends per track and phase.
 

@@ -68,9 +68,24 @@ def _(v):
     return rollup.loop_span(o)
 
 
-@query("A9_track_group_span", "SELECT broadcast_id, track_name, max(group_id) + 1 AS group_span FROM objects_v GROUP BY 1, 2")
+@query("A9_track_group_span", """
+SELECT broadcast_id, track_name, max(group_id) + 1 AS group_span, min(CASE WHEN kind <> 'initialization' THEN plan_index END) AS first_body_index,
+  bool_or(kind <> 'initialization') AS loopable
+FROM (SELECT * REPLACE (CASE WHEN event_type = 'signup' AND object_id = 0 THEN 'initialization' ELSE 'media' END AS kind) FROM objects_v) GROUP BY 1, 2""")
 def _(v):
-    return rollup.track_group_span(v.objects)
+    o = v.objects.withColumn("kind", F.when((F.col("event_type") == "signup") & (F.col("object_id") == 0), "initialization").otherwise("media"))
+    return rollup.track_group_span(o)
+
+
+@query("A16_pacing_rows", """
+WITH s AS (SELECT *, media_time_us + (plan_index * 37) % 400 * 1000 - 100000 AS sent FROM objects_v),
+f AS (SELECT broadcast_id, arg_min(sent, plan_index) AS began, arg_min(media_time_us, plan_index) AS media FROM s GROUP BY 1)
+SELECT broadcast_id, plan_index, (began + greatest(media_time_us - media, 0)) // 1000 AS target_ms, sent // 1000 AS now_ms,
+  (sent - (began + greatest(media_time_us - media, 0))) // 1000 AS delta_ms FROM s JOIN f USING (broadcast_id)""")
+def _(v):
+    sent = F.col("media_time_us") + (F.col("plan_index") * 37) % 400 * 1000 - 100000
+    d = rollup.pacing_rows(v.objects.withColumn("send_time_us", sent), seq="plan_index")
+    return d.select("broadcast_id", "plan_index", "target_ms", "now_ms", "delta_ms")
 
 
 @query("A10_media_timeline", "SELECT DISTINCT broadcast_id, (media_time_us + 500) // 1000 AS time_ms, group_id, object_id FROM objects_v")

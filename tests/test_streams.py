@@ -207,3 +207,19 @@ def test_live_source_rules(spark):
     assert rows(ok, "feed_id", "arrival_seq") == [(2, 0)]
     assert rows(bad, "arrival_seq", "violation") == [(0, "first object is not a catalog"), (1, "unknown track")]
     assert rows(streams.as_live_source(o, tracks)[0], "feed_id", "arrival_seq") == [(1, 0), (2, 0)]
+
+
+def test_pull_callback_is_a_source(spark, folder):
+    from medialake.sources.live_source import pulled_source, read_pulled
+
+    def made(options, start, stop):  # defined here so that it travels by value
+        for i in range(start, stop):
+            yield int(options["feed"]), i, "v", "media", i // 4, 0, i % 4, i * 1000, 1000, f"p{i}".encode(), False
+
+    source = pulled_source("pulled_test", lambda options: 10, made, rows_per_partition=4)
+    q = (read_pulled(spark, source, feed="7").writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/ck")
+         .trigger(processingTime="1 second").start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(folder + "/out")
+    assert rows(got, "feed_id", "arrival_seq", "group_id", "payload") == [(7, i, i // 4, bytearray(f"p{i}".encode())) for i in range(10)]
