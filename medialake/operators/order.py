@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import HotKeys, find_hot, prev_row, run_max, run_sum, running, with_key_totals
+from medialake.operators.ordered import HotKeys, by_heat, find_hot, prev_row, run_max, run_sum, running, with_key_totals
 from medialake.operators.relate import match_subscriptions
 
 VIDEO_STREAM_TYPES = (0x1B, 0x24, 0x02)
@@ -26,16 +26,20 @@ def send_order(matched: DataFrame, broadcast: str = "broadcast_id", request: str
     """
     d = matched if cycle else matched.withColumn("__cycle", F.lit(0).cast("bigint"))
     cyc = cycle or "__cycle"
-    hot = hot or find_hot(matched, [broadcast])
-    d = running(d, [broadcast, request, cyc], [seq], [run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))], hot=hot, **kw)
-    d = d.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
-    # A rank over distinct places: the running count of each place's first row.
     place = [cyc, "__t", "__p", seq]
     order = [*place, request]
     chunk = F.struct(F.col(cyc).alias("c"), idiv("__t", TIME_SPAN_US).alias("b"))
-    d = running(d, [broadcast], order, [prev_row("__prev", F.struct(*place))], chunk=chunk, hot=hot)
+    # A rank over distinct places: the running count of each place's first row.
     new = F.when(F.col("__prev").eqNullSafe(F.struct(*place)), 0).otherwise(1).cast("bigint")
-    d = running(d, [broadcast], order, [run_sum("send_seq", new)], chunk=chunk, hot=hot)
+
+    def merge(part: DataFrame, heat: HotKeys) -> DataFrame:
+        head = run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))
+        p = running(part, [broadcast, request, cyc], [seq], [head], hot=heat, **kw)
+        p = p.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
+        p = running(p, [broadcast], order, [prev_row("__prev", F.struct(*place))], chunk=chunk, hot=heat)
+        return running(p, [broadcast], order, [run_sum("send_seq", new)], chunk=chunk, hot=heat)
+
+    d = by_heat(d, hot or find_hot(matched, [broadcast]), merge)
     return d.withColumns({"head_time_us": F.col("__t"), "head_index": F.col("__p")}).drop("__t", "__p", "__prev", "__cycle")
 
 

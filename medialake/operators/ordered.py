@@ -11,13 +11,15 @@ key into one task, so the size of the keys is checked first (``find_hot``):
   joined back on the clustering the window already has.
 
 With a unique integer order (arrival number, plan index, sample index) a chunk
-holds at most ``span`` rows of a key. The hot rows are written once to the
+holds at most ``span`` rows of a key. The hot rows are written as a table in the
 shared checkpoint folder before they are read for both purposes, so a chain of
 running values costs one pass each and does not multiply its lineage.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,15 +40,20 @@ def seq_span(spark: SparkSession) -> int:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more rows than one task should order; ``rows`` is None when there are none."""
+    """Keys with more rows than one task should order.
+
+    ``rows`` lists them and is None when there are none; ``every`` says that all
+    keys of the input are hot, as in the part :func:`by_heat` splits off.
+    """
 
     keys: tuple[str, ...]
     rows: DataFrame | None = None
+    every: bool = False
 
     def renamed(self, **names: str) -> HotKeys:
         """The same keys under other column names: ``hot.renamed(feed_id="broadcast_id")``."""
         keys = tuple(names.get(k, k) for k in self.keys)
-        return HotKeys(keys, None if self.rows is None else self.rows.toDF(*keys))
+        return HotKeys(keys, None if self.rows is None else self.rows.toDF(*keys), self.every)
 
 
 def bounded(*keys: str) -> HotKeys:
@@ -55,9 +62,14 @@ def bounded(*keys: str) -> HotKeys:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that several readers do not recompute ``df``."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
+
+    Several readers then do not recompute it, each reads only its columns, and a
+    lost executor costs nothing.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def find_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
@@ -72,13 +84,24 @@ def find_hot(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKey
     return HotKeys(tuple(keys), None if rows.isEmpty() else stage(rows))
 
 
-def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None)."""
+def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys); None where there are none."""
+    if hot.every:
+        return None, df
     if hot.rows is None:
         return df, None
     return df.join(hot.rows, list(hot.keys), "left_anti"), df.join(hot.rows, list(hot.keys), "left_semi")
 
 
+def by_heat(df: DataFrame, hot: HotKeys, step: Callable[[DataFrame, HotKeys], DataFrame]) -> DataFrame:
+    """Run a chain of ordered operators on the ordinary and on the hot rows apart, split once at its start."""
+    cold, heavy = split_hot(df, hot)
+    if heavy is None:
+        return step(cold, bounded(*hot.keys))
+    done = step(heavy, HotKeys(hot.keys, every=True))
+    return done if cold is None else step(cold, bounded(*hot.keys)).unionByName(done)
+
+
 @dataclass(frozen=True)
 class Run:
     """One running value: ``kind`` is sum, max, min, last (non-null) or prev (row before)."""
@@ -205,12 +228,14 @@ def running(
     if not set(hot.keys) <= set(keys):
         raise ValueError(f"hot keys {hot.keys} are not among {keys}")
     sort = [F.col(o).desc() if reverse else F.col(o).asc() for o in order]
-    cold, heavy = split_hot(df, hot)
-    out = _plain(cold, keys, sort, runs)
-    if heavy is None:
-        return out
     cut = chunk if chunk is not None else idiv(order[0], span or seq_span(df.sparkSession))
-    return out.unionByName(_chunked(stage(heavy), keys, order, sort, runs, cut, reverse))
+
+    def run(part: DataFrame, heat: HotKeys) -> DataFrame:
+        if heat.every:
+            return _chunked(stage(part), keys, order, sort, runs, cut, reverse)
+        return _plain(part, keys, sort, runs)
+
+    return by_heat(df, hot, run)
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str, **kw) -> DataFrame:
@@ -222,14 +247,15 @@ def with_key_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column], hot
     """Attach per-key aggregates: a window for ordinary keys, aggregation and join for hot ones."""
     if hot is None:
         hot = find_hot(df, keys)
-    cold, heavy = split_hot(df, hot)
-    w = Window.partitionBy(*keys)
-    out = cold.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    if heavy is None:
-        return out
-    heavy = stage(heavy)
-    totals = heavy.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return out.unionByName(heavy.join(totals, keys))
+
+    def run(part: DataFrame, heat: HotKeys) -> DataFrame:
+        if heat.every:
+            part = stage(part)
+            return part.join(part.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys).select(*part.columns, *aggs)
+        w = Window.partitionBy(*keys)
+        return part.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+
+    return by_heat(df, hot, run)
 
 
 def ordered_parts(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medialake.functions.binary import be_uint, has_bit, slice_bytes
 from medialake.functions.timing import AAC_FRAME_SAMPLES, CLOCK_90K, idiv, presentation_micros, ticks_to_micros
 from medialake.operators.ordered import (
-    HotKeys, find_hot, prev_row, row_index, run_count, run_last, run_max, run_sum, running, with_key_totals,
+    HotKeys, by_heat, find_hot, prev_row, row_index, run_count, run_last, run_max, run_sum, running, with_key_totals,
 )
 
 GOP_CHUNK = 120          # samples in one coalesced object
@@ -52,21 +52,23 @@ def assign_shared_groups(frags: DataFrame, session: str = "session_id", seq: str
     """
     video = F.col("handler_type") == "vide"
     key = video & F.col("is_sync")
-    kw["hot"] = hot or find_hot(frags, [session])
-    d = with_key_totals(frags, [session], {"__video": F.max(_flag(video))}, kw["hot"])
-    start = F.when(key, F.col("start_us"))
-    d = running(d, [session], [seq], [run_max("__before", start, exclusive=True)], **kw)
-    opens = key & (F.col("__before").isNull() | (F.col("start_us") > F.col("__before")))
-    late = key & F.coalesce(F.col("start_us") < F.col("__before"), F.lit(False))
-    d = running(d, [session], [seq], [run_sum("__opened", _flag(opens))], **kw).where(~late)
-    with_video = d.where("__video = 1 AND __opened > 0").withColumn("group_id", F.col("__opened") - 1)
-    started = running(with_video, [session, "group_id", "track_name"], [seq], [run_max("__key", _flag(key))], **kw)
-    kept = started.where(~video | (F.col("__key") == 1))
-    numbered = row_index(kept, [session, "group_id", "track_name"], [seq], "object_id", **kw)
-    silent = with_key_totals(frags, [session], {"__video": F.max(_flag(video))}, kw["hot"]).where("__video = 0")
-    sound_only = row_index(silent, [session, "path", "track_name"], [seq], "group_id", **kw).withColumn("object_id", _zero())
     names = [*frags.columns, "group_id", "object_id"]
-    return numbered.select(*names).unionByName(sound_only.select(*names))
+
+    def number(part: DataFrame, heat: HotKeys) -> DataFrame:
+        d = with_key_totals(part, [session], {"__video": F.max(_flag(video))}, heat)
+        shared = d.where("__video = 1")
+        shared = running(shared, [session], [seq], [run_max("__before", F.when(key, F.col("start_us")), exclusive=True)], hot=heat, **kw)
+        opens = key & (F.col("__before").isNull() | (F.col("start_us") > F.col("__before")))
+        late = key & F.coalesce(F.col("start_us") < F.col("__before"), F.lit(False))
+        shared = running(shared, [session], [seq], [run_sum("__opened", _flag(opens))], hot=heat, **kw).where(~late)
+        shared = shared.where("__opened > 0").withColumn("group_id", F.col("__opened") - 1)
+        track = [session, "group_id", "track_name"]
+        shared = running(shared, track, [seq], [run_max("__key", _flag(key))], hot=heat, **kw)
+        shared = row_index(shared.where(~video | (F.col("__key") == 1)), track, [seq], "object_id", hot=heat, **kw)
+        alone = row_index(d.where("__video = 0"), [session, "path", "track_name"], [seq], "group_id", hot=heat, **kw)
+        return shared.select(*names).unionByName(alone.withColumn("object_id", _zero()).select(*names))
+
+    return by_heat(frags, hot or find_hot(frags, [session]), number)
 
 
 def number_batch(rows: DataFrame, mode: str = "fragment", asset: str = "asset_id", seq: str = "arrival_seq", **kw) -> DataFrame:
@@ -130,29 +132,28 @@ def coalesce_gops(samples: DataFrame, asset: str = "asset_id", cap: int = GOP_CH
     asset's video track.
     """
     keys = [asset, "handler_type"]
-    kw["hot"] = hot or find_hot(samples, [asset])
     cols = [*keys, "sample_index", "timescale", "duration", "composition_offset", "size", "decode_time", "gop"]
-    clocked = gop_of_video(samples, keys, **kw)
-    video = clocked.where("handler_type = 'vide'")
-    starts = (
-        video.where("sync OR sample_index = 0")
-        .select(asset, "gop", ticks_to_micros("decode_time", "timescale").alias("start_us"))
-    )
-    other = clocked.where("handler_type <> 'vide'").drop("gop").withColumn("t_us", ticks_to_micros("decode_time", "timescale"))
-    aligned = align_to_gops(other, starts, [asset], hot=kw["hot"])
-    rows = video.select(*cols).unionByName(aligned.select(*cols))
-    placed = row_index(rows, [*keys, "gop"], ["sample_index"], "__pos", **kw)
-    part = idiv("__pos", cap).alias("gop_part")
-    chunks = placed.groupBy(*keys, "gop", part).agg(
-        F.min("sample_index").alias("first_sample"),
-        F.count(F.lit(1)).alias("sample_count"),
-        F.sum("duration").alias("__duration"),
-        F.sum("size").alias("payload_bytes"),
-        F.min("decode_time").alias("__decode"),
-        F.max("timescale").alias("__timescale"),
-        F.min_by("composition_offset", "sample_index").alias("__offset"),
-    )
-    objects = row_index(chunks, keys, ["first_sample"], "object_id", **kw)
+
+    def build(part: DataFrame, heat: HotKeys) -> DataFrame:
+        clocked = gop_of_video(part, keys, hot=heat, **kw)
+        video = clocked.where("handler_type = 'vide'")
+        starts = video.where("sync OR sample_index = 0").select(asset, "gop", ticks_to_micros("decode_time", "timescale").alias("start_us"))
+        other = clocked.where("handler_type <> 'vide'").drop("gop").withColumn("t_us", ticks_to_micros("decode_time", "timescale"))
+        aligned = align_to_gops(other, starts, [asset], hot=heat)
+        rows = video.select(*cols).unionByName(aligned.select(*cols))
+        placed = row_index(rows, [*keys, "gop"], ["sample_index"], "__pos", hot=heat, **kw)
+        chunks = placed.groupBy(*keys, "gop", idiv("__pos", cap).alias("gop_part")).agg(
+            F.min("sample_index").alias("first_sample"),
+            F.count(F.lit(1)).alias("sample_count"),
+            F.sum("duration").alias("__duration"),
+            F.sum("size").alias("payload_bytes"),
+            F.min("decode_time").alias("__decode"),
+            F.max("timescale").alias("__timescale"),
+            F.min_by("composition_offset", "sample_index").alias("__offset"),
+        )
+        return row_index(chunks, keys, ["first_sample"], "object_id", hot=heat, **kw)
+
+    objects = by_heat(samples, hot or find_hot(samples, [asset]), build)
     sap = F.when(F.col("handler_type") != "vide", 1).when(F.col("gop_part") == 0, 2).otherwise(0)
     return objects.select(
         *keys, "gop", "object_id", "first_sample", "sample_count", "payload_bytes",
@@ -163,17 +164,19 @@ def coalesce_gops(samples: DataFrame, asset: str = "asset_id", cap: int = GOP_CH
     )
 
 
-def estimate_durations(es: DataFrame, keys: list[str] | None = None, seq: str = "arrival_seq", **kw) -> DataFrame:
+def estimate_durations(es: DataFrame, keys: list[str] | None = None, seq: str = "arrival_seq", hot: HotKeys | None = None, **kw) -> DataFrame:
     """Sample durations from presentation times; gaps fall back to the last good one, then a default."""
     keys = keys or ["feed_id", "track_name"]
-    if "hot" not in kw:
-        kw["hot"] = find_hot(es, keys)
-    d = running(es, keys, [seq], [prev_row("__prev", F.col("pts_us"))], **kw)
     step = F.col("pts_us") - F.col("__prev")
     valid = F.when((F.col("__prev") != 0) & (step > 0) & (step <= LONGEST_FRAME_US), step)
     default = F.when(F.col("is_video"), DEFAULT_VIDEO_FRAME_US).otherwise(
         idiv(F.lit(AAC_FRAME_SAMPLES * 1000000), F.when(F.col("timescale") > 0, F.col("timescale")).otherwise(48000)))
-    d = running(d, keys, [seq], [run_last("__good", valid)], **kw)
+
+    def estimate(part: DataFrame, heat: HotKeys) -> DataFrame:
+        d = running(part, keys, [seq], [prev_row("__prev", F.col("pts_us"))], hot=heat, **kw)
+        return running(d, keys, [seq], [run_last("__good", valid)], hot=heat, **kw)
+
+    d = by_heat(es, hot or find_hot(es, keys), estimate)
     return d.withColumn("duration_us", F.coalesce("__good", default.cast("bigint"))).drop("__prev", "__good")
 
 
@@ -190,17 +193,19 @@ def monotone_clock(es: DataFrame, keys: list[str] | None = None, seq: str = "arr
     return running(d, keys, [seq], [run_sum("decode_time", F.col("sample_ticks"), exclusive=True)], **kw)
 
 
-def end_flags(objects: DataFrame, broadcast: str = "broadcast_id", seq: str = "plan_index", **kw) -> DataFrame:
+def end_flags(objects: DataFrame, broadcast: str = "broadcast_id", seq: str = "plan_index", hot: HotKeys | None = None, **kw) -> DataFrame:
     """Whether an object is the last of its group or subgroup, and whether the group's largest is not elsewhere."""
     group = [broadcast, "track_name", "group_id"]
     sub = [*group, "subgroup_id"]
-    hot = kw.get("hot") or find_hot(objects, [broadcast])
-    kw["hot"] = hot
-    d = running(objects, group, [seq], [run_max("__g", F.col("object_id"), exclusive=True)], reverse=True, **kw)
-    d = running(d, sub, [seq], [run_max("__s", F.col("object_id"), exclusive=True)], reverse=True, **kw)
-    d = with_key_totals(d, group, {"__top": F.max(F.struct(F.col("object_id").alias("m"), F.col("subgroup_id").alias("s")))}, hot)
-    other = F.when(F.col("subgroup_id") != F.col("__top")["s"], F.col("object_id"))
-    d = with_key_totals(d, group, {"__second": F.max(other)}, hot)
+
+    def extremes(part: DataFrame, heat: HotKeys) -> DataFrame:
+        d = running(part, group, [seq], [run_max("__g", F.col("object_id"), exclusive=True)], reverse=True, hot=heat, **kw)
+        d = running(d, sub, [seq], [run_max("__s", F.col("object_id"), exclusive=True)], reverse=True, hot=heat, **kw)
+        d = with_key_totals(d, group, {"__top": F.max(F.struct(F.col("object_id").alias("m"), F.col("subgroup_id").alias("s")))}, heat)
+        other = F.when(F.col("subgroup_id") != F.col("__top")["s"], F.col("object_id"))
+        return with_key_totals(d, group, {"__second": F.max(other)}, heat)
+
+    d = by_heat(objects, hot or find_hot(objects, [broadcast]), extremes)
     elsewhere = F.when(F.col("subgroup_id") == F.col("__top")["s"], F.col("__second")).otherwise(F.col("__top")["m"])
 
     def none_larger(c: Column) -> Column:

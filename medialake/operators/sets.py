@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions.text import OPEN_END
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import find_hot, row_index, run_max, run_sum, running, seq_span
+from medialake.operators.ordered import HotKeys, by_heat, find_hot, row_index, run_max, run_sum, running, seq_span
 
 RANGE_SPAN_MS = 3600_000
 SAP_EVENT_TYPE = "org.ietf.moq.cmsf.sap"
@@ -102,7 +102,8 @@ def program_pids(pat: DataFrame, pmt: DataFrame, file: str = "file_id") -> DataF
     return streams.unionByName(tables).distinct()
 
 
-def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: int | None = None, **kw) -> DataFrame:
+def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: int | None = None,
+                 hot: HotKeys | None = None) -> DataFrame:
     """Union of overlapping ranges per key; touching but not overlapping ranges stay apart.
 
     Equal starts are reduced to their largest end first, so a chunk holds at
@@ -121,11 +122,13 @@ def merge_ranges(ranges: DataFrame, keys: list[str], kind: str = "time", span: i
     d = ranges.select(*keys, start.alias("__s"), end.alias("__e"), F.col(lead).alias("__lead"))
     d = d.groupBy(*keys, "__s", "__lead").agg(F.max("__e").alias("__e"))
     chunk = idiv("__lead", width)
-    if "hot" not in kw:
-        kw["hot"] = find_hot(ranges, keys)
-    d = running(d, keys, ["__s"], [run_max("__reach", F.col("__e"), exclusive=True)], chunk=chunk, **kw)
     head = F.col("__reach").isNull() | (F.col("__s") > F.col("__reach"))
-    d = running(d, keys, ["__s"], [run_sum("__island", F.when(head, 1).otherwise(0).cast("bigint"))], chunk=chunk, **kw)
+
+    def islands(part: DataFrame, heat: HotKeys) -> DataFrame:
+        p = running(part, keys, ["__s"], [run_max("__reach", F.col("__e"), exclusive=True)], chunk=chunk, hot=heat)
+        return running(p, keys, ["__s"], [run_sum("__island", F.when(head, 1).otherwise(0).cast("bigint"))], chunk=chunk, hot=heat)
+
+    d = by_heat(d, hot or find_hot(ranges, keys), islands)
     m = d.groupBy(*keys, "__island").agg(F.min("__s").alias("s"), F.max("__e").alias("e")).drop("__island")
 
     def closed(c):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from medialake.functions import text, timing
 from medialake.functions.timing import idiv
 from medialake.operators import expand, project, rollup, sequence
+from medialake.operators.ordered import by_heat
 from medialake.plans.registry import query
 
 
@@ -183,7 +184,8 @@ def _(v):
 
 @query("W2_object_numbers", "SELECT broadcast_id AS feed_id, plan_index AS arrival_seq, group_id, object_id FROM objects_v")
 def _(v):
-    return sequence.number_objects(sequence.assign_groups(v.frags, hot=v.hot_feeds), hot=v.hot_feeds).select("feed_id", "arrival_seq", "group_id", "object_id")
+    d = by_heat(v.frags, v.hot_feeds, lambda part, heat: sequence.number_objects(sequence.assign_groups(part, hot=heat), hot=heat))
+    return d.select("feed_id", "arrival_seq", "group_id", "object_id")
 
 
 SHARED_SQL = """

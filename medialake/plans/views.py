@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv, micros_of
-from medialake.operators.ordered import HotKeys, find_hot, row_index, seq_span, stage
+from medialake.operators.ordered import HotKeys, by_heat, find_hot, row_index, seq_span, stage
 
 EPOCH_US = 1704067200000000  # first instant of the events table's year
 
@@ -306,7 +306,7 @@ class Views:
         from medialake.functions.timing import sap_type
         from medialake.operators.sequence import assign_groups, number_objects
 
-        f = number_objects(assign_groups(self.frags, hot=self.hot_feeds), hot=self.hot_feeds)
+        f = by_heat(self.frags, self.hot_feeds, lambda part, heat: number_objects(assign_groups(part, hot=heat), hot=heat))
         return f.select(
             F.col("feed_id").alias("broadcast_id"),
             F.col("arrival_seq").alias("plan_index"),
