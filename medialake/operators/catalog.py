@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from medialake.functions.text import is_uuid, percent_ok
 from medialake.functions.timing import idiv
 from medialake.operators.ordered import (
-    HotKeys, find_hot, ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running, with_key_totals,
+    HotKeys, by_heat, find_hot, ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running, with_key_totals,
 )
 from medialake.operators.relate import dangling_protection_refs, dangling_refs
 from medialake.operators.rollup import duplicate_keys
@@ -228,8 +228,13 @@ def _track_events(snapshots: DataFrame, versions: DataFrame, broadcast: str, hot
     body = F.struct(*_comparable(s, {*key, "version_seq", "position"})).alias("__b")
     d = s.join(versions.select(broadcast, "version_seq", "version_no", "last_no"), [broadcast, "version_seq"])
     d = d.select(*key, "version_no", "last_no", body)
-    d = running(d, key, ["version_no"], [prev_row("__prev", F.struct(F.col("version_no").alias("n"), F.col("__b").alias("b")))], hot=hot)
-    d = running(d, key, ["version_no"], [prev_row("__next_no", F.col("version_no"))], reverse=True, hot=hot)
+
+    def neighbours(part: DataFrame, heat: HotKeys) -> DataFrame:
+        before = prev_row("__prev", F.struct(F.col("version_no").alias("n"), F.col("__b").alias("b")))
+        p = running(part, key, ["version_no"], [before], hot=heat)
+        return running(p, key, ["version_no"], [prev_row("__next_no", F.col("version_no"))], reverse=True, hot=heat)
+
+    d = by_heat(d, hot, neighbours)
     contiguous = F.col("__prev").isNotNull() & (F.col("__prev.n") == F.col("version_no") - 1)
     here = (
         F.when(contiguous & ~F.col("__prev.b").eqNullSafe(F.col("__b")), "change")
@@ -278,17 +283,24 @@ def catalog_log(snapshots: DataFrame, max_deltas: int = MAX_DELTAS, versions: Da
     per = _track_events(snapshots, v, broadcast, hot).groupBy(*key).agg(
         count_of("add").alias("added"), count_of("remove").alias("removed"), count_of("change").alias("__changed"))
     d = v.join(per, key, "left").na.fill(0, ["added", "removed", "__changed"])
-    d = running(d, [broadcast], ["version_seq"], [run_max("__over", F.when(F.col("ended"), 1).otherwise(0), exclusive=True)], hot=hot)
     moved = (F.col("added") + F.col("removed")) > 0
     first, changed = F.col("version_no") == 0, F.col("__changed") > 0
     emitted = first | moved | changed | F.col("other_changed") | F.col("header_changed") | F.col("ended")
     forced = first | changed | F.col("other_changed") | ~moved | F.col("ended")
-    live = d.where(emitted & (F.coalesce("__over", F.lit(0)) == 0)).withColumn("__forced", F.when(forced, 1).otherwise(0).cast("bigint"))
-    live = running(live, [broadcast], ["version_seq"], [run_sum("__run", F.col("__forced"))], hot=hot)
-    live = row_index(live, [broadcast, "__run"], ["version_seq"], "__p", hot=hot)
-    live = live.withColumn("object_id", F.col("__p") % (max_deltas + 1))
     independent = F.col("object_id") == 0
-    live = running(live, [broadcast], ["version_seq"], [run_sum("__ind", F.when(independent, 1).otherwise(0).cast("bigint"))], hot=hot)
+    by, seq = [broadcast], ["version_seq"]
+
+    def flag(test: Column) -> Column:
+        return F.when(test, 1).otherwise(0).cast("bigint")
+
+    def number(part: DataFrame, heat: HotKeys) -> DataFrame:
+        p = running(part, by, seq, [run_max("__over", flag(F.col("ended")), exclusive=True)], hot=heat)
+        p = p.where(emitted & (F.coalesce("__over", F.lit(0)) == 0))
+        p = running(p, by, seq, [run_sum("__run", flag(forced))], hot=heat)
+        p = row_index(p, [broadcast, "__run"], seq, "__p", hot=heat).withColumn("object_id", F.col("__p") % (max_deltas + 1))
+        return running(p, by, seq, [run_sum("__ind", flag(independent))], hot=heat)
+
+    live = by_heat(d, hot, number)
     return live.select(
         broadcast, "version_seq",
         F.when(independent, "independent").otherwise("delta").alias("kind"),
