@@ -7,9 +7,10 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from medialake.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,7 @@ def canon(rows, cols):
 
 def test_every_query_has_a_twin():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
