@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import mixing, sharding
+from medialake.llm import mixing, packing, repetition, secretscan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,36 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "guess")
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *[secretscan.of_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"), secretscan.of_kind(spans, "guess").alias("n_guess"))
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    digest = parts.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
+    return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_secrets": op8_secrets,
+    "op9_repetition": op9_repetition,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
