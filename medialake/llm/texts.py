@@ -148,6 +148,8 @@ def add_columns(df: DataFrame, new: StructType, start: Callable[[], Callable[[pa
     def run(batches):
         step = start()
         for b in batches:
+            if not b.num_rows:
+                continue
             yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=[*b.schema.names, *new.fieldNames()])
 
     return base.mapInArrow(run, StructType(base.schema.fields + new.fields))
