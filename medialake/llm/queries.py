@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import mixing, neardup, packing, repetition, secretscan, sharding
+from medialake.llm import langid, mixing, neardup, packing, repetition, secretscan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_of(n: int, key: str = "doc_id"):
+    """The remainder that keeps rows apart from learning: crc32 of the id as text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(bucket_of(5) != 0))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (bucket_of(5) == 0).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -72,6 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
