@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import langid, mixing, neardup, packing, repetition, secretscan, sharding
+from medialake.llm import langid, mixing, neardup, packing, quality, repetition, secretscan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def bucket_of(n: int, key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(bucket_of(4) != 2), "quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (bucket_of(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(bucket_of(5) != 0))
@@ -84,6 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,

@@ -33,3 +33,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("label <> old").isEmpty():
             return labels
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``rows`` labelled documents, those with the lowest hashes of their ids.
+
+    ``labels`` holds what may be learned from; null labels are left out and the
+    largest stands for several. The sample is written once, so learning reads the
+    whole corpus no more than that.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    # a top-k by hash: every task keeps ``rows`` ids at most
+    chosen = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
