@@ -30,12 +30,12 @@ from medialake.llm.texts import Texts, add_columns, mix, shingles, slices
 from medialake.operators.ordered import stage
 
 BANDS, ROWS = 32, 6
-BITS = 512
-MARGIN = 0.135
+SAMPLES, BITS = 1024, 2048
+MARGIN = 0.055
 BLOCK = 256
-STARS = 3
+STARS = 6
 
-_K = BANDS * ROWS
+_K = SAMPLES
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 31, _K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, _K, dtype=np.uint32)
@@ -85,8 +85,8 @@ def signatures(t: Texts, size: int):
     sample = mix(least.astype(np.uint64) ^ _SALT[:, None])
     band = np.zeros((BANDS, len(full)), np.uint64)
     for r in range(ROWS):
-        band = mix(band * _DOC + sample[r::ROWS][:BANDS])
-    keys[full] = band.T.view(np.int64) if band.T.flags.c_contiguous else np.ascontiguousarray(band.T).view(np.int64)
+        band = mix(band * _DOC + sample[r : BANDS * ROWS : ROWS])
+    keys[full] = np.ascontiguousarray(band.T).view(np.int64)
     bit = (sample >> np.uint64(20)).astype(np.int64) % BITS + np.arange(len(full)) * BITS
     odd = (np.bincount(bit.ravel(), minlength=len(full) * BITS) & 1).astype(np.uint8)
     sketch[full] = np.packbits(odd.reshape(len(full), BITS), axis=1).view(np.int64)
@@ -145,31 +145,37 @@ def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select("a", "b").distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity."""
-    nodes = if_small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = stage(_sets(docs.join(nodes, "doc_id", "left_semi"), size))
+    nodes = if_small(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = sets.join(nodes, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("setb")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("seta")), "a")
     common = F.size(F.array_intersect("seta", "setb"))
     return both.where(100 * common >= percent * (F.size("seta") + F.size("setb") - common)).select("a", "b").distinct()
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: in every band with members of several components, each member with one chosen member of another component."""
-    chosen = F.min(F.struct((F.col("node") if not turn else F.xxhash64("node", F.lit(turn))).alias("rank"), F.col("node"), F.col("label")))
-    centre = members.groupBy("key").agg(chosen.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    centre = stage(centre.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other")))
-    met = members.join(centre, "key").where("label <> other")
+    """``a, b``: in every band the members outside the component with the smallest label, each with one member inside it."""
+    chosen = F.min(F.struct(F.col("label"), F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node")))
+    centre = members.groupBy("key").agg(chosen.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other"))
+    met = members.join(stage(centre), "key").where("label <> other")
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """The members with their labels, in bands that still hold several components and more pairs than the one that was compared first."""
+    named = stage(members.select("key", "node").join(reached, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2")
+    return stage(named.join(stage(mixed.select("key")), "key"))
+
+
 def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` across components with sketches alike enough, in bands with at least three members.
+    """``a, b`` across components with sketches alike enough.
 
     A band is cut into blocks of about ``BLOCK`` and compared block against block in
     numpy, so one group never holds more than two blocks.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2")
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     size = stage(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
     held = members.join(size, "key").join(marks.select("node", "n_shingles", "__sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -202,13 +208,10 @@ def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         ends = [*head[1:].tolist(), t.num_rows]
         stop = len(head) if last else len(head) - 1
         walk.rest = t.slice(int(head[stop])) if stop < len(head) else None
-        a, b = [], []
         for k in range(stop):
             if ends[k] - head[k] > 1:
                 for x, y in pairs(t.slice(int(head[k]), int(ends[k] - head[k]))):
-                    a.append(x), b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return held.mapInArrow(run, "a long, b long").distinct()
 
@@ -234,18 +237,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     spread = stage(spread)
     shared = stage(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     members = stage(spread.join(shared, "key").withColumn("label", F.col("node")))
-    links, tested, labelled = None, None, members
+    nodes = if_small(members.select(F.col("node").alias("doc_id")).distinct())
+    sets = stage(_sets(docs.join(nodes, "doc_id", "left_semi"), size))
+    links, tested, left = None, None, members
     for turn in range(STARS + 1):
-        pairs = _star(labelled, turn) if turn < STARS else _blocks(labelled, marks, percent)
+        pairs = _star(left, turn) if turn < STARS else _blocks(left, marks, percent)
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(_alike(pairs, marks, percent) if turn < STARS else pairs)
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty():
             continue
-        sure = stage(_confirm(pairs, docs, size, percent))
+        sure = stage(_confirm(pairs, sets, percent))
         links = sure if links is None else links.union(sure)
         reached = components(links)
-        labelled = stage(members.drop("label").join(reached, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+        left = _open(left, reached)
     own = classes.select(*whose, "node")
     if links is not None:
         own = own.join(reached, "node", "left").select(*whose, F.coalesce("label", "node").alias("component_id"))

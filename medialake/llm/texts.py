@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 SLICE = 1 << 19
+PART = 2048
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SEP = np.zeros(256, bool)
@@ -140,7 +141,8 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 def add_columns(df: DataFrame, new: StructType, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """``df`` with further columns computed from Arrow batches in tasks.
 
-    ``start`` runs once a task and gives the function of a batch. A column of
+    ``start`` runs once a task and gives the function of a batch of at most ``PART``
+    rows, so that what it adds stays small beside the texts. A column of
     ``df`` with the name of a new one is replaced.
     """
     base = without(df, new.fieldNames())
@@ -148,8 +150,8 @@ def add_columns(df: DataFrame, new: StructType, start: Callable[[], Callable[[pa
     def run(batches):
         step = start()
         for b in batches:
-            if not b.num_rows:
-                continue
-            yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=[*b.schema.names, *new.fieldNames()])
+            for lo in range(0, b.num_rows, PART):
+                part = b.slice(lo, PART)
+                yield pa.RecordBatch.from_arrays([*part.columns, *step(part)], names=[*part.schema.names, *new.fieldNames()])
 
     return base.mapInArrow(run, StructType(base.schema.fields + new.fields))
