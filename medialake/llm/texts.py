@@ -138,6 +138,13 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c.lower() not in taken]) if any(c.lower() in taken for c in df.columns) else df
 
 
+def keeping(df: DataFrame, names: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(df)`` with the columns of ``df``, also those whose names the step gives or drops: they have other names meanwhile."""
+    taken = {n.lower() for n in names}
+    held = [f"__own_{k}" if c.lower() in taken else c for k, c in enumerate(df.columns)]
+    return step(df.toDF(*held)).select(*held).toDF(*df.columns)
+
+
 def add_columns(df: DataFrame, new: StructType, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """``df`` with further columns computed from Arrow batches in tasks.
 
