@@ -8,8 +8,8 @@ similarities. Documents with equal sets are one class from then on.
 
 Classes that share a band are compared with one member of that band, not with
 each other: the sketches sort out most pairs, the full sets decide the others.
-Bands whose members are still in different components are compared with other
-members, and what is then left is compared in blocks, sketch against sketch, and
+Bands whose members are still in different components are compared with several
+other members, and what is then left is compared in blocks, sketch against sketch, and
 only pairs across components that have not been confirmed yet go on. So no link between components is
 lost, and a large group of near copies costs its size, not its square.
 """
@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 6
 SAMPLES, BITS = 1024, 2048
 MARGIN = 0.055
 BLOCK = 256
-STARS = 6
+CENTRES = (1, 8)  # members of a band that the others are compared with, turn by turn
 
 _K = SAMPLES
 _rng = np.random.default_rng(5)
@@ -154,44 +154,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("seta") + F.size("setb") - common)).select("a", "b").distinct()
 
 
-def _star(members: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: in every band the members outside the component with the smallest label, each with one member inside it."""
-    chosen = F.min(F.struct(F.col("label"), F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node")))
-    centre = members.groupBy("key").agg(chosen.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("other"))
-    met = members.join(stage(centre), "key").where("label <> other")
+def _star(members: DataFrame, centres: int) -> DataFrame:
+    """``a, b``: in every band the members outside the component with the smallest label, each with some members inside it."""
+    chosen = [F.min(F.struct(F.col("label"), F.xxhash64("node", F.lit(k)).alias("rank"), F.col("node"))).alias(f"c{k}") for k in range(centres)]
+    centre = members.groupBy("key").agg(*chosen).select("key", F.col("c0.label").alias("other"), F.explode(F.array_distinct(F.array(*[F.col(f"c{k}.node") for k in range(centres)]))).alias("centre"))
+    met = members.join(if_small(centre), "key").where("label <> other")
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
     """The members with their labels, in bands that still hold several components and more pairs than the one that was compared first."""
-    named = stage(members.select("key", "node").join(reached, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    named = stage(members.select("key", "band", "node").join(if_small(reached), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")))
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2")
-    return stage(named.join(stage(mixed.select("key")), "key"))
+    return stage(named.join(if_small(mixed.select("key")), "key"))
 
 
 def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """``a, b`` across components with sketches alike enough.
 
     A band is cut into blocks of about ``BLOCK`` and compared block against block in
-    numpy, so one group never holds more than two blocks.
+    numpy, so one group never holds more than two blocks. Of the bands that a pair
+    shares the first one gives it.
     """
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    size = stage(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    held = members.join(size, "key").join(marks.select("node", "n_shingles", "__sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    size = size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    held = members.join(if_small(size), "key").join(marks.select("node", "n_shingles", "__sketch", "__bands"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "label", "n_shingles", "__sketch")
+    held = held.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "band", "node", "label", "n_shingles", "__sketch", "__bands")
     held = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     most = most_differing(percent)
 
     def pairs(group: pa.Table):
         node, label, n = (group[c].to_numpy() for c in ("node", "label", "n_shingles"))
         sketch = np.stack(group["__sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        bands, own = np.stack(group["__bands"].to_numpy()), group["band"][0].as_py()
         for at in range(0, len(node), 64):
             s = slice(at, at + 64)
             differ = np.bitwise_count(sketch[s, None, :] ^ sketch[None, :, :]).sum(-1, dtype=np.int64)
             small, large = np.minimum(n[s, None], n[None]), np.maximum(n[s, None], n[None])
             x, y = np.nonzero((differ <= most) & (label[s, None] != label[None]) & (node[s, None] < node[None]) & (100 * small >= percent * large))
-            yield node[s][x], node[y]
+            x = x + at
+            first = (bands[x] == bands[y]).argmax(1) == own
+            yield node[x[first]], node[y[first]]
 
     def run(batches):
         rest = None
@@ -232,18 +236,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     # documents of equal sets have equal bands and sketches, so any of them will do
     classes = stage(linked.groupBy(*whose).agg(F.min("doc_id").alias("node"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch")))
-    marks = classes.select("node", "n_shingles", "__sketch")
-    spread = classes.select("node", F.posexplode("__bands").alias("band", "k")).select(F.xxhash64("k", "band").alias("key"), "node").distinct()
+    marks = classes.select("node", "n_shingles", "__sketch", "__bands")
+    spread = classes.select("node", F.posexplode("__bands").alias("band", "k")).select(F.xxhash64("k", "band").alias("key"), "band", "node").distinct()
     spread = stage(spread)
     shared = stage(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     members = stage(spread.join(shared, "key").withColumn("label", F.col("node")))
     nodes = if_small(members.select(F.col("node").alias("doc_id")).distinct())
     sets = stage(_sets(docs.join(nodes, "doc_id", "left_semi"), size))
     links, tested, left = None, None, members
-    for turn in range(STARS + 1):
-        pairs = _star(left, turn) if turn < STARS else _blocks(left, marks, percent)
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(_alike(pairs, marks, percent) if turn < STARS else pairs)
+    for centres in (*CENTRES, None):
+        pairs = _star(left, centres) if centres else _blocks(left, marks, percent)
+        pairs = pairs if tested is None else pairs.join(if_small(tested), ["a", "b"], "left_anti")
+        pairs = stage(_alike(pairs, marks, percent) if centres else pairs)
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty():
             continue

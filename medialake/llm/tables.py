@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from medialake.operators.ordered import stage
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,14 +24,16 @@ def components(links: DataFrame) -> DataFrame:
     nothing is collected but the number of labels that still change.
     """
     both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     while True:
+        labels = if_small(labels)
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = stage(lower.join(roots, "label").select("node", "old", F.least("label", "root").alias("label")))
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
+        roots = labels.select(F.col("node").alias("near"), F.col("label").alias("root"))
+        # a node's own label is among its neighbours' nearest, or smaller than all of them
+        step = near.join(labels, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near")).join(roots, "near")
+        step = stage(step.select("node", "old", F.least("near", "root").alias("label")))
+        labels = step.select("node", "label")
+        if step.where("label <> old").isEmpty():
             return labels
 
 
