@@ -24,14 +24,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from medialake.llm.tables import labelled
 from medialake.llm.texts import Texts, add_columns, slices
 
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 LANDMARKS = 128
+LEAST_GAIN = 12.0  # of a landmark: log-likelihood ratio of its documents' split
 DECAY = 0.6
 POWER = 3  # of the kernel in the SVM
 REACH = 5  # most letters from the first to the last of a triple
 NEAR = 0.45  # kernel value from which a word is looked at
 KNOWN = 1_000_000
-SENTENCES = 8  # of a labelled document, the nearest to landmarks
+SENTENCES = 4  # of a labelled document, the nearest to landmarks
 
 _GAPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH) if a + b <= REACH]
 _CODE = np.zeros(256, np.int64)
@@ -188,12 +189,21 @@ def _document(margins: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.nd
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge, balanced classes) by Newton steps over the rows inside the margin; ``y`` is 1 or -1."""
     side = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w, inside, keep = np.zeros(z.shape[1]), np.ones(len(x), bool), np.append(np.full(x.shape[1], ridge), 1e-9)
+    d = x.shape[1] + 1
+    w, inside, keep = np.zeros(d), np.ones(len(x), bool), np.append(np.full(d - 1, ridge), 1e-9)
+
+    def parts(rows):
+        for at in range(0, len(rows), 4096):
+            i = rows[at : at + 4096]
+            yield i, np.hstack([x[i].astype(np.float64), np.ones((len(i), 1))])
+
     for _ in range(steps):
-        a = z[inside] * side[inside, None]
-        w = np.linalg.solve(a.T @ z[inside] + np.diag(keep), a.T @ y[inside])
-        now = y * (z @ w) < 1
+        h, g = np.diag(keep), np.zeros(d)
+        for i, z in parts(np.flatnonzero(inside)):
+            a = z * side[i, None]
+            h, g = h + a.T @ z, g + a.T @ y[i]
+        w = np.linalg.solve(h, g)
+        now = np.concatenate([y[i] * (z @ w) < 1 for i, z in parts(np.arange(len(x)))])
         if (now == inside).all():
             break
         inside = now
@@ -236,9 +246,11 @@ def find_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[bytes]:
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     p, q = n.get(1, 0), sum(n.values()) - n.get(1, 0)
     seen = sample.select("text", "label").mapInArrow(count, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log(((F.col("toxic") + 0.5) / (p + 1)) / ((F.col("clean") + 0.5) / (q + 1)))
-    ranked = seen.where((F.octet_length("word") >= 3) & (F.col("toxic") >= 3)).withColumn("odds", odds).where("odds > 1.2")
-    return [bytes(r["word"]) for r in ranked.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "word").limit(most).collect()]
+    # log-likelihood ratio of the split a word's documents have to the split of all
+    share, a, c = max(p, 1) / max(p + q, 2), F.col("toxic"), F.col("clean")
+    gain = 2 * (a * F.log(a / ((a + c) * share)) + F.when(c > 0, c * F.log(c / ((a + c) * (1 - share)))).otherwise(0.0)) if 0 < share < 1 else F.lit(0.0)
+    ranked = seen.where((F.octet_length("word") >= 3) & (a >= 3) & (a > 2 * share * (a + c))).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    return [bytes(r["word"]) for r in ranked.orderBy(F.col("gain").desc(), "word").limit(most).collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
@@ -269,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     has = got["x"].notna().to_numpy()
     if not has.any() or known.nunique() < 2:
         return blank
-    x = np.frombuffer(b"".join(got["x"][has]), np.float32).reshape(-1, k).astype(np.float64)
+    x = np.frombuffer(b"".join(got["x"][has]), np.float32).reshape(-1, k)
     y = got["label"].to_numpy()[has]
     doc = np.unique(got["doc_id"].to_numpy()[has], return_inverse=True)[1]
     body = b"".join(landmarks.names)
@@ -277,7 +289,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     own = landmarks.kernel(np.frombuffer(body, np.uint8), np.concatenate(([0], ends[:-1])), ends).astype(np.float64)
     value, vector = np.linalg.eigh(((own + own.T) / 2) ** POWER)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    z = x**POWER @ root
+    z = x**POWER @ root.astype(np.float32)
     # every sentence of a clean document is clean; of a toxic one, first the sentence nearest a landmark is toxic, then the one the SVM finds worst
     worst = x.max(1)
     for _ in range(3):
