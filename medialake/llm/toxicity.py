@@ -103,6 +103,7 @@ class Landmarks:
         self.row[distinct] = np.arange(len(distinct))
         self.weight = np.zeros((len(distinct), len(names)), np.float32)
         np.add.at(self.weight, (at, owner), weight / norm[owner])
+        self.most = self.weight.max(1) if len(names) else np.zeros(0, np.float32)
 
     def __getstate__(self):
         return self.names
@@ -110,8 +111,12 @@ class Landmarks:
     def __setstate__(self, names):
         self.__init__(names)
 
-    def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Normalised kernel of each byte range with each landmark."""
+    def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0) -> np.ndarray:
+        """Normalised kernel of each byte range with each landmark; 0 for those that cannot reach ``least`` with any.
+
+        A triple adds no more than its highest weight in a landmark, so a sum of
+        these bounds all landmarks at once.
+        """
         out = np.zeros((len(start), len(self.names)), np.float32)
         for lo in range(0, len(start), 2000):
             s, e = start[lo : lo + 2000], end[lo : lo + 2000]
@@ -121,8 +126,12 @@ class Landmarks:
             row, owner, weight = row[hit], owner[hit], weight[hit]
             if not len(row):
                 continue
-            order = np.argsort(owner, kind="stable")
-            row, owner, weight = row[order], owner[order], weight[order]
+            reach = np.bincount(owner, self.most[row] * weight, len(s)) >= least * norm
+            keep = np.flatnonzero(reach[owner])
+            keep = keep[np.argsort(owner[keep], kind="stable")]
+            row, owner, weight = row[keep], owner[keep], weight[keep]
+            if not len(row):
+                continue
             head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             got = owner[head]
             out[lo + got] = np.add.reduceat(self.weight[row] * weight[:, None], head, axis=0) / norm[got][:, None]
@@ -148,10 +157,11 @@ class Reader:
         at = np.searchsorted(self.far, distinct)
         known = (at < len(self.far)) & (self.far[np.minimum(at, len(self.far) - 1)] == distinct) if len(self.far) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
-        values = self.landmarks.kernel(low.data, start[first[new]], end[first[new]])
+        values = self.landmarks.kernel(low.data, start[first[new]], end[first[new]], NEAR)
         close = values.max(1) >= NEAR
         far = distinct[new[~close]]
-        self.far = np.union1d(self.far, far) if len(self.far) + len(far) <= KNOWN else np.sort(far)
+        # both are sorted
+        self.far = np.insert(self.far, np.searchsorted(self.far, far), far) if len(self.far) + len(far) <= KNOWN else far
         place = np.full(len(distinct), -1)
         place[new[close]] = np.arange(int(close.sum()))
         hit = np.flatnonzero(place[kind] >= 0)
