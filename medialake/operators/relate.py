@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import namespace_equals
@@ -39,21 +39,29 @@ def attach_init(objects: DataFrame, inits: DataFrame, on: list[str] | None = Non
 def interval_join(intervals: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: str, at: str, width: int) -> DataFrame:
     """Pairs with ``lo <= at <= hi`` and equal keys; NULL ``hi`` is open.
 
-    Both sides meet on (key, bucket of ``at``). An interval is clipped to the
-    key's own extent before it is spread over buckets, so an open end costs only
-    the buckets that hold points, and a hot key is spread over many tasks.
+    Both sides meet on (key, bucket of ``at``). The buckets that hold points are
+    numbered per key and an interval is spread over the numbers between its ends,
+    so it costs the buckets it meets and not the distance between them, however
+    sparse the points are, and a hot key is spread over many tasks.
     """
-    extent = points.groupBy(*keys).agg(F.min(at).alias("__bot"), F.max(at).alias("__top"))
-    first = F.greatest(F.col(lo), F.col("__bot"))
-    last = F.least(F.coalesce(F.col(hi), F.col("__top")), F.col("__top"))
+    bounded_lo = intervals.where(F.col(lo).isNotNull()).withColumns({"__before": idiv(lo, width) - 1, "__until": idiv(hi, width)})
+    placed = points.withColumn("__bucket", idiv(at, width))
+    held = placed.select(*keys, "__bucket", F.lit(1).alias("__held")).where(F.col("__bucket").isNotNull()).distinct()
+    ends = bounded_lo.select(*keys, F.explode(F.array("__before", "__until")).alias("__bucket"), F.lit(0).alias("__held")).where(F.col("__bucket").isNotNull()).distinct()
+    marks = held.unionByName(ends).groupBy(*keys, "__bucket").agg(F.max("__held").alias("__held"))
+    upto = marks.withColumn("__n", F.sum("__held").over(Window.partitionBy(*keys).orderBy("__bucket")))
+    numbered = upto.where("__held = 1").select(*keys, "__n", "__bucket")
     spread = (
-        intervals.join(extent, keys)
-        .where(first <= last)
-        .withColumn("__bucket", F.explode(F.sequence(idiv(first, width), idiv(last, width))))
-        .drop("__bot", "__top")
+        bounded_lo
+        .join(upto.select(*keys, F.col("__bucket").alias("__before"), F.col("__n").alias("__first")), [*keys, "__before"])
+        .join(upto.select(*keys, F.col("__bucket").alias("__until"), F.col("__n").alias("__last")), [*keys, "__until"], "left")
+        .join(upto.groupBy(*keys).agg(F.max("__n").alias("__all")), keys)
+        .withColumn("__last", F.when(F.col(hi).isNull(), F.col("__all")).otherwise(F.col("__last")))
+        .where("__first < __last")
+        .withColumn("__n", F.explode(F.sequence(F.col("__first") + 1, F.col("__last"))))
+        .select(*intervals.columns, "__n")
     )
-    placed = points.withColumn("__bucket", idiv(at, width))
-    joined = spread.join(placed, [*keys, "__bucket"]).drop("__bucket")
+    joined = spread.join(numbered, [*keys, "__n"]).drop("__n").join(placed, [*keys, "__bucket"]).drop("__bucket")
     return joined.where((F.col(at) >= F.col(lo)) & (F.col(hi).isNull() | (F.col(at) <= F.col(hi))))
 
 

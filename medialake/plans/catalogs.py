@@ -118,10 +118,17 @@ def _(v):
     return out.tracks.select("broadcast_id", "name", "is_live", "track_duration_ms")
 
 
-@query("L3_terminate", "SELECT DISTINCT c_nationkey AS broadcast_id, '1' AS version, true AS is_complete FROM customer")
+@query("L3_terminate", """
+SELECT c_nationkey AS broadcast_id, '1' AS version, true AS is_complete, CAST(count(*) AS BIGINT) AS tracks_before, CAST(0 AS BIGINT) AS tracks_after FROM customer GROUP BY 1""")
 def _(v):
     header = v.table("customer").select(F.col("c_nationkey").alias("broadcast_id"), F.lit("1").alias("version")).distinct()
-    return catalog.end_broadcast(Catalog(v.cat_before, header=header), v.cat_before, "terminate").header
+    done = catalog.end_broadcast(Catalog(v.cat_before, header=header), v.cat_before, "terminate")
+
+    def held(tracks, name):
+        return tracks.groupBy("broadcast_id").agg(F.count(F.lit(1)).alias(name))
+
+    return done.header.join(held(v.cat_before, "tracks_before"), ["broadcast_id"]).join(held(done.tracks, "tracks_after"), ["broadcast_id"], "left").withColumn(
+        "tracks_after", F.coalesce("tracks_after", F.lit(0).cast("bigint")))
 
 
 @query("S10_catalog_json", """

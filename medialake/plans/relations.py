@@ -188,21 +188,21 @@ def _(v):
 
 
 _MERGED = """
-WITH o AS (SELECT track_name, start_ms, coalesce(end_ms, 9223372036854775807) AS e FROM links_v),
-m AS (SELECT *, max(e) OVER (PARTITION BY track_name ORDER BY start_ms, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY track_name ORDER BY start_ms, e ROWS UNBOUNDED PRECEDING) AS isl FROM m),
-r AS (SELECT track_name, min(start_ms) AS start_ms, max(e) AS e FROM i GROUP BY track_name, isl)"""
+WITH o AS (SELECT link_id, track_name, start_ms, coalesce(end_ms, 9223372036854775807) AS e FROM links_v),
+m AS (SELECT *, max(e) OVER (PARTITION BY link_id, track_name ORDER BY start_ms, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY link_id, track_name ORDER BY start_ms, e ROWS UNBOUNDED PRECEDING) AS isl FROM m),
+r AS (SELECT link_id, track_name, min(start_ms) AS start_ms, max(e) AS e FROM i GROUP BY link_id, track_name, isl)"""
 
 
 @query("J11_clip_extraction", _MERGED + """
-SELECT track_name, plan_index, r.start_ms, nullif(r.e, 9223372036854775807) AS end_ms
+SELECT link_id, track_name, plan_index, r.start_ms, nullif(r.e, 9223372036854775807) AS end_ms
 FROM (SELECT track_name, plan_index, (media_time_us - 1704067200000000) // 1000 AS at_ms FROM objects_v) o JOIN r USING (track_name) WHERE at_ms BETWEEN r.start_ms AND r.e""")
 def _(v):
     from medialake.plans.views import EPOCH_US
 
     o = v.objects.select("track_name", "plan_index", idiv(F.col("media_time_us") - EPOCH_US, 1000).alias("at_ms"))
-    r = sets.merge_ranges(v.links.select("track_name", "start_ms", "end_ms"), ["track_name"])
-    return relate.extract_clips(o, r, ["track_name"], "at_ms").select("track_name", "plan_index", "start_ms", "end_ms")
+    r = sets.merge_ranges(v.links.select("link_id", "track_name", "start_ms", "end_ms"), ["link_id", "track_name"])
+    return relate.extract_clips(o, r, ["track_name"], "at_ms").select("link_id", "track_name", "plan_index", "start_ms", "end_ms")
 
 
 @query("J11_location_clips", """

@@ -79,8 +79,8 @@ SELECT l_orderkey AS asset_id, CAST(CAST(l_quantity AS INT) AS BIGINT) AS run_co
 FROM lineitem"""
 
 SQL["tracks_v"] = """
-SELECT p_partkey // 2 AS asset_id, p_partkey AS track_id, CASE WHEN p_partkey % 2 = 0 THEN 'vide' ELSE 'soun' END AS handler_type,
-       'u' || (p_partkey // 2) || '_' || CASE WHEN p_partkey % 2 = 0 THEN 'vide' ELSE 'soun' END AS track_name,
+SELECT p_partkey // 2 + away AS asset_id, p_partkey + 2 * away AS track_id, CASE WHEN p_partkey % 2 = 0 THEN 'vide' ELSE 'soun' END AS handler_type,
+       'u' || (p_partkey // 2 + away) || '_' || CASE WHEN p_partkey % 2 = 0 THEN 'vide' ELSE 'soun' END AS track_name,
        CASE WHEN p_size % 11 = 0 THEN '' ELSE p_type END AS codec, 'cmaf' AS packaging, '' AS mime_type, '' AS event_type,
        CAST(CASE WHEN p_partkey % 2 = 0 THEN 90000 ELSE 48000 END AS BIGINT) AS timescale,
        CASE WHEN p_partkey % 2 = 0 THEN p_size * 16 ELSE 0 END AS width, CASE WHEN p_partkey % 2 = 0 THEN p_size % 10 * 9 ELSE 0 END AS height,
@@ -90,7 +90,7 @@ SELECT p_partkey // 2 AS asset_id, p_partkey AS track_id, CASE WHEN p_partkey %
        CASE WHEN p_size % 5 = 0 THEN CAST(round(p_retailprice * 50) AS BIGINT) ELSE 0 END AS avg_bitrate,
        CAST(p_size * 1000 AS BIGINT) AS duration_ms,
        CASE p_partkey % 5 WHEN 0 THEN 'eng' WHEN 1 THEN 'fra' WHEN 2 THEN 'deu' WHEN 3 THEN 'und' ELSE 'haw' END AS language
-FROM part WHERE p_brand <> 'Brand#7'"""
+FROM (SELECT *, CAST(CASE WHEN p_brand = 'Brand#7' THEN 100000000 ELSE 0 END AS BIGINT) AS away FROM part)"""
 
 SQL["subs_v"] = """
 SELECT o_orderkey AS request_id, o_custkey // 10 AS feed_id,
@@ -111,7 +111,7 @@ FROM orders"""
 
 _CAT_SQL = """
 SELECT c_nationkey AS broadcast_id, c_custkey AS position, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'ns' || c_nationkey END AS namespace,
-       c_name AS name, CASE WHEN c_custkey % 31 = 0 THEN 'eventtimeline' WHEN c_custkey % 101 = 0 THEN '' ELSE 'cmaf' END AS packaging,
+       c_name || CASE WHEN c_mktsegment = '{segment}' THEN '-{tag}' ELSE '' END AS name, CASE WHEN c_custkey % 31 = 0 THEN 'eventtimeline' WHEN c_custkey % 101 = 0 THEN '' ELSE 'cmaf' END AS packaging,
        CASE WHEN c_custkey % 29 = 0 THEN 'ev' END AS event_type,
        CASE WHEN c_custkey % 2 = 1 THEN 'audio' ELSE 'video' END AS role, c_custkey % 3 <> 0 AS is_live,
        CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE {bitrate} END AS bitrate,
@@ -119,14 +119,14 @@ SELECT c_nationkey AS broadcast_id, c_custkey AS position, CASE WHEN c_custkey %
        CAST(CASE WHEN c_custkey % 23 = 0 THEN 60000 END AS BIGINT) AS track_duration_ms,
        CASE WHEN c_custkey % 41 = 0 THEN '50% off' WHEN c_custkey % 43 = 0 THEN '%name%' END AS label,
        c_name || '-init' AS init_ref
-FROM customer WHERE c_mktsegment <> '{segment}'"""
-SQL["cat_before"] = _CAT_SQL.format(bitrate="CAST(1000000 + c_custkey AS BIGINT)", segment="AUTOMOBILE")
+FROM customer"""
+SQL["cat_before"] = _CAT_SQL.format(bitrate="CAST(1000000 + c_custkey AS BIGINT)", segment="AUTOMOBILE", tag="old")
 SQL["cat_after"] = _CAT_SQL.format(
-    bitrate="CAST(1000000 + c_custkey + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS BIGINT)", segment="MACHINERY"
+    bitrate="CAST(1000000 + c_custkey + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS BIGINT)", segment="MACHINERY", tag="new"
 )
 SQL["cat_inits"] = """
-SELECT c_nationkey AS broadcast_id, c_name || '-init' AS id, 'inline' AS type, md5(c_name) AS data
-FROM customer WHERE c_acctbal > 0"""
+SELECT c_nationkey AS broadcast_id, c_name || CASE WHEN c_acctbal > 0 THEN '-init' ELSE '-spare' END AS id, 'inline' AS type, md5(c_name) AS data
+FROM customer"""
 
 SQL["snapshots_v"] = """
 SELECT broadcast_id, 2 * quarter + half AS version_seq, 'ns' AS namespace, name,
@@ -349,16 +349,18 @@ class Views:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        p = self.table("part").where("p_brand <> 'Brand#7'")
+        p = self.table("part")
         key, size = F.col("p_partkey"), F.col("p_size")
+        # tracks of one brand have keys that no fragment or subscription names
+        away = F.when(F.col("p_brand") == "Brand#7", 100000000).otherwise(0).cast("bigint")
         even = key % 2 == 0
         handler = F.when(even, "vide").otherwise("soun")
         lang = F.element_at(F.array(*[F.lit(x) for x in ("eng", "fra", "deu", "und", "haw")]), (key % 5 + 1).cast("int"))
         return p.select(
-            idiv(key, 2).alias("asset_id"),
-            key.alias("track_id"),
+            (idiv(key, 2) + away).alias("asset_id"),
+            (key + 2 * away).alias("track_id"),
             handler.alias("handler_type"),
-            F.concat(F.lit("u"), idiv(key, 2).cast("string"), F.lit("_"), handler).alias("track_name"),
+            F.concat(F.lit("u"), (idiv(key, 2) + away).cast("string"), F.lit("_"), handler).alias("track_name"),
             F.when(size % 11 == 0, "").otherwise(F.col("p_type")).alias("codec"),
             F.lit("cmaf").alias("packaging"),
             F.lit("").alias("mime_type"),
@@ -410,14 +412,15 @@ class Views:
             F.when(~is_open & (o % 4 != 0), 2 + o % 5).alias("end_object"),
         )
 
-    def _catalog(self, bitrate: Column, segment: str) -> DataFrame:
+    def _catalog(self, bitrate: Column, segment: str, tag: str) -> DataFrame:
         k = F.col("c_custkey")
         audio = k % 4 == 1
-        return self.table("customer").where(F.col("c_mktsegment") != segment).select(
+        own = F.concat("c_name", F.when(F.col("c_mktsegment") == segment, f"-{tag}").otherwise(""))
+        return self.table("customer").select(
             F.col("c_nationkey").alias("broadcast_id"),
             k.alias("position"),
             F.when(k % 13 != 0, F.concat(F.lit("ns"), F.col("c_nationkey").cast("string"))).alias("namespace"),
-            F.col("c_name").alias("name"),
+            own.alias("name"),
             F.when(k % 31 == 0, "eventtimeline").when(k % 101 == 0, "").otherwise("cmaf").alias("packaging"),
             F.when(k % 29 == 0, "ev").alias("event_type"),
             F.when(k % 2 == 1, "audio").otherwise("video").alias("role"),
@@ -432,18 +435,18 @@ class Views:
 
     @cached_property
     def cat_before(self) -> DataFrame:
-        return self._catalog(1000000 + F.col("c_custkey"), "AUTOMOBILE")
+        return self._catalog(1000000 + F.col("c_custkey"), "AUTOMOBILE", "old")
 
     @cached_property
     def cat_after(self) -> DataFrame:
         bump = F.when(F.col("c_acctbal") < 0, 1).otherwise(0)
-        return self._catalog(1000000 + F.col("c_custkey") + bump, "MACHINERY")
+        return self._catalog(1000000 + F.col("c_custkey") + bump, "MACHINERY", "new")
 
     @cached_property
     def cat_inits(self) -> DataFrame:
-        return self.table("customer").where("c_acctbal > 0").select(
+        return self.table("customer").select(
             F.col("c_nationkey").alias("broadcast_id"),
-            F.concat("c_name", F.lit("-init")).alias("id"),
+            F.concat("c_name", F.when(F.col("c_acctbal") > 0, "-init").otherwise("-spare")).alias("id"),
             F.lit("inline").alias("type"),
             F.md5("c_name").alias("data"),
         )

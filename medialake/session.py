@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,11 +35,14 @@ def build_session(master: str | None = None, app: str = "medialake", **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's own setting when there is one.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a
-    temporary folder.
+    A local session without ``spark.checkpoint.dir`` (a test) gets a temporary
+    folder. On a cluster executors and driver share no temporary folder, so the
+    setting is required there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

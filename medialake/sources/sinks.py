@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from medialake.functions.timing import idiv
 from medialake.operators.ordered import HotKeys, find_hot
 
 OBJECT_KEY = ["broadcast_id", "track_name", "group_id", "object_id"]
@@ -62,38 +64,59 @@ def write_catalog_json(documents: DataFrame, path: str, broadcast: str = "broadc
 
 
 def write_object_stream(df: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None,
-                        key: list[str] | None = None, once: bool = True, bucket: int = 64) -> StreamingQuery:
-    """Append served objects exactly once per key.
-
-    Each micro-batch goes to its own ``batch=<id>`` folder with overwrite, so a
-    replayed batch replaces itself. Rows stored by earlier batches are left out by
-    an anti-join on the key columns; it reads only the folders of the batch's own
-    range of group buckets, not the whole lake. ``on_batch`` gets the new rows.
+                        key: list[str] | None = None, once: bool = True, bucket: int = 64, owners: int = 64) -> StreamingQuery:
+    """Append served objects exactly once per key; several queries may share a lake.
+
+    Rows lie in ``owner=<hash of the broadcast>/group_bucket=<groups>/batch=<query>-<batch>``.
+    The query's id lives in its checkpoint, so a replayed batch replaces its own
+    folders and a new checkpoint never touches those of an older one. Rows stored
+    before are left out by an anti-join on the key columns that lists and reads
+    only the owner and group folders of the batch's own rows. ``on_batch`` gets
+    the new rows.
     """
     key = key or OBJECT_KEY
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("group_bucket", F.floor(F.col("group_id") / bucket).cast("int")).dropDuplicates(key)
-        reach = new.agg(F.min("group_bucket").alias("lo"), F.max("group_bucket").alias("hi")).first()
-        if reach.lo is None:
+        name = f"{_query_id(spark)}-{batch_id}"
+        placed = batch.withColumns({"owner": F.pmod(F.xxhash64(key[0]), F.lit(owners)).cast("int"), "group_bucket": idiv("group_id", bucket), "batch": F.lit(name)})
+        new = placed.dropDuplicates(key)
+        folders = [(r.owner, r.group_bucket) for r in placed.select("owner", "group_bucket").distinct().limit(FOLDERS + 1).collect()]
+        if not folders:
             return
-        if _has_other_batches(spark, path, batch_id):
-            seen = spark.read.parquet(path).where(F.col("group_bucket").between(reach.lo, reach.hi) & (F.col("batch") != batch_id))
-            new = new.join(seen.select("group_bucket", *key), ["group_bucket", *key], "left_anti")
-        target = f"{path}/batch={batch_id}"
-        new.write.mode("overwrite").partitionBy("group_bucket").parquet(target)
+        seen = _stored(spark, path, folders, new.schema)
+        if seen is not None:
+            new = new.join(seen.where(F.col("batch") != name).select(*key), key, "left_anti")
+        new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("owner", "group_bucket", "batch").parquet(path)
         if on_batch is not None:
-            on_batch(spark.read.schema(new.schema).parquet(target), batch_id)
+            stored = _stored(spark, path, folders, placed.schema)
+            on_batch(stored.where(F.col("batch") == name).drop("owner", "group_bucket", "batch"), batch_id)
 
     writer = df.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _has_other_batches(spark: SparkSession, path: str, batch_id: int) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return False
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return any(n.startswith("batch=") and n != f"batch={batch_id}" for n in names)
+#: Up to so many folders of a micro-batch are listed one by one; beyond it the lake's partitions are listed once and pruned.
+FOLDERS = 1000
+
+
+def _query_id(spark: SparkSession) -> str:
+    """Id of the streaming query that runs this micro-batch, as kept in its checkpoint."""
+    found = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise RuntimeError("not inside a streaming micro-batch")
+    return found
+
+
+def _stored(spark: SparkSession, path: str, folders: list[tuple[int, int]], schema: StructType) -> DataFrame | None:
+    """Rows in the given (owner, group bucket) folders of the lake; None where none exists."""
+    lake = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = lake.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(lake):
+        return None
+    reader = spark.read.schema(schema).option("basePath", path)
+    if len(folders) > FOLDERS:
+        return reader.parquet(path)
+    names = [f"{path}/owner={o}/group_bucket={'__HIVE_DEFAULT_PARTITION__' if g is None else g}" for o, g in folders]
+    there = [n for n in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n))]
+    return reader.parquet(*there) if there else None

@@ -141,3 +141,15 @@ def test_interval_join_spreads_and_keeps_all(spark):
     b = spark.createDataFrame(pts, "k string, p bigint, at bigint")
     want = sorted((i, p) for _, i, lo, hi in iv for _, p, at in pts if at >= lo and (hi is None or at <= hi))
     assert rows(relate.interval_join(a, b, ["k"], "lo", "hi", "at", 10), "i", "p") == want
+
+
+def test_interval_join_on_sparse_points(spark):
+    """Points far apart cost their own buckets, not those between them."""
+    rng = random.Random(9)
+    step = 1_700_000_000_000
+    pts = [("k", i, step * (i % 5) + rng.randrange(300)) for i in range(50)] + [("o", 99, 7)]
+    iv = [("k", i, step * rng.randrange(5) + rng.randrange(200), rng.choice([None, step * rng.randrange(6)])) for i in range(30)] + [("k", 98, None, 5), ("x", 97, 0, None)]
+    a = spark.createDataFrame(iv, "k string, i bigint, lo bigint, hi bigint")
+    b = spark.createDataFrame(pts, "k string, p bigint, at bigint")
+    want = sorted((i, p) for k, i, lo, hi in iv for q, p, at in pts if k == q and lo is not None and at >= lo and (hi is None or at <= hi))
+    assert rows(relate.interval_join(a, b, ["k"], "lo", "hi", "at", 10), "i", "p") == want

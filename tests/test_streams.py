@@ -161,6 +161,19 @@ def test_object_sink_is_exactly_once(spark, folder):
     assert sum(n for _, n in seen) == 4
 
 
+def test_object_sinks_share_a_lake(spark, folder):
+    """Two queries, a lost checkpoint and epoch-millisecond groups: every row is stored once."""
+    schema = "broadcast_id bigint, track_name string, group_id bigint, object_id bigint, payload string"
+    first, second = [(1, "t", 1_700_000_000_000, i, f"p{i}") for i in range(3)], [(1, "t", 1_700_000_000_000 + i, 0, "q") for i in range(3)] + [(2, "t", 0, 0, "r"), (None, "t", None, 0, "s")]
+    for n, (data, ck) in enumerate([(first, "a"), (second, "b"), (first, "c"), (first + [(1, "t", 5, 5, "new")], "a")]):
+        src = feed(spark, spark.createDataFrame(data, schema), f"{folder}/in{ck}" if n < 3 else f"{folder}/ind", "payload", 1)
+        write_object_stream(src, folder + "/lake", f"{folder}/ck{ck if n < 3 else 'd'}").awaitTermination(240)
+    stored = spark.read.parquet(folder + "/lake")
+    want = {r[:4] for r in first + second + [(1, "t", 5, 5)]}
+    got = [tuple(r) for r in stored.select("broadcast_id", "track_name", "group_id", "object_id").collect()]
+    assert {r for r in got if r[2] is not None} == {r for r in want if r[2] is not None} and len([r for r in got if r[2] is not None]) == len({r for r in want if r[2] is not None})
+
+
 def test_republish_timer_and_ticks(spark, folder):
     log = spark.createDataFrame([(1, 0, 1000), (1, 1, 5500)], "broadcast_id bigint, version_seq bigint, published_ms bigint")
     ticks = spark.createDataFrame([(1, t) for t in (500, 1900, 2100, 2900, 3200, 6000, 6600)], "broadcast_id bigint, tick_ms bigint")
