@@ -19,7 +19,7 @@ from medialake.functions.binary import be_int32, be_uint, fourcc, has_bit, slice
 from medialake.functions.text import language_tag, uuid_text
 from medialake.functions.timing import idiv
 from medialake.operators.expand import explode_count
-from medialake.operators.ordered import bounded, row_index, run_sum, running
+from medialake.operators.ordered import bounded, row_index, run_sum, running, stage
 from medialake.operators.relate import overlay_defaults
 
 # Boxes whose payload is a list of boxes.
@@ -144,7 +144,7 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "length")
 
 
-def scan_boxes(spark: SparkSession, path: str, glob: str | None = "*.mp4") -> DataFrame:
+def scan_boxes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     files = list_files(spark, path, glob).select("path")
     return boxes_of_files(files.repartition(spark.sparkContext.defaultParallelism * 4, "path"))
 
@@ -176,11 +176,20 @@ def _pairs(boxes: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("tree") == t, F.col(c))).alias(f"{t}_{c[4:]}") for t in ("moof", "mdat") for c in ("box_offset", "box_size")])
 
 
-def _fragment_heads(boxes: DataFrame) -> DataFrame:
-    """First track run of each fragment: header, decode time and run payloads."""
-    in_first = boxes.where("tree IN ('moof/traf/tfhd', 'moof/traf/tfdt', 'moof/traf/trun') AND branch_ordinal = 0")
-    return in_first.groupBy("path", F.col("top_ordinal").alias("fragment_index")).agg(
-        _payload_of("moof/traf/tfhd").alias("tfhd"), _payload_of("moof/traf/tfdt").alias("tfdt"), _payload_of("moof/traf/trun").alias("trun"))
+def _fragment_heads(boxes: DataFrame, mode: str = "all") -> DataFrame:
+    """One row for each track fragment of a fragment: header, decode time and the payloads of its runs.
+
+    ``mode="reference"`` keeps the first run of the first track fragment alone.
+    """
+    if mode not in ("all", "reference"):
+        raise ValueError(f"unknown mode {mode!r}")
+    inside = boxes.where("tree IN ('moof/traf/tfhd', 'moof/traf/tfdt', 'moof/traf/trun')")
+    if mode == "reference":
+        inside = inside.where("branch_ordinal = 0")
+    run = F.when((F.col("tree") == "moof/traf/trun") & ((F.col("ordinal") == 0) | (mode == "all")), F.struct(F.col("ordinal").alias("run_index"), F.col("payload").alias("trun")))
+    # a track fragment is one box, so its list of runs is bounded
+    return inside.groupBy("path", F.col("top_ordinal").alias("fragment_index"), F.col("branch_ordinal").alias("traf_index")).agg(
+        _payload_of("moof/traf/tfhd").alias("tfhd"), _payload_of("moof/traf/tfdt").alias("tfdt"), F.collect_list(run).alias("runs"))
 
 
 def _base_decode_time() -> Column:
@@ -188,18 +197,18 @@ def _base_decode_time() -> Column:
     return F.coalesce(F.when(version == 1, be_uint("tfdt", 4, 8)).otherwise(be_uint("tfdt", 4, 4)), F.lit(0).cast("bigint"))
 
 
-def fragments_of(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fragments, rejects): one row per moof+mdat pair of the accepted files."""
+def fragments_of(boxes: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """(fragments, rejects): one row per track fragment of each moof+mdat pair of the accepted files; ``mode`` as for samples."""
     rejects = file_rejects(boxes)
-    heads = _fragment_heads(boxes).select(
-        "path", "fragment_index", be_uint("tfhd", 4, 4).alias("track_id"), _base_decode_time().alias("base_decode_time"))
+    heads = _fragment_heads(boxes, mode).select(
+        "path", "fragment_index", "traf_index", be_uint("tfhd", 4, 4).alias("track_id"), _base_decode_time().alias("base_decode_time"))
     pairs = _pairs(boxes).where("moof_offset IS NOT NULL AND mdat_offset IS NOT NULL")
     frags = pairs.join(heads, ["path", "fragment_index"], "left").join(rejects, ["path"], "left_anti")
     return frags, rejects
 
 
-def scan_fragments(spark: SparkSession, path: str, glob: str | None = "*.mp4") -> tuple[DataFrame, DataFrame]:
-    return fragments_of(scan_boxes(spark, path, glob))
+def scan_fragments(spark: SparkSession, path: str, glob: str | None = None, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    return fragments_of(stage(scan_boxes(spark, path, glob)), mode)
 
 
 def attach_payload(rows: DataFrame, offset: str, size: str, name: str = "payload") -> DataFrame:
@@ -284,7 +293,7 @@ def tracks_of(boxes: DataFrame) -> DataFrame:
         "protection")
 
 
-def scan_tracks(spark: SparkSession, path: str, glob: str | None = "*.mp4") -> DataFrame:
+def scan_tracks(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return tracks_of(scan_boxes(spark, path, glob))
 
 
@@ -298,7 +307,7 @@ def protection_of(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tracks, systems
 
 
-def scan_protection(spark: SparkSession, path: str, glob: str | None = "*.mp4") -> tuple[DataFrame, DataFrame]:
+def scan_protection(spark: SparkSession, path: str, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     return protection_of(scan_boxes(spark, path, glob))
 
 
@@ -309,10 +318,15 @@ def init_defaults(boxes: DataFrame) -> DataFrame:
         F.min_by(be_uint("payload", 20, 4), "box_id").alias("flags"))
 
 
-def samples_of(boxes: DataFrame, precedence: str = "standard") -> DataFrame:
-    """Samples of each fragment's first run with defaults filled in and decode times accumulated."""
-    h = _fragment_heads(boxes).withColumns({
-        "track_id": be_uint("tfhd", 4, 4), "base_decode_time": _base_decode_time(), "__hf": be_uint("tfhd", 1, 3), "__rf": be_uint("trun", 1, 3)})
+def samples_of(boxes: DataFrame, precedence: str = "standard", mode: str = "all") -> DataFrame:
+    """Samples of all track fragments and runs with defaults filled in and decode times accumulated.
+
+    ``sample_index`` counts over the runs of a track fragment, ``payload_offset``
+    over the whole fragment: its data are taken to lie in the order of its runs.
+    ``mode="reference"`` reads the first run of the first track fragment alone.
+    """
+    heads = _fragment_heads(boxes, mode).withColumns({
+        "track_id": be_uint("tfhd", 4, 4), "base_decode_time": _base_decode_time(), "__hf": be_uint("tfhd", 1, 3)})
 
     def width(flags: str, masks: dict[int, int]) -> Column:
         return sum((F.when(has_bit(flags, m), n).otherwise(0) for m, n in masks.items()), F.lit(0))
@@ -322,38 +336,40 @@ def samples_of(boxes: DataFrame, precedence: str = "standard") -> DataFrame:
     for name, mask in (("duration", 0x8), ("size", 0x10), ("flags", 0x20)):
         frag_default[name] = F.when(has_bit("__hf", mask), be_uint("tfhd", 8 + width("__hf", skip), 4))
         skip = {**skip, mask: 4}
-    defaults = h.select("path", "fragment_index", *[c.alias(n) for n, c in frag_default.items()])
+    traf = ["path", "fragment_index", "traf_index"]
+    defaults = heads.select(*traf, *[c.alias(n) for n, c in frag_default.items()])
 
     fields = {"duration": 0x100, "size": 0x200, "flags": 0x400, "offset": 0x800}
     record = width("__rf", {m: 4 for m in fields.values()})
     start = 8 + width("__rf", {0x1: 4, 0x4: 4})
     first_flags = F.when(has_bit("__rf", 0x4), be_uint("trun", 8 + width("__rf", {0x1: 4}), 4))
-    h = h.where("trun IS NOT NULL").withColumns({"__w": record, "__start": start, "__count": be_uint("trun", 4, 4), "__first": first_flags})
+    h = heads.select(*traf, "track_id", "base_decode_time", F.inline("runs")).withColumn("__rf", be_uint("trun", 1, 3)).withColumns({"__w": record, "__start": start, "__count": be_uint("trun", 4, 4), "__first": first_flags})
     # Records are cut out once per run; the run payload is not copied per sample.
     there = F.greatest(F.least(F.col("__count"), idiv(F.length("trun") - F.col("__start"), F.when(F.col("__w") > 0, F.col("__w")))), F.lit(0))
-    keep = ["path", "fragment_index", "track_id", "base_decode_time", "__rf", "__first"]
+    keep = [*traf, "run_index", "track_id", "base_decode_time", "__rf", "__first"]
     cut = F.transform(F.sequence(F.lit(1), F.greatest(there, F.lit(1)).cast("int")),
                       lambda i: slice_bytes("trun", F.col("__start") + (i - 1) * F.col("__w"), F.col("__w")))
-    listed = h.where("__w > 0").where(there > 0).select(*keep, F.posexplode(cut).alias("sample_index", "__rec"))
-    listed = listed.withColumn("sample_index", F.col("sample_index").cast("bigint"))
-    plain = explode_count(h.where("__w = 0").select(*keep, "__count"), "__count", "sample_index").select(
-        *keep, "sample_index", F.lit(None).cast("binary").alias("__rec"))
+    listed = h.where("__w > 0").where(there > 0).select(*keep, F.posexplode(cut).alias("__at", "__rec"))
+    listed = listed.withColumn("__at", F.col("__at").cast("bigint"))
+    plain = explode_count(h.where("__w = 0").select(*keep, "__count"), "__count", "__at").select(
+        *keep, "__at", F.lit(None).cast("binary").alias("__rec"))
     s = listed.unionByName(plain)
     values, skip = {}, {}
     for name, mask in fields.items():
         read = be_int32 if name == "offset" else (lambda d, o: be_uint(d, o, 4))
         values[name] = F.when(has_bit("__rf", mask), read("__rec", width("__rf", skip)))
         skip = {**skip, mask: 4}
-    own_flags = F.coalesce(values["flags"], F.when(F.col("sample_index") == 0, F.col("__first")))
-    s = s.select("path", "fragment_index", "track_id", "base_decode_time", "sample_index", values["duration"].alias("duration"),
+    own_flags = F.coalesce(values["flags"], F.when(F.col("__at") == 0, F.col("__first")))
+    s = s.select(*traf, "run_index", "track_id", "base_decode_time", "__at", values["duration"].alias("duration"),
                  values["size"].alias("size"), own_flags.alias("flags"), F.coalesce(values["offset"], F.lit(0)).cast("int").alias("composition_offset"))
-    s = overlay_defaults(s, defaults, init_defaults(boxes), ["path", "fragment_index"], ["path", "track_id"], precedence)
+    s = overlay_defaults(s, defaults, init_defaults(boxes), traf, ["path", "track_id"], precedence)
     s = s.na.fill({"duration": 0, "size": 0, "flags": DEFAULT_FLAGS})
-    # One run is one box: its samples are a bounded group.
-    s = running(s, ["path", "fragment_index"], ["sample_index"],
-                [run_sum("__t", F.col("duration"), exclusive=True), run_sum("payload_offset", F.col("size"), exclusive=True)], hot=bounded("path", "fragment_index"))
-    return s.withColumn("decode_time", F.col("base_decode_time") + F.col("__t")).drop("__t")
+    # One fragment is one box: its samples are a bounded group, and one clustering by fragment serves both sums.
+    fragment = bounded("path", "fragment_index")
+    s = running(s, ["path", "fragment_index"], ["traf_index", "run_index", "__at"], [run_sum("payload_offset", F.col("size"), exclusive=True)], hot=fragment)
+    s = running(s, traf, ["run_index", "__at"], [run_sum("__t", F.col("duration"), exclusive=True), run_sum("sample_index", F.lit(1).cast("bigint"), exclusive=True)], hot=bounded(*traf))
+    return s.withColumn("decode_time", F.col("base_decode_time") + F.col("__t")).drop("__t", "__at")
 
 
-def scan_samples(spark: SparkSession, path: str, glob: str | None = "*.mp4", precedence: str = "standard") -> DataFrame:
-    return samples_of(scan_boxes(spark, path, glob), precedence)
+def scan_samples(spark: SparkSession, path: str, glob: str | None = None, precedence: str = "standard", mode: str = "all") -> DataFrame:
+    return samples_of(stage(scan_boxes(spark, path, glob)), precedence, mode)

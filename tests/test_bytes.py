@@ -195,3 +195,25 @@ def test_pes_stream(spark, folder):
     assert rows(out, "pid", "packet_index", "pts90k", "payload") == want
     assert rows(sequence.pes_samples(df), "pid", "packet_index", "pts90k", "payload") == want
     assert rows(sequence.pes_samples(df, flush_last=True), "pid", "packet_index")[1] == (256, 4)
+
+
+def test_every_run_of_every_track_fragment(spark):
+    """Two track fragments of two runs and six samples; the reference mode reads the first run alone."""
+    from build_bytes import box, full, init, mdat, trak, trex, u32
+
+    def run(*sizes, first=None):
+        return full("trun", 0x200 | 0x1 | (0x4 if first is not None else 0), u32(len(sizes), 0), u32(first) if first is not None else b"", u32(*sizes))
+
+    def traf(track, base, *runs):
+        return box("traf", full("tfhd", 0, u32(track)), full("tfdt", 0, u32(base)), *runs)
+
+    head = init(trak(1, "vide", "avc1", 1000), trak(2, "soun", "mp4a", 1000), trexes=trex(1, 40, 0, 0x10000) + trex(2, 20, 0, 0))
+    body = box("moof", full("mfhd", 0, u32(1)), traf(1, 100, run(5, 6, first=7), run(1)), traf(2, 900, run(2), run(3, 4, first=9)))
+    files = spark.createDataFrame([("m.mp4", bytearray(head + body + mdat(bytes(21)))), ("junk.txt", bytearray(b"not a media file"))], "path string, content binary")
+    boxes = mp4.boxes_of_files(files)
+    got = rows(mp4.samples_of(boxes), "track_id", "run_index", "sample_index", "decode_time", "size", "payload_offset", "flags")
+    assert got == [(1, 0, 0, 100, 5, 0, 7), (1, 0, 1, 140, 6, 5, 0x10000), (1, 1, 2, 180, 1, 11, 0x10000), (2, 0, 0, 900, 2, 12, 0), (2, 1, 1, 920, 3, 14, 9), (2, 1, 2, 940, 4, 17, 0)]
+    assert mp4.samples_of(boxes, mode="reference").count() == 2
+    frags, rejects = mp4.fragments_of(boxes)
+    assert rows(frags, "fragment_index", "traf_index", "track_id", "base_decode_time") == [(0, 0, 1, 100), (0, 1, 2, 900)]
+    assert [r["path"] for r in rejects.collect()] == ["junk.txt"]
