@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from medialake.llm.tables import if_small
 from medialake.llm.texts import WORD, add_columns, without
 from medialake.operators.ordered import stage
 
@@ -352,6 +353,7 @@ def pack(parts: DataFrame, capacity: int = 4096, rounds: int = ROUNDS) -> DataFr
 
         return step
 
-    ranked = rows.join(base, ["length", "__task"]).withColumn("__rank", F.col("__base") + F.col("__nth")).drop("__base", "__nth", "__task")
+    # rows may carry their token ids: they stay where they are while the bases are few
+    ranked = rows.join(if_small(base), ["length", "__task"]).withColumn("__rank", F.col("__base") + F.col("__nth")).drop("__base", "__nth", "__task")
     names = [c for c in without(parts, ["sequence_id", "offset"]).columns]
     return add_columns(ranked, place, find).select(*names, "sequence_id", "offset")
