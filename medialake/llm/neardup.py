@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from medialake.llm.tables import components, if_small
+from medialake.llm.tables import components, hinted, if_small, tight
 from medialake.llm.texts import Texts, add_columns, mix, shingles, slices
 from medialake.operators.ordered import stage
 
@@ -164,9 +164,9 @@ def _star(members: DataFrame, centres: int) -> DataFrame:
 
 def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
     """The members with their labels, in bands that still hold several components and more pairs than the one that was compared first."""
-    named = stage(members.select("key", "band", "node").join(if_small(reached), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")))
+    named = tight(members.select("key", "band", "node").join(hinted(reached), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label")))
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2")
-    return stage(named.join(if_small(mixed.select("key")), "key"))
+    return tight(named.join(if_small(mixed.select("key")), "key"))
 
 
 def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -235,23 +235,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     whose = ["__k1", "__k2", "n_shingles"]
     linked = signed.where("n_shingles > 0 and doc_id is not null")
     # documents of equal sets have equal bands and sketches, so any of them will do
-    classes = stage(linked.groupBy(*whose).agg(F.min("doc_id").alias("node"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch")))
+    classes = tight(linked.groupBy(*whose).agg(F.min("doc_id").alias("node"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch")))
     marks = classes.select("node", "n_shingles", "__sketch", "__bands")
     spread = classes.select("node", F.posexplode("__bands").alias("band", "k")).select(F.xxhash64("k", "band").alias("key"), "band", "node").distinct()
-    spread = stage(spread)
-    shared = stage(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
-    members = stage(spread.join(shared, "key").withColumn("label", F.col("node")))
+    spread = tight(spread)
+    shared = tight(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
+    members = tight(spread.join(shared, "key").withColumn("label", F.col("node")))
     nodes = if_small(members.select(F.col("node").alias("doc_id")).distinct())
     sets = stage(_sets(docs.join(nodes, "doc_id", "left_semi"), size))
     links, tested, left = None, None, members
     for centres in (*CENTRES, None):
         pairs = _star(left, centres) if centres else _blocks(left, marks, percent)
-        pairs = pairs if tested is None else pairs.join(if_small(tested), ["a", "b"], "left_anti")
-        pairs = stage(_alike(pairs, marks, percent) if centres else pairs)
+        pairs = pairs if tested is None else pairs.join(hinted(tested), ["a", "b"], "left_anti")
+        pairs = tight(_alike(pairs, marks, percent) if centres else pairs)
         tested = pairs if tested is None else tested.union(pairs)
         if pairs.isEmpty():
             continue
-        sure = stage(_confirm(pairs, sets, percent))
+        sure = tight(_confirm(pairs, sets, percent))
         links = sure if links is None else links.union(sure)
         reached = components(links)
         left = _open(left, reached)
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         own = own.join(reached, "node", "left").select(*whose, F.coalesce("label", "node").alias("component_id"))
     else:
         own = own.withColumnRenamed("node", "component_id")
-    out = signed.select("doc_id", *whose).join(stage(own), whose, "left")
+    out = signed.select("doc_id", *whose).join(tight(own), whose, "left")
     out = out.withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -10,10 +10,23 @@ from medialake.operators.ordered import stage
 BROADCAST_ROWS = 400_000
 
 
+def tight(df: DataFrame) -> DataFrame:
+    """``df`` staged by at most two tasks a core, however many partitions its last shuffle has.
+
+    A task then works through several partitions one after another, which takes no
+    more memory, and a small table does not become a file for each partition.
+    """
+    return stage(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, staged, with a broadcast hint if it has at most ``rows`` narrow rows; beyond that Spark plans the join."""
-    staged = stage(df)
-    return F.broadcast(staged) if staged.count() <= rows else staged
+    return hinted(tight(df), rows)
+
+
+def hinted(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same for what is read from staged tables already."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,15 +36,15 @@ def components(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a chain. Every round is written as a table;
     nothing is collected but the number of labels that still change.
     """
-    both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    both = tight(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = tight(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        labels = if_small(labels)
+        labels = hinted(labels)
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         roots = labels.select(F.col("node").alias("near"), F.col("label").alias("root"))
         # a node's own label is among its neighbours' nearest, or smaller than all of them
         step = near.join(labels, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near")).join(roots, "near")
-        step = stage(step.select("node", "old", F.least("near", "root").alias("label")))
+        step = tight(step.select("node", "old", F.least("near", "root").alias("label")))
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return labels
