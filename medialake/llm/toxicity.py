@@ -29,6 +29,7 @@ LANDMARKS = 128
 LEAST_GAIN = 12.0  # of a landmark: log-likelihood ratio of its documents' split
 DECAY = 0.6
 POWER = 3  # of the kernel in the SVM
+APART = 0.8  # kernel value from which two landmarks are one
 REACH = 5  # most letters from the first to the last of a triple
 NEAR = 0.45  # kernel value from which a word is looked at
 KNOWN = 1_000_000
@@ -101,9 +102,14 @@ class Landmarks:
         self.row = np.full(_BASE**3, -1, np.int32)
         distinct, at = np.unique(key, return_inverse=True)
         self.row[distinct] = np.arange(len(distinct))
-        self.weight = np.zeros((len(distinct), len(names)), np.float32)
-        np.add.at(self.weight, (at, owner), weight / norm[owner])
-        self.most = self.weight.max(1) if len(names) else np.zeros(0, np.float32)
+        weights = np.zeros((len(distinct), len(names)), np.float32)
+        np.add.at(weights, (at, owner), weight / norm[owner])
+        self.most = weights.max(1) if len(names) else np.zeros(0, np.float32)
+        # a triple lies in few landmarks: their numbers and weights, triple after triple
+        row, self.column = np.nonzero(weights)
+        self.value = weights[row, self.column]
+        self.count = np.bincount(row, minlength=len(distinct))
+        self.first = np.cumsum(self.count) - self.count
 
     def __getstate__(self):
         return self.names
@@ -128,13 +134,12 @@ class Landmarks:
                 continue
             reach = np.bincount(owner, self.most[row] * weight, len(s)) >= least * norm
             keep = np.flatnonzero(reach[owner])
-            keep = keep[np.argsort(owner[keep], kind="stable")]
             row, owner, weight = row[keep], owner[keep], weight[keep]
-            if not len(row):
-                continue
-            head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            got = owner[head]
-            out[lo + got] = np.add.reduceat(self.weight[row] * weight[:, None], head, axis=0) / norm[got][:, None]
+            n = self.count[row]
+            place = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            k = len(self.names)
+            sums = np.bincount(np.repeat(owner * k, n) + self.column[place], np.repeat(weight, n) * self.value[place], len(s) * k)
+            out[lo : lo + len(s)] = sums.reshape(len(s), k) / norm[:, None]
         return np.minimum(out, 1.0)  # norms count a triple that a word holds twice as two
 
 
@@ -260,7 +265,16 @@ def find_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[bytes]:
     share, a, c = max(p, 1) / max(p + q, 2), F.col("toxic"), F.col("clean")
     gain = 2 * (a * F.log(a / ((a + c) * share)) + F.when(c > 0, c * F.log(c / ((a + c) * (1 - share)))).otherwise(0.0)) if 0 < share < 1 else F.lit(0.0)
     ranked = seen.where((F.octet_length("word") >= 3) & (a >= 3) & (a > 2 * share * (a + c))).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    return [bytes(r["word"]) for r in ranked.orderBy(F.col("gain").desc(), "word").limit(most).collect()]
+    words = [bytes(r["word"]) for r in ranked.orderBy(F.col("gain").desc(), "word").limit(4 * most).collect()]
+    if not words:
+        return []
+    ends = np.cumsum([len(w) for w in words])
+    alike = Landmarks(words).kernel(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+    chosen: list[int] = []
+    for i in range(len(words)):  # words near a better one add nothing
+        if len(chosen) < most and (not chosen or alike[i, chosen].max() < APART):
+            chosen.append(i)
+    return [words[i] for i in chosen]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
