@@ -166,7 +166,7 @@ def _keyed(df: DataFrame, keys: list[str], skip: set[str], tag: str) -> DataFram
     body = F.struct(*_comparable(df, {*keys, *skip})).alias("__b")
     order = [c for c in ("position",) if c in df.columns]
     d = df.withColumn("namespace", F.coalesce("namespace", F.lit(""))).select(*keys, *order, body)
-    pick = F.min_by("__b", order[0]) if order else F.any_value("__b")
+    pick = F.min_by("__b", order[0] if order else F.to_json("__b"))
     return d.groupBy(*keys).agg(pick.alias(tag))
 
 

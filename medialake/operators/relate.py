@@ -93,10 +93,10 @@ def enrich_drm(protections: DataFrame, drm_cfg: DataFrame) -> DataFrame:
     """Overwrite URLs and robustness with the configured ones of the same system.
 
     A URL and its type change together; a system configured twice uses its first
-    row by ``position``.
+    row by ``position``, or the least one where there is no position.
     """
     fields = ["la_url", "la_url_type", "cert_url", "cert_url_type", "robustness"]
-    pick = F.min_by(F.struct(*fields), "position") if "position" in drm_cfg.columns else F.any_value(F.struct(*fields))
+    pick = F.min_by(F.struct(*fields), "position") if "position" in drm_cfg.columns else F.min(F.struct(*fields))
     cfg = drm_cfg.groupBy("system_id").agg(pick.alias("__cfg"))
     d = protections.join(cfg, ["system_id"], "left")
     leads = {"la_url_type": "la_url", "cert_url_type": "cert_url"}

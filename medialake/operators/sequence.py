@@ -296,7 +296,5 @@ def pes_samples(packets: DataFrame, keys: list[str] | None = None, seq: str = "p
         "__pts": F.when(F.col("pusi"), F.when(whole & stamped, pts).otherwise(0)),
     })
     s = done.groupBy(*keys, "__unit").agg(
-        F.min(seq).alias(seq), F.max("__pts").alias("pts90k"),
-        F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("__data").alias("d")))).alias("__parts"))
-    joined = F.aggregate("__parts", F.lit(b""), lambda a, e: F.concat(a, e["d"]))
-    return s.select(*keys, seq, "pts90k", joined.alias("payload")).where(F.length("payload") > 0)
+        F.min(seq).alias(seq), F.max("__pts").alias("pts90k"), F.expr(f"listagg(__data) WITHIN GROUP (ORDER BY `{seq}`)").alias("payload"))
+    return s.select(*keys, seq, "pts90k", "payload").where(F.length("payload") > 0)

@@ -157,7 +157,7 @@ def explode_psi(packets: DataFrame, file: str = "path") -> tuple[DataFrame, Data
         return F.struct(F.when(fits, nxt).otherwise(at).alias("at"), F.when(fits, F.concat(acc["found"], F.array(at))).otherwise(acc["found"]).alias("found"))
 
     seed = F.struct((12 + info).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(40)), seed, advance, lambda a: a["found"])
+    found = F.aggregate(F.sequence(F.lit(0), idiv(size, 5).cast("int")), seed, advance, lambda a: a["found"])
     pmt = pmt.select(file, "packet_index", "pid", be_uint("__s", 3, 2).alias("program"), be_uint("__s", 8, 2).bitwiseAND(low13).alias("pcr_pid"),
                      "__s", F.posexplode(found).alias("position", "__at"))
     pmt = pmt.select(file, "packet_index", F.col("pid").alias("pmt_pid"), "program", "pcr_pid", "position",

@@ -74,6 +74,16 @@ def init_track_ids(init: bytes) -> list[int]:
     return ids
 
 
+def wanted(tail: bytes) -> int:
+    """Bytes that must be there before the next box of ``tail`` can be cut."""
+    if len(tail) < 8:
+        return 8
+    size = struct.unpack_from(">I", tail)[0]
+    if size == 1:
+        return struct.unpack_from(">Q", tail, 8)[0] if len(tail) >= 16 else 16
+    return size or 1 << 62  # a box without an end
+
+
 class Boxes(Ordered):
     """Chunks of one path to init segments, fragments, drops and errors, in order."""
 
@@ -85,15 +95,23 @@ class Boxes(Ordered):
 
     def begin(self):
         s = self.state.get() if self.state.exists() else (b"", b"", b"", 0, 0)
-        self.tail, self.moof, self.init_bytes = bytes(s[0]), bytes(s[1]), bytes(s[2])
+        tail, self.moof, self.init_bytes = bytes(s[0]), bytes(s[1]), bytes(s[2])
+        self.parts, self.held, self.need = [tail], len(tail), wanted(tail)
         self.ready, self.failed = s[3], s[4]
         self.ids = init_track_ids(self.init_bytes) if self.ready else []
 
     def step(self, row):
+        head = {"path": row["path"], "chunk_seq": row["chunk_seq"]}
         if self.failed:
+            yield {**head, "kind": "dropped", "error": "chunk after a bad box"}
             return
-        head = {"path": row["path"], "chunk_seq": row["chunk_seq"]}
-        boxes, self.tail, error = cut_boxes(self.tail + bytes(row["bytes"]))
+        data = bytes(row["bytes"])
+        self.parts.append(data)
+        self.held += len(data)
+        if self.held < self.need:  # a large box is put together once, when it is complete
+            return
+        boxes, tail, error = cut_boxes(b"".join(self.parts))
+        self.parts, self.held, self.need = [tail], len(tail), wanted(tail)
         for kind, data in boxes:
             if kind in ("ftyp", "moov"):
                 self.init_bytes += data
@@ -120,7 +138,7 @@ class Boxes(Ordered):
             yield {**head, "kind": "error", "error": error}
 
     def end(self):
-        self.state.update((self.tail, self.moof, self.init_bytes, int(self.ready), int(self.failed)))
+        self.state.update((b"".join(self.parts), self.moof, self.init_bytes, int(self.ready), int(self.failed)))
 
 
 def pes_start(payload: bytes) -> tuple[int, bytes]:

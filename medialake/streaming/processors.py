@@ -186,17 +186,25 @@ class LatestGroups(Ordered):
         self.kept = handle.getListState("kept", struct_of(seq=LONG, group=LONG))
 
     def begin(self):
-        self.rows = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+        self.groups: dict[int, list[int]] = {}
+        for seq, group in self.kept.get() if self.kept.exists() else ():
+            self.groups.setdefault(group, []).append(seq)
+        self.top = max(self.groups, default=None)
 
     def step(self, row):
-        self.rows.append((row["arrival_seq"], row["group_id"]))
-        floor = max(g for _, g in self.rows) - self.n
-        for seq, group in [r for r in self.rows if r[1] <= floor]:
-            yield {"feed_id": row["feed_id"], "arrival_seq": seq, "group_id": group}
-        self.rows = [r for r in self.rows if r[1] > floor]
+        seq, group = row["arrival_seq"], row["group_id"]
+        self.groups.setdefault(group, []).append(seq)
+        if self.top is None or group > self.top:
+            self.top = group
+        elif group > self.top - self.n:
+            return
+        # only a new highest group, or a row below the kept ones, moves rows out
+        left = [(s, g) for g in [g for g in self.groups if g <= self.top - self.n] for s in self.groups.pop(g)]
+        for s, g in sorted(left):
+            yield {"feed_id": row["feed_id"], "arrival_seq": s, "group_id": g}
 
     def end(self):
-        self.kept.put([(int(s), int(g)) for s, g in self.rows])
+        self.kept.put(sorted((int(s), int(g)) for g, rows in self.groups.items() for s in rows))
 
 
 class NewestRows(Ordered):

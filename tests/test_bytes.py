@@ -122,7 +122,7 @@ def test_box_stream(spark, folder):
     assert rows(out.where("path = 'p' AND kind = 'fragment'"), "track_id", "fragment") == [(1, bytearray(frag))] * 2
     assert rows(out.where("path = 'p' AND kind = 'init'"), "init_bytes") == [(bytearray(init),)]
     assert rows(out.where("path = 'p' AND kind = 'dropped'"), "error") == [("mdat before init",), ("mdat without moof",), ("unknown track",)]
-    assert rows(out.where("path = 'bad'"), "kind", "error") == [("error", "impossible box size"), ("init", None)]
+    assert rows(out.where("path = 'bad'"), "kind", "error") == [("dropped", "chunk after a bad box"), ("error", "impossible box size"), ("init", None)]
 
 
 def two_programs(m2ts: bool) -> bytes:
