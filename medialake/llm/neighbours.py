@@ -23,10 +23,9 @@ from medialake.operators.ordered import stage
 
 PROJECTIONS = 96
 THRESHOLD = 0.85  # part of the projections in which a vector must collide
-WIDTH, WIDER = 0.75, 1.2  # half of the first window, and its growth
-VERIFY = 0.12  # part of a block that a query verifies at least, beside those it looks for
+WIDTH, WIDER = 1.3, 1.15  # half of the first window, and its growth
+VERIFY = 0.09  # part of a block that a query verifies at least, beside those it looks for
 BLOCK = 4096
-ASKED = 256  # queries whose counts are held at once
 
 
 def _projections(dim: int, seed: int = 20) -> np.ndarray:
@@ -53,7 +52,9 @@ class Index:
         values = lifted @ self.axes
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, 0).T)
-        self.order = np.ascontiguousarray(order.T)  # one row for each projection
+        # place of each vector in each sorted array, so that a window is a range of places
+        self.place = np.empty((PROJECTIONS, len(ids)), np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order.T, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
 
     def search(self, keys: np.ndarray, queries: np.ndarray, k: int):
         """(ids, scores) for each query: the best ``k`` of the vectors it verified, without its own row."""
@@ -61,30 +62,25 @@ class Index:
         enough = min(n, k + 1 + int(VERIFY * n))
         at = np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ self.axes
         found: list = [None] * len(queries)
-        for first in range(0, len(queries), ASKED):
-            own = at[first : first + ASKED]
-            lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, own.T)], 1)
-            hi, half = lo.copy(), WIDTH
-            count = np.zeros((len(own), n), np.int16)
-            open_ = list(range(len(own)))
-            while open_:
-                here = own[open_]
-                a = np.stack([np.searchsorted(s, x - half) for s, x in zip(self.sorted, here.T)], 1)
-                b = np.stack([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, here.T)], 1)
-                still = []
-                for r, i in enumerate(open_):
-                    parts = [self.order[j, x:y] for j, x, y in zip(range(PROJECTIONS), a[r], lo[i])] + [self.order[j, x:y] for j, x, y in zip(range(PROJECTIONS), hi[i], b[r])]
-                    count[i] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                    lo[i], hi[i] = a[r], b[r]
-                    near = np.flatnonzero(count[i] >= need)
-                    if len(near) < enough and (b[r] - a[r]).min() < n:
-                        still.append(i)
-                        continue
-                    near = near[self.ids[near] != keys[first + i]]
-                    score = exact(self.vectors[near], queries[first + i])
-                    best = np.lexsort((self.ids[near], -score))[:k]
-                    found[first + i] = self.ids[near][best], score[best]
-                open_, half = still, half * WIDER
+        kind = self.place.dtype
+        open_, half = np.arange(len(queries)), WIDTH
+        while len(open_):
+            here = at[open_]
+            first = np.stack([np.searchsorted(s, x - half) for s, x in zip(self.sorted, here.T)], 1)
+            size = np.stack([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, here.T)], 1) - first
+            still = []
+            for r, i in enumerate(open_.tolist()):
+                # unsigned: places before the window wrap round and lie beyond it
+                inside = self.place - first[r].astype(kind)[:, None] < size[r].astype(kind)[:, None]
+                near = np.flatnonzero(inside.view(np.uint8).sum(0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= need)
+                if len(near) < enough and size[r].min() < n:
+                    still.append(i)
+                    continue
+                near = near[self.ids[near] != keys[i]]
+                score = exact(self.vectors[near], queries[i])
+                best = np.lexsort((self.ids[near], -score))[:k]
+                found[i] = self.ids[near][best], score[best]
+            open_, half = np.array(still, np.int64), half * WIDER
         return found
 
 
