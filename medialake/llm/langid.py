@@ -30,7 +30,8 @@ UNKNOWN = "und"
 
 #: First code points of script ranges; 0 stands for letters of the Latin script and for code points without a script.
 SCRIPTS = [(0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0700, 6), (0x0900, 7), (0x0980, 8), (0x0E00, 9), (0x0F00, 10), (0x10A0, 11),
-           (0x1100, 12), (0x1200, 13), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 14), (0x3400, 15), (0xA000, 16), (0xAC00, 12), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0)]
+           (0x1100, 12), (0x1200, 13), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 14), (0x3400, 15), (0xA000, 16), (0xAC00, 12), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0),
+           (0xFB13, 3), (0xFB1D, 4), (0xFB50, 5), (0xFE00, 0), (0xFE70, 5), (0xFF00, 0), (0xFF66, 14), (0xFFA0, 12), (0xFFE0, 0), (0x10000, 16), (0x1D400, 0), (0x1D800, 16), (0x1F000, 0), (0x20000, 15)]
 N_SCRIPTS = 17
 _FROM = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([s for _, s in SCRIPTS])
@@ -189,11 +190,12 @@ OUT = StructType([StructField("lang_pred", StringType()), StructField("score", D
 def _identify(t: Texts, model: Model, switch: float):
     n = len(t)
     w = words(t)
+    known = model.allowed[w.script].any(1)[w.kind]
     count = np.bincount(w.text, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     path = viterbi(model.words(w)[w.kind].astype(np.float32), first, count, switch)
     k = len(model.languages)
-    votes = np.bincount(w.text * k + path, minlength=n * k).reshape(n, k)
+    votes = np.bincount((w.text * k + path)[known], minlength=n * k).reshape(n, k)
     best = votes.argmax(1)
     share = votes[np.arange(n), best] / np.maximum(count, 1)
     ascii_letters = t.per_text(_LETTER[t.data] * (t.data < 128)) > 0
@@ -213,13 +215,14 @@ def _identify(t: Texts, model: Model, switch: float):
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """Every row with ``lang_pred``, ``score`` (share of its words in that language) and ``lang_spans``.
+    """Every row with ``lang_pred``, ``score`` (share of its words in that language, by script too) and ``lang_spans``.
 
     A span (language, start, end in code points) runs from the first to the last of
     consecutive words with one label. ``und`` with score 0 for null and empty texts
     and texts without a letter, and for every text if nothing could be learned. A text
-    whose letters fit no learned language gets the first of equal best ones. Columns
-    with these names are replaced.
+    whose letters fit no learned language gets the first of equal best ones, with
+    score 0: words in a script of no learned language count for none. Columns with
+    these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 

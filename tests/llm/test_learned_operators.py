@@ -111,6 +111,21 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(with_repeats(spark), nothing).collect()} == {"und"}
 
 
+FOREIGN = ["Все люди рождаются свободными и равными в своём достоинстве и правах", "มนุษย์ทั้งหลายเกิดมามีอิสระ และเสมอภาคกันในเกียรติศักดิ์และสิทธิ", "人人生而自由，在尊严和权利上一律平等。 他们赋有理性和良心", "ﺍﻟﻨﺎﺱ ﺃﺣﺮﺍﺭ ﻣﺘﺴﺎﻭﻳﻦ"]
+
+
+def test_foreign_scripts_are_in_no_language(spark):
+    rows = list(enumerate([*FOREIGN, BASE, "the quick brown fox jumps Все люди рождаются свободными и равными"]))
+    model = langid.learn(docs(spark, [(i + 1, BASE) for i in range(9)]))
+    got = {r["doc_id"]: r for r in langid.identify(docs(spark, rows), model).collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in range(len(FOREIGN))] == [("en", 0.0)] * len(FOREIGN)
+    assert got[4]["score"] == 1.0 and got[5]["lang_pred"] == "en" and abs(got[5]["score"] - 5 / 11) < 1e-9
+    train = docs(spark, [(i + 101, BASE) for i in range(9)])
+    unlabelled = docs(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.identify_languages(spark, train.union(unlabelled), SF).where("doc_id < 100").collect()
+    assert {(r["doc_id"], r["lang"]) for r in left} == {(4, "en")}
+
+
 # toxicity
 
 def test_toxicity_held_out(spark):
