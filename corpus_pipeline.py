@@ -19,11 +19,11 @@ SURE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without one, or with less than ``SURE`` of their words in it, go. ``lang`` is filled where it is null."""
+    """Documents in a learned language; those without one, or with less than ``SURE`` of their words credibly in any learned languages, go. ``lang`` is filled where it is null."""
     model = langid.learn(docs)
 
     def step(rows: DataFrame) -> DataFrame:
-        found = langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE))
+        found = langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("learned") >= SURE))
         return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
     return keeping(docs, langid.OUT.fieldNames(), step)

@@ -25,6 +25,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 SWITCH = 6.0
 FLOOR = -8.0
+DEPTH = 3.0  # log probability by which the n-grams of a word of a language may be rarer than that language's n-grams on average
 CHUNK = 1 << 22
 UNKNOWN = "und"
 
@@ -104,17 +105,21 @@ class Model:
     languages: list[str]
     score: np.ndarray  # bucket x language: log probability
     allowed: np.ndarray  # script x language
+    usual: np.ndarray  # of each language, the mean score of its n-grams
 
-    def words(self, w: Words) -> np.ndarray:
-        """Score of each distinct word in each language, 0 for the best and ``FLOOR`` at least."""
+    def words(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each distinct word in each language, 0 for the best and ``FLOOR`` at least; and which words are credibly of some language, by script and by the mean score of their n-grams."""
         n = len(w.script)
-        total = np.stack([np.bincount(w.gram_of, self.score[w.grams, j], n) for j in range(len(self.languages))], 1) / len(GRAMS)
+        sums = np.stack([np.bincount(w.gram_of, self.score[w.grams, j], n) for j in range(len(self.languages))], 1)
+        total = sums / len(GRAMS)
         fits = self.allowed[w.script]
         known = fits.any(1)
+        mean = sums / np.maximum(np.bincount(w.gram_of, minlength=n), 1)[:, None]
+        credible = (fits & (mean >= self.usual - DEPTH)).any(1)
         total = np.where(fits | ~known[:, None], total, -np.inf)
         total = np.maximum(total - total.max(1, keepdims=True), FLOOR)
         total[~known] = 0.0
-        return total
+        return total, credible
 
 
 def learn(docs: DataFrame) -> Model:
@@ -144,7 +149,8 @@ def learn(docs: DataFrame) -> Model:
     table[sums["bucket"], np.searchsorted(languages, sums["lang"])] = sums["n"]
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     score = np.log((grams + 0.1) / (grams.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
-    return Model(languages, score, scripts > 0.002 * scripts.sum(0))
+    usual = (grams * score).sum(0) / np.maximum(grams.sum(0), 1)
+    return Model(languages, score, scripts > 0.002 * scripts.sum(0), usual)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -184,7 +190,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
 
 
 SPAN = StructType([StructField("lang", StringType()), StructField("start", LongType()), StructField("end", LongType())])
-OUT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_spans", ArrayType(SPAN))])
+OUT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_spans", ArrayType(SPAN)), StructField("learned", DoubleType())])
 
 
 def _identify(t: Texts, model: Model, switch: float):
@@ -193,7 +199,8 @@ def _identify(t: Texts, model: Model, switch: float):
     known = model.allowed[w.script].any(1)[w.kind]
     count = np.bincount(w.text, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    path = viterbi(model.words(w)[w.kind].astype(np.float32), first, count, switch)
+    scores, credible = model.words(w)
+    path = viterbi(scores[w.kind].astype(np.float32), first, count, switch)
     k = len(model.languages)
     votes = np.bincount((w.text * k + path)[known], minlength=n * k).reshape(n, k)
     best = votes.argmax(1)
@@ -202,6 +209,7 @@ def _identify(t: Texts, model: Model, switch: float):
     found = [bool(x) or any(c.isalpha() for c in t.data[a:b].tobytes().decode()) for x, a, b in zip(ascii_letters, t.offsets[:-1], t.offsets[1:])]
     names = [model.languages[b] if f else UNKNOWN for b, f in zip(best, found)]
     score = np.where(found, np.where(count > 0, share, 0.0), 0.0)
+    learned = np.where(found, np.bincount(w.text, credible[w.kind], n) / np.maximum(count, 1), 0.0)
 
     points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
     turn = np.ones(len(path), bool)
@@ -211,14 +219,14 @@ def _identify(t: Texts, model: Model, switch: float):
     base = points[t.offsets[w.text[head]]]
     spans = pa.StructArray.from_arrays([pa.array(np.array(model.languages, object)[path[head]], pa.string()), pa.array(points[w.start[head]] - base), pa.array(points[w.end[last]] - base)], names=["lang", "start", "end"])
     ends = np.concatenate(([0], np.cumsum(np.bincount(w.text[head], minlength=n)))).astype(np.int32)
-    return names, score, pa.ListArray.from_arrays(ends, spans)
+    return names, score, pa.ListArray.from_arrays(ends, spans), learned
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """Every row with ``lang_pred``, ``score`` (share of its words in that language, by script too) and ``lang_spans``.
+    """Every row with ``lang_pred``, ``score`` (share of its words in that language, by script too), ``lang_spans`` and ``learned`` (share of its words that are credibly in any learned language).
 
     A span (language, start, end in code points) runs from the first to the last of
-    consecutive words with one label. ``und`` with score 0 for null and empty texts
+    consecutive words with one label. ``und`` with shares of 0 for null and empty texts
     and texts without a letter, and for every text if nothing could be learned. A text
     whose letters fit no learned language gets the first of equal best ones, with
     score 0: words in a script of no learned language count for none. Columns with
@@ -232,9 +240,9 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str =
         def step(batch):
             column = batch.column(batch.schema.get_field_index(text))
             if not m.languages:
-                return [pa.array([UNKNOWN] * len(column)), pa.array([0.0] * len(column)), pa.array([[]] * len(column), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
+                return [pa.array([UNKNOWN] * len(column)), pa.array([0.0] * len(column)), pa.array([[]] * len(column), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), pa.array([0.0] * len(column))]
             parts = [_identify(t, m, switch) for t in slices(column, CHUNK)]
-            return [pa.array([x for p in parts for x in p[0]], pa.string()), pa.array(np.concatenate([p[1] for p in parts])), pa.chunked_array([p[2] for p in parts]).combine_chunks()]
+            return [pa.array([x for p in parts for x in p[0]], pa.string()), pa.array(np.concatenate([p[1] for p in parts])), pa.chunked_array([p[2] for p in parts]).combine_chunks(), pa.array(np.concatenate([p[3] for p in parts]))]
 
         return step
 

@@ -126,6 +126,22 @@ def test_foreign_scripts_are_in_no_language(spark):
     assert {(r["doc_id"], r["lang"]) for r in left} == {(4, "en")}
 
 
+def test_mixed_languages_are_kept(spark):
+    own = {"en": BASE, "de": "der schnelle braune fuchs springt über den faulen hund während sieben kleine vögel singen und fliegen hoch am himmel", "es": "el rápido zorro marrón salta sobre el perro perezoso cerca de la orilla mientras siete pájaros pequeños cantan"}
+    train = docs(spark, []).select("doc_id", "text", "lang")
+    for k, (lang, text) in enumerate(own.items()):
+        train = train.union(spark.createDataFrame([(100 + 10 * k + i, text, lang) for i in range(9)], train.schema))
+    parts = [text.split()[:n] for text, n in zip(own.values(), (8, 7, 5))]
+    rng = random.Random(7)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(40))
+    rows = [(1, " ".join(sum(parts, [])), None), (2, noise, None), (3, BASE, None), (4, noise + " " + BASE, None)]
+    frame = train.union(spark.createDataFrame(rows, train.schema))
+    found = {r["doc_id"]: r for r in langid.identify(frame, langid.learn(frame)).where("doc_id < 100").collect()}
+    assert len(found[1]["lang_spans"]) == 3 and found[1]["score"] < 0.5 and found[1]["learned"] == 1.0 and found[2]["learned"] < 0.1
+    left = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, frame, SF).where("doc_id < 100").collect()}
+    assert left == {1: "en", 3: "en"}
+
+
 # toxicity
 
 def test_toxicity_held_out(spark):
