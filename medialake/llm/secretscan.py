@@ -25,9 +25,9 @@ MIN_BITS = 38.0
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
-#: Where credentials stand: a name of one, then a colon, an equals sign or "is", then the value.
+#: Where credentials stand: a name of one, at the start of a word or of a part in camel case, then a colon, an equals sign or "is", then the value; after "bearer" white space is enough.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_\x20-]?key|(?:access|private|secret)[_\x20-]?key|bearer)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_\x20-]?key|(?:access|private|secret)[_\x20-]?key|bearer)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?(?:bearer\s{1,8})?|bearer\s{1,8}["']?)([^\s"'<>,;]{6,})""",
     re.I | re.A)
 STEMS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer")
 
@@ -109,8 +109,8 @@ def guess_bits(v: str) -> float:
 
 
 def _is_secret(v: str, min_bits: float) -> float | None:
-    """Its bits, if ``v`` is one: letters alone are taken for prose, and a secret must cost ``min_bits``."""
-    if v.isalpha():
+    """Its bits, if ``v`` is one: letters alone of one case, or with one capital in front, are taken for prose, and a secret must cost ``min_bits``."""
+    if v.isalpha() and (v[1:] == v[1:].lower() or v == v.upper()):
         return None
     bits = guess_bits(v)
     return bits if bits >= min_bits else None

@@ -171,6 +171,15 @@ def test_spans_on_fixture(spark):
     assert SECRETS[3][s["start"] : s["end"]] == "Xk9$vQ2!mzp"
 
 
+@pytest.mark.parametrize("text,value", [
+    ("pwd: XkQzWvBnMpLtRyGh", "XkQzWvBnMpLtRyGh"), ("password=kXqWzPbL", "kXqWzPbL"), ("Authorization: Bearer q8Zr77Lw02TxVb.", "q8Zr77Lw02TxVb"), ("token: Bearer XkQzWvBnMpLt", "XkQzWvBnMpLt"),
+    ("dbPassword=Xk9$vQ2!m", "Xk9$vQ2!m"), ("DBPassword: Xk9$vQ2!m", "Xk9$vQ2!m"), ("userPwd = 'kXqWzPbL'", "kXqWzPbL"), ("Password: Thlyeronshingtion", None), ("PASSWORD: THLYERONSHING", None),
+    ("a bearer certificates and bonds", None), ("password: 请输入您的新密码吧谢谢", None), ("compass: Xk9$vQ2!m", None)])
+def test_values_in_context(text, value):
+    guessed = [text[a:b] for kind, a, b, _ in secretscan.scan_text(text.encode(), []) if kind == "guess"]
+    assert guessed == ([value] if value else [])
+
+
 def test_query_digest(spark):
     got = queries.op8_secrets(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
