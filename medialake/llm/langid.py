@@ -167,8 +167,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
     at, size = first[order], count[order]
     open_ = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
     v = scores[at].copy()
-    came = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.min_scalar_type(-scores.shape[1])  # signed, and as wide as the number of languages needs
+    came = np.zeros(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t in range(1, int(size[0])):
         n = open_[t]
         u = v[:n]
@@ -176,7 +177,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
         jump = u[np.arange(n), top] - switch
         stay = u >= jump[:, None]
         word = at[:n] + t
-        came[word] = np.where(stay, own, top[:, None].astype(np.int8))
+        came[word] = np.where(stay, own, top[:, None].astype(kind))
         np.maximum(u, jump[:, None], out=u)
         u += scores[word]
     state = v.argmax(1)

@@ -95,6 +95,12 @@ def test_viterbi_by_brute_force():
         assert abs(value(p.tolist(), s) - best) < 1e-4
 
 
+def test_viterbi_with_many_languages():
+    scores = np.full((6, 170), -5.0, np.float32)
+    scores[:3, 150] = scores[3:, 169] = 0.0
+    assert langid.viterbi(scores, np.array([0]), np.array([6]), 6.0).tolist() == [150] * 3 + [169] * 3
+
+
 def test_language_edges(spark):
     german = "der schnelle braune fuchs springt über den faulen hund und die kleinen vögel singen"
     train = docs(spark, [(i + 1, BASE) for i in range(9)]).where("lang is not null").union(docs(spark, [(1, german)] * 9).withColumn("lang", F.lit("de")))
