@@ -3,7 +3,9 @@
 The kernel of two words sums, over letter triples that both hold in order, the
 decay of the gaps between the letters; signs and spaces inserted between letters
 do not count and digits that stand for letters are read as those, so
-``m.o.r-o-n``, ``m o r o n`` and ``moxron`` stay close to ``moron``. Landmarks
+``m.o.r-o-n``, ``m o r o n`` and ``moxron`` stay close to ``moron``. A word is also
+read in parts: between its inner signs, every second letter, and, where it is
+longer than any landmark or spaced out, in windows as long as landmarks. Landmarks
 are words that labelled toxic documents hold far more often than clean ones. A
 sentence's kernel values with the landmarks (the highest of its words), mapped
 by the inverse root of the landmarks' own kernel, are the SVM's features; it is
@@ -32,6 +34,8 @@ POWER = 3  # of the kernel in the SVM
 APART = 0.8  # kernel value from which two landmarks are one
 REACH = 5  # most letters from the first to the last of a triple
 NEAR = 0.45  # kernel value from which a word is looked at
+WHOLE = 4  # fewest letters of a window, and of a reading of every second letter
+RANGES = 20_000  # compared at once
 KNOWN = 1_000_000
 SENTENCES = 4  # of a labelled document, the nearest to landmarks
 
@@ -90,6 +94,42 @@ def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*out)), np.sqrt(np.maximum(square, 1e-9))
 
 
+def readings(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: list[int]):
+    """(bytes, start, end, word) of all that is compared for each byte range: its letters, its parts between signs, every second letter, and windows of ``sizes`` letters."""
+    n, size = len(start), end - start
+    owner = np.repeat(np.arange(n), size)
+    body = data[start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)]
+    letter = _CODE[body] > 0
+    part = np.cumsum(~letter & (body < 0x80))[letter]
+    own, text = owner[letter], body[letter]
+    count = np.bincount(own, minlength=n)
+    first = np.cumsum(count) - count
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head, len(own))[1:]
+    parts = np.bincount(own[head], minlength=n)
+    inner = (tail - head >= 3) & (parts[own[head]] > 1)
+    # every second letter, from the first and from the second on, behind the letters themselves
+    place = np.arange(len(own)) - first[own]
+    half = np.flatnonzero(count[own] >= 2 * WHOLE - 1)
+    half = half[np.argsort(2 * own[half] + place[half] % 2, kind="stable")]
+    turn = np.ones(len(half), bool)
+    turn[1:] = np.diff(2 * own[half] + place[half] % 2) != 0
+    other = np.flatnonzero(turn)
+    stop = np.append(other, len(half))[1:]
+    of = np.concatenate((np.arange(n), own[half[other]]))
+    a, b = np.concatenate((first, len(own) + other)), np.concatenate((first + count, len(own) + stop))
+    out = [(a, b, of), (head[inner], tail[inner], own[head[inner]])]
+    spaced = (2 * parts >= count)[of]
+    for w in sizes:
+        cut = np.flatnonzero((b - a > w) & (spaced | (b - a > max(sizes))))
+        m = (b - a)[cut] - w + 1
+        at = np.repeat(a[cut] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        out.append((at, at + w, np.repeat(of[cut], m)))
+    return np.concatenate((text, text[half])), *(np.concatenate(x).astype(np.int64) for x in zip(*out))
+
+
 class Landmarks:
     """The landmarks' triples, for kernel values of many words at once."""
 
@@ -98,6 +138,8 @@ class Landmarks:
         body = b"".join(names)
         ends = np.cumsum([len(x) for x in names]).astype(np.int64)
         start = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
+        letters = [int((_CODE[np.frombuffer(x, np.uint8)] > 0).sum()) for x in names]
+        self.sizes = sorted({x for x in letters if x >= WHOLE})
         (key, owner, weight), norm = triples(np.frombuffer(body, np.uint8), start, ends)
         self.row = np.full(_BASE**3, -1, np.int32)
         distinct, at = np.unique(key, return_inverse=True)
@@ -142,6 +184,16 @@ class Landmarks:
             out[lo : lo + len(s)] = sums.reshape(len(s), k) / norm[:, None]
         return np.minimum(out, 1.0)  # norms count a triple that a word holds twice as two
 
+    def near(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The highest kernel value of all readings of each byte range with each landmark, of the readings that reach ``NEAR``."""
+        out = np.zeros((len(start), len(self.names)), np.float32)
+        body, a, b, owner = readings(data, start, end, self.sizes)
+        for lo in range(0, len(a), RANGES):
+            values = self.kernel(body, a[lo : lo + RANGES], b[lo : lo + RANGES], NEAR)
+            hit = values.max(1) >= NEAR
+            np.maximum.at(out, owner[lo : lo + RANGES][hit], values[hit])
+        return out
+
 
 class Reader:
     """Finds, in a task, the words near a landmark; the hashes of other words are kept, up to ``KNOWN``, and not computed again."""
@@ -162,7 +214,7 @@ class Reader:
         at = np.searchsorted(self.far, distinct)
         known = (at < len(self.far)) & (self.far[np.minimum(at, len(self.far) - 1)] == distinct) if len(self.far) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~known)
-        values = self.landmarks.kernel(low.data, start[first[new]], end[first[new]], NEAR)
+        values = self.landmarks.near(low.data, start[first[new]], end[first[new]])
         close = values.max(1) >= NEAR
         far = distinct[new[~close]]
         # both are sorted

@@ -165,6 +165,17 @@ def test_kernel_forgives_gaps_and_inserted_characters():
     assert np.allclose(k[[0, 1, 2, 4], 0], 1, atol=1e-5) and k[3, 0] > 0.6 and k[6, 0] < 0.45 and k[7].max() < 0.05 and abs(k[5, 1] - 1) < 1e-5
 
 
+def test_insults_inside_longer_runs_are_near():
+    reader = toxicity.Reader(toxicity.Landmarks([b"moron", b"idiot", b"dimwit", b"scoundrel"]))
+    hidden = ["y o u a r e s u c h a m o r o n g e t l o s t", "they say total.moron.loser here", "a mxoxrxoxn there", "some m1o1r1o1n there", "m x o y r z o w n", "y.o.u.a.r.e.a.m.o.r.o.n.b.y.e", "whatatotalmoronyouare", "m*o*r*o*n!", "moron"]
+    plain = ["the river runs by the old bank", "t h e r i v e r r u n s b y t h e b a n k", "well.known.river", "", "- - 7"]
+    (t,) = texts.slices(pa.array([*hidden, *plain]))
+    values, text, count = reader.sentences(t)
+    top = np.zeros(len(count))
+    np.maximum.at(top, text, values[:, 0])
+    assert top[: len(hidden)].min() > 0.9 and top[len(hidden) :].max() == 0
+
+
 def test_toxic_sentences_are_learned(spark):
     rng = random.Random(1)
     plain = [f"w{i}ab{i % 7}" for i in range(60)]
@@ -182,6 +193,16 @@ def test_toxic_sentences_are_learned(spark):
     assert min(got[i] for i in (0, 1, 2)) > 0.5 > max(got[i] for i in (3, 4, 5, 6))
 
 
+def test_spaced_and_interleaved_insults_are_toxic(spark):
+    rng = random.Random(1)
+    plain = [f"w{i}ab{i % 7}" for i in range(60)]
+    rows = [(i, " ".join([*(rng.choice(plain) for _ in range(30)), *([rng.choice(["scoundrel", "dimwit", "blockhead"])] if i % 4 == 0 else [])]) + ".") for i in range(400)]
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    tests = ["w1ab1 y o u s u c h a d i m w i t g e t l o s t w2ab2", "w1ab1 dxixmxwxixt w2ab2", "w1ab1 total.blockhead.loser", "w1ab1 t h e r i v e r b a n k w2ab2"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, list(enumerate(tests))), model).collect()}
+    assert min(got[i] for i in (0, 1, 2)) > 0.5 > got[3]
+
+
 def test_toxicity_edges(spark):
     none = toxicity.learn(docs(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(with_repeats(spark), none).collect()
