@@ -25,6 +25,7 @@ PROJECTIONS = 96
 THRESHOLD = 0.85  # part of the projections in which a vector must collide
 WIDTH, WIDER = 1.3, 1.15  # half of the first window, and its growth
 VERIFY = 0.09  # part of a block that a query verifies at least, beside those it looks for
+USUAL = 0.9  # quantile of the lengths in a block; longer vectors are verified for every query, so that they do not squeeze the others together
 BLOCK = 4096
 
 
@@ -46,7 +47,10 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        rest = np.sqrt(np.maximum(longest**2 - (self.vectors**2).sum(1), 0))
+        length = np.sqrt((self.vectors**2).sum(1))
+        longest = min(longest, float(np.quantile(length, USUAL)))
+        self.long = np.flatnonzero(length > longest * (1 + 1e-6))
+        rest = np.sqrt(np.maximum(longest**2 - length**2, 0))
         self.axes = _projections(vectors.shape[1])
         lifted = np.hstack([self.vectors, rest[:, None]]) / longest
         values = lifted @ self.axes
@@ -76,6 +80,8 @@ class Index:
                 if len(near) < enough and size[r].min() < n:
                     still.append(i)
                     continue
+                if len(self.long):
+                    near = np.union1d(near, self.long)
                 near = near[self.ids[near] != keys[i]]
                 score = exact(self.vectors[near], queries[i])
                 best = np.lexsort((self.ids[near], -score))[:k]

@@ -231,6 +231,20 @@ def test_recall_against_brute_force(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_with_unequal_lengths():
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (4096, 64))
+    x *= (rng.lognormal(0, 0.5, 4096) / np.linalg.norm(x, axis=1))[:, None]
+    ids = np.arange(4096)
+    index = neighbours.Index(ids, x, float(np.sqrt((x**2).sum(1).max())))
+    found, hit = index.search(ids[:200], x[:200], 20), 0
+    for q, (near, _) in enumerate(found):
+        s = neighbours.exact(x, x[q])
+        s[q] = -np.inf
+        hit += len(set(near.tolist()) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit / 4000 >= 0.9
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])]
