@@ -11,7 +11,7 @@ each other: the sketches sort out most pairs, the full sets decide the others.
 Bands whose members are still in different components are compared with several
 other members, and what is then left is compared in blocks, sketch against sketch, and
 only pairs across components that have not been confirmed yet go on. So no link between components is
-lost, and a large group of near copies costs its size, not its square.
+lost but by the hashes (at the threshold itself, rates in the README), and a large group of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from medialake.operators.ordered import stage
 
 BANDS, ROWS = 32, 6
 SAMPLES, BITS = 1024, 2048
-MARGIN = 0.055
+MARGIN = 0.07
 BLOCK = 256
 CENTRES = (1, 8)  # members of a band that the others are compared with, turn by turn
 
@@ -133,7 +133,7 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def most_differing(percent: int) -> int:
-    """Bits that may differ for a pair of the wanted similarity; the estimate's error is far inside ``MARGIN``."""
+    """Bits that may differ for a pair of the wanted similarity; with ideal hashes, fewer than 1 in 100,000 pairs exactly at 80 % or more differ in more bits."""
     return math.floor(BITS / 2 * (1 - math.exp(4 * _K / BITS * (percent / 100 - MARGIN - 1))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -338,6 +339,17 @@ def test_odd_sketch_estimates():
         assert abs(guess - len(x & y) / len(x | y)) < neardup.MARGIN
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_pass_the_sketches(percent):
+    n, b, miss = neardup.SAMPLES, neardup.BITS, 0.0
+    for k in range(n + 1):  # samples that differ; each toggles two bits, and the number of odd ones is nearly normal
+        p = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - percent / 100) + (n - k) * math.log(percent / 100))
+        mean = b / 2 * (1 - (1 - 2 / b) ** (2 * k))
+        var = b / 4 + b * (b - 1) / 4 * (1 - 4 / b) ** (2 * k) - b * b / 4 * (1 - 2 / b) ** (4 * k)
+        miss += p * math.erfc((neardup.most_differing(percent) + 0.5 - mean) / math.sqrt(2 * max(var, 1e-6))) / 2
+    assert miss < 1e-5
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
