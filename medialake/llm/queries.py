@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialake.llm import langid, mixing, neardup, neighbours, packing, quality, repetition, secretscan, sharding, toxicity
+from medialake.llm import fptree, langid, mixing, neardup, neighbours, packing, quality, repetition, secretscan, sharding, toxicity, turntrie, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +90,10 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,64 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's ten best documents; see :func:`fptree.rank` for nulls, empty texts, repeated rows and empty tables."""
+    return fptree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+counted AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM counted),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM counted) WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, n, term),
+weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, corpus GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM wanted JOIN held USING (term) JOIN weighed USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all token pieces; see :func:`windows.pack_online` for nulls, empty texts, repeated rows and empty tables."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return windows.pack_online(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, keep_ids=False).drop("ids")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes over rebuilt conversations; see :func:`turntrie.trie` for nulls, empty texts, repeated rows and empty tables."""
+    return turntrie.trie(turntrie.shared_openings(turntrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten([[ascii(c)::UBIGINT, 999, 999, 999, 999, 999, 999, 999, 999] FOR c IN string_split(conv_id::VARCHAR, '')])),
+    lambda a, b: CASE WHEN b = 999 THEN xor(a >> 1, (a & 1) * 3988292384::UBIGINT) ELSE xor(a, b) END), 4294967295::UBIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) AS turns
+  FROM own c JOIN crc USING (conv_id) LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS over FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (over), '') AS ends,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM prefixes GROUP BY prefix, d),
+members AS (SELECT p.conv_id AS member, p.d AS depth, n.conv_id FROM prefixes p JOIN nodes n ON n.prefix = p.prefix AND n.depth = p.d),
+lined AS (SELECT n.*, m.conv_id AS parent_conv_id FROM nodes n LEFT JOIN members m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM lined WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM lined l LEFT JOIN children c ON c.conv_id = l.conv_id AND c.depth = l.depth),
+below AS (
+  SELECT m.conv_id, m.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.saved) AS saved_tokens
+  FROM full_nodes f JOIN members m ON m.member = f.conv_id AND m.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, f.parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below b ON b.conv_id = f.conv_id AND b.depth = f.depth
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -113,8 +171,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_repetition": op9_repetition,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_online_packing": op12_online_packing,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
