@@ -1,7 +1,8 @@
 """MP4 files as tables: boxes, tracks, fragments, samples, protection.
 
-One small Python step lists the boxes of each file by reading box headers at
-their offsets, so media payloads are skipped and file size does not matter.
+One small Python step lists the top-level boxes of each file by reading headers at
+their offsets, a second one walks what lies in each ``moov`` and ``moof``; media
+payloads are skipped and file size does not matter.
 Everything after it is DataFrame work on the box table.
 """
 
@@ -19,7 +20,7 @@ from medialake.functions.binary import be_int32, be_uint, fourcc, has_bit, slice
 from medialake.functions.text import language_tag, uuid_text
 from medialake.functions.timing import idiv
 from medialake.operators.expand import explode_count
-from medialake.operators.ordered import bounded, row_index, run_sum, running, stage
+from medialake.operators.ordered import bounded, row_index, run_last, run_sum, running, stage
 from medialake.operators.relate import overlay_defaults
 
 # Boxes whose payload is a list of boxes.
@@ -31,6 +32,12 @@ SIZED_VIDEO = ("avc1", "avc3", "hvc1", "hev1")
 SIZED_AUDIO = ("mp4a", "Opus", "opus")
 DEFAULT_FLAGS = 0x02000000
 
+#: Boxes whose payload some operator reads; the bytes of all others stay in the file.
+USED = ("tkhd", "hdlr", "mdhd", "stsd", "stts", "btrt", "avcC", "frma", "schm", "tenc", "tfhd", "tfdt", "trun", "trex", "pssh")
+READ_AHEAD = 1 << 15
+PAYLOAD_BATCH = 1 << 23
+TOP_SPAN = 1 << 26  # bytes of a file whose top-level boxes one task walks
+
 BOX_SCHEMA = (
     "path string, box_id bigint, tree string, ordinal bigint, top_ordinal bigint, branch_ordinal bigint, "
     "box_offset bigint, box_size bigint, payload_offset bigint, payload binary, error string"
@@ -38,10 +45,14 @@ BOX_SCHEMA = (
 
 
 class _Bytes:
-    """Random access to bytes in memory or to a file on any file system pyarrow knows."""
+    """Random access to bytes in memory or to a file on any file system pyarrow knows.
+
+    Small reads of a file come from blocks of ``READ_AHEAD`` bytes, so neighbouring box headers cost one request.
+    """
 
     def __init__(self, path: str | None = None, content: bytes | None = None):
         self.content = content
+        self.block_at, self.block = 0, b""
         if content is None:
             from pyarrow import fs
 
@@ -57,15 +68,20 @@ class _Bytes:
     def read(self, offset: int, length: int) -> bytes:
         if self.content is not None:
             return self.content[offset:offset + length]
-        return self.file.read_at(length, offset)
+        if length > READ_AHEAD:
+            return self.file.read_at(length, offset)
+        at = offset - self.block_at
+        if at < 0 or at + length > len(self.block):
+            self.block_at, self.block, at = offset, self.file.read_at(max(0, min(READ_AHEAD, self.size - offset)), offset), 0
+        return self.block[at : at + length]
 
     def close(self) -> None:
         if self.content is None:
             self.file.close()
 
 
-def walk_boxes(src, begin: int, end: int, tree: str = "") -> Iterator[tuple]:
-    """(tree, ordinal in parent, offset, size, payload offset, payload or None) of all boxes, parents first."""
+def walk_boxes(src, begin: int, end: int, tree: str = "", deep: bool = True) -> Iterator[tuple]:
+    """(tree, ordinal in parent, offset, size, payload offset, payload or None) of all boxes, parents first; with ``deep=False`` of one level."""
     seen: dict[str, int] = {}
     at = begin
     in_entries = tree.endswith("stsd") or tree.split("/")[-2:-1] == ["stsd"]
@@ -87,10 +103,10 @@ def walk_boxes(src, begin: int, end: int, tree: str = "") -> Iterator[tuple]:
         seen[name] = n + 1
         body = at + header
         is_entry = tree.endswith("/stsd")
-        nested = name in CONTAINERS or name == "stsd" or is_entry
-        payload = None if name == "mdat" or (nested and name != "stsd") else src.read(body, size - header)
-        yield here, n, at, size, body, payload
-        if name in CONTAINERS:
+        yield here, n, at, size, body, src.read(body, size - header) if name in USED and deep else None
+        if not deep:
+            pass
+        elif name in CONTAINERS:
             yield from walk_boxes(src, body, at + size, here)
         elif name == "stsd":
             yield from walk_boxes(src, min(body + 8, at + size), at + size, here)
@@ -100,40 +116,74 @@ def walk_boxes(src, begin: int, end: int, tree: str = "") -> Iterator[tuple]:
         at += size
 
 
-def _file_rows(path: str, src) -> Iterator[tuple]:
-    top = branch = -1
+_NAMES = [c.strip().split(" ")[0] for c in BOX_SCHEMA.split(",")]
+
+
+def _box_rows(path: str, walked: Iterator[tuple], top: int = -1, above: int = 0) -> Iterator[tuple]:
+    """Rows of the box table. Ids grow with the place in the file, parents first; ``top`` is the ordinal of the box that ``walked`` lies in."""
+    branch = -1
     try:
-        for i, (tree, n, at, size, body, payload) in enumerate(walk_boxes(src, 0, src.size)):
+        for tree, n, at, size, body, payload in walked:
             depth = tree.count("/")
             if depth == 0:
                 top, branch = n, -1
             elif depth == 1:
                 branch = n
-            yield path, i, tree, n, top, branch, at, size, body, payload, None
+            yield path, at * 16 + depth, tree, n, top, branch, at, size, body, payload, None
     except ValueError as e:
-        yield path, -1, "!error", 0, 0, 0, 0, 0, 0, None, str(e)
+        yield path, -1 - above, "!error", 0, 0, 0, 0, 0, 0, None, str(e)
+
+
+def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of at most 4,096 rows and about ``PAYLOAD_BATCH`` bytes of payload."""
+    some, held = [], 0
+    for r in rows:
+        some.append(r)
+        held += len(r[9] or b"")
+        if len(some) >= 4096 or held >= PAYLOAD_BATCH:
+            yield pd.DataFrame(some, columns=_NAMES)
+            some, held = [], 0
+    if some:
+        yield pd.DataFrame(some, columns=_NAMES)
 
 
 def boxes_of_files(files: DataFrame) -> DataFrame:
-    """``files``: (path) for range reads, or (path, content)."""
-    has_content = "content" in files.columns
-    names = [c.strip().split(" ")[0] for c in BOX_SCHEMA.split(",")]
+    """The box table of ``files``: (path) for range reads, or (path, content).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Of files that are read by ranges, one task lists the top-level boxes, headers
+    only, and each ``moov`` and ``moof`` is then walked by the task it is dealt to, so
+    one large file is the work of many tasks.
+    """
+    if "content" in files.columns:
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    src = _Bytes(row.path, row.content)
+                    yield from _frames(_box_rows(row.path, walk_boxes(src, 0, src.size)))
+
+        return files.mapInPandas(whole, BOX_SCHEMA)
+
+    def list_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                src = _Bytes(path)
+                yield from _frames(_box_rows(path, walk_boxes(src, 0, src.size, deep=False)))
+                src.close()
+
+    def go_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                src = _Bytes(row.path, row.content if has_content else None)
-                rows: list[tuple] = []
-                for r in _file_rows(row.path, src):
-                    rows.append(r)
-                    if len(rows) >= 4096:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+            yield pdf
+            inner = pdf[pdf["tree"].isin(CONTAINERS) & pdf["error"].isna()]
+            for path, part in inner.groupby("path", sort=False):
+                src = _Bytes(path)
+                for r in part.sort_values("box_offset").itertuples(index=False):
+                    walked = walk_boxes(src, r.payload_offset, r.box_offset + r.box_size, r.tree)
+                    yield from _frames(_box_rows(path, walked, r.top_ordinal, r.box_offset))
                 src.close()
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
 
-    return files.mapInPandas(run, BOX_SCHEMA)
+    top = files.mapInPandas(list_top, BOX_SCHEMA)
+    return top.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path", idiv("box_offset", TOP_SPAN)).mapInPandas(go_in, BOX_SCHEMA)
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -173,7 +223,8 @@ def file_rejects(boxes: DataFrame) -> DataFrame:
 def _pairs(boxes: DataFrame) -> DataFrame:
     top = boxes.where(F.col("tree").isin("moof", "mdat"))
     return top.groupBy("path", F.col("ordinal").alias("fragment_index")).agg(
-        *[F.max(F.when(F.col("tree") == t, F.col(c))).alias(f"{t}_{c[4:]}") for t in ("moof", "mdat") for c in ("box_offset", "box_size")])
+        *[F.max(F.when(F.col("tree") == t, F.col(c))).alias(f"{t}_{c[4:]}") for t in ("moof", "mdat") for c in ("box_offset", "box_size")],
+        F.max(F.when(F.col("tree") == "mdat", F.col("payload_offset"))).alias("mdat_payload_offset"))
 
 
 def _fragment_heads(boxes: DataFrame, mode: str = "all") -> DataFrame:
@@ -212,19 +263,39 @@ def scan_fragments(spark: SparkSession, path: str, glob: str | None = None, mode
 
 
 def attach_payload(rows: DataFrame, offset: str, size: str, name: str = "payload") -> DataFrame:
-    """Read the bytes [offset, offset+size) of each row's ``path`` last, after all pruning."""
+    """Read the bytes [offset, offset+size) of each row's ``path`` last, after all pruning.
+
+    Null where the place or the size is null. A task holds about ``PAYLOAD_BATCH`` bytes, or one row's, at a time.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, part in pdf.groupby("path", sort=False):
                 src = _Bytes(path)
-                yield part.assign(**{name: [src.read(int(o), int(n)) for o, n in zip(part[offset], part[size])]})
+                part = part.sort_values(offset)
+                weight = part[size].fillna(0).cumsum().floordiv(PAYLOAD_BATCH)
+                for _, some in part.groupby(weight, sort=False):
+                    yield some.assign(**{name: [None if pd.isna(o) or pd.isna(n) else src.read(int(o), int(n)) for o, n in zip(some[offset], some[size])]})
                 src.close()
 
     return rows.mapInPandas(run, schema)
 
 
+def inits_of(boxes: DataFrame) -> DataFrame:
+    """One row per file: the places of its ``ftyp`` and ``moov`` and the size of the init segment that they make."""
+    tops = boxes.where(F.col("tree").isin("ftyp", "moov") & (F.col("ordinal") == 0))
+    places = tops.groupBy("path").agg(*[F.max(F.when(F.col("tree") == t, F.col(c))).alias(f"{t}_{c[4:]}") for t in ("ftyp", "moov") for c in ("box_offset", "box_size")])
+    return places.where("ftyp_size IS NOT NULL AND moov_size IS NOT NULL").withColumn("init_size", F.col("ftyp_size") + F.col("moov_size"))
+
+
+def scan_inits(spark: SparkSession, path: str, glob: str | None = None, name: str = "init") -> DataFrame:
+    """The init segment of every file, ``ftyp`` and ``moov`` bytes one after the other; read by ranges, last."""
+    places = inits_of(scan_boxes(spark, path, glob))
+    both = attach_payload(attach_payload(places, "ftyp_offset", "ftyp_size", "__ftyp"), "moov_offset", "moov_size", "__moov")
+    return both.select("path", "init_size", F.concat("__ftyp", "__moov").alias(name))
+
+
 def tracks_of(boxes: DataFrame) -> DataFrame:
     """Track inventory from the box table: one row per accepted track."""
     base = "moov/trak"
@@ -239,7 +310,7 @@ def tracks_of(boxes: DataFrame) -> DataFrame:
 
     t = boxes.where(F.col("tree").startswith(base + "/")).groupBy("path", F.col("branch_ordinal").alias("trak")).agg(
         *[_payload_of(tree).alias(n) for n, tree in want.items()],
-        under("btrt").alias("btrt"), under("sinf/frma").alias("frma"), under("sinf/schm").alias("schm"), under("sinf/schi/tenc").alias("tenc"))
+        under("btrt").alias("btrt"), under("avcC").alias("avcC"), under("sinf/frma").alias("frma"), under("sinf/schm").alias("schm"), under("sinf/schi/tenc").alias("tenc"))
     t = t.where("stsd IS NOT NULL AND length(hdlr) >= 12")
     t = row_index(t, ["path"], ["trak"], "__n", hot=bounded("path"))
 
@@ -258,6 +329,9 @@ def tracks_of(boxes: DataFrame) -> DataFrame:
             fourcc("frma").alias("original_format"), (be_uint("tenc", 6, 1) != 0).alias("is_protected"), be_uint("tenc", 7, 1).alias("iv_size"))),
     })
     t = t.withColumn("codec", F.coalesce("protection.original_format", "sample_entry_type"))
+    kind = F.col("codec")
+    avc = F.when(F.length("avcC") >= 4, F.concat(kind, F.lit("."), F.lower(F.hex(slice_bytes("avcC", 1, 3))))).otherwise(F.lit("avc1"))
+    t = t.withColumn("codec_text", F.when(kind.isin("avc1", "avc3"), avc).when(F.lower(kind) == "opus", F.lit("opus")).otherwise(kind))
     sized, sound = F.col("codec").isin(*SIZED_VIDEO), F.col("codec").isin(*SIZED_AUDIO)
 
     def field(test: Column, offset: int) -> Column:
@@ -281,7 +355,7 @@ def tracks_of(boxes: DataFrame) -> DataFrame:
     duration = F.when(be_uint("mdhd", 0, 1) == 1, be_uint("mdhd", 24, 8)).otherwise(be_uint("mdhd", 16, 4))
     scale = F.when(F.col("timescale") > 0, F.col("timescale"))
     return t.select(
-        "path", "track_id", "handler_type", "codec", "sample_entry_type",
+        "path", "track_id", "handler_type", "codec", "codec_text", "sample_entry_type",
         F.concat("handler_type", F.lit("_"), (F.col("__n") + 1).cast("string")).alias("track_name"),
         F.lit("cmaf").alias("packaging"), "timescale",
         field(sized, 40).alias("width"), field(sized, 42).alias("height"),
@@ -321,9 +395,11 @@ def init_defaults(boxes: DataFrame) -> DataFrame:
 def samples_of(boxes: DataFrame, precedence: str = "standard", mode: str = "all") -> DataFrame:
     """Samples of all track fragments and runs with defaults filled in and decode times accumulated.
 
-    ``sample_index`` counts over the runs of a track fragment, ``payload_offset``
-    over the whole fragment: its data are taken to lie in the order of its runs.
-    ``mode="reference"`` reads the first run of the first track fragment alone.
+    ``sample_index`` counts over the runs of a track fragment. ``file_offset`` is the
+    place of a sample's bytes and ``payload_offset`` that place within the payload of the
+    fragment's ``mdat``, both by :func:`_places`; a sample whose bytes would not lie
+    there has nulls and a ``place_error``. ``mode="reference"`` reads the first run of
+    the first track fragment alone and takes its data to begin with the ``mdat``.
     """
     heads = _fragment_heads(boxes, mode).withColumns({
         "track_id": be_uint("tfhd", 4, 4), "base_decode_time": _base_decode_time(), "__hf": be_uint("tfhd", 1, 3)})
@@ -343,10 +419,13 @@ def samples_of(boxes: DataFrame, precedence: str = "standard", mode: str = "all"
     record = width("__rf", {m: 4 for m in fields.values()})
     start = 8 + width("__rf", {0x1: 4, 0x4: 4})
     first_flags = F.when(has_bit("__rf", 0x4), be_uint("trun", 8 + width("__rf", {0x1: 4}), 4))
-    h = heads.select(*traf, "track_id", "base_decode_time", F.inline("runs")).withColumn("__rf", be_uint("trun", 1, 3)).withColumns({"__w": record, "__start": start, "__count": be_uint("trun", 4, 4), "__first": first_flags})
+    h = heads.select(*traf, "track_id", "base_decode_time", F.when(has_bit("__hf", 0x1), be_uint("tfhd", 8, 8)).alias("__base"), has_bit("__hf", 0x20000).alias("__in_moof"), F.inline("runs"))
+    h = h.withColumn("__rf", be_uint("trun", 1, 3)).withColumns({
+        "__w": record, "__start": start, "__count": be_uint("trun", 4, 4), "__first": first_flags, "__offset": F.when(has_bit("__rf", 0x1), be_int32("trun", 8)).cast("bigint")})
     # Records are cut out once per run; the run payload is not copied per sample.
     there = F.greatest(F.least(F.col("__count"), idiv(F.length("trun") - F.col("__start"), F.when(F.col("__w") > 0, F.col("__w")))), F.lit(0))
-    keep = [*traf, "run_index", "track_id", "base_decode_time", "__rf", "__first"]
+    place = ["__base", "__in_moof", "__offset"]
+    keep = [*traf, "run_index", "track_id", "base_decode_time", "__rf", "__first", *place]
     cut = F.transform(F.sequence(F.lit(1), F.greatest(there, F.lit(1)).cast("int")),
                       lambda i: slice_bytes("trun", F.col("__start") + (i - 1) * F.col("__w"), F.col("__w")))
     listed = h.where("__w > 0").where(there > 0).select(*keep, F.posexplode(cut).alias("__at", "__rec"))
@@ -360,16 +439,53 @@ def samples_of(boxes: DataFrame, precedence: str = "standard", mode: str = "all"
         values[name] = F.when(has_bit("__rf", mask), read("__rec", width("__rf", skip)))
         skip = {**skip, mask: 4}
     own_flags = F.coalesce(values["flags"], F.when(F.col("__at") == 0, F.col("__first")))
-    s = s.select(*traf, "run_index", "track_id", "base_decode_time", "__at", values["duration"].alias("duration"),
+    s = s.select(*traf, "run_index", "track_id", "base_decode_time", *place, "__at", values["duration"].alias("duration"),
                  values["size"].alias("size"), own_flags.alias("flags"), F.coalesce(values["offset"], F.lit(0)).cast("int").alias("composition_offset"))
     s = overlay_defaults(s, defaults, init_defaults(boxes), traf, ["path", "track_id"], precedence)
     s = s.na.fill({"duration": 0, "size": 0, "flags": DEFAULT_FLAGS})
-    # One fragment is one box: its samples are a bounded group, and one clustering by fragment serves both sums.
-    fragment = bounded("path", "fragment_index")
-    s = running(s, ["path", "fragment_index"], ["traf_index", "run_index", "__at"], [run_sum("payload_offset", F.col("size"), exclusive=True)], hot=fragment)
+    if mode == "reference":
+        s = s.withColumns({"__base": F.lit(None).cast("bigint"), "__in_moof": F.lit(False), "__offset": F.lit(None).cast("bigint")})
+    s = _places(s, boxes)
     s = running(s, traf, ["run_index", "__at"], [run_sum("__t", F.col("duration"), exclusive=True), run_sum("sample_index", F.lit(1).cast("bigint"), exclusive=True)], hot=bounded(*traf))
     return s.withColumn("decode_time", F.col("base_decode_time") + F.col("__t")).drop("__t", "__at")
 
 
+def _places(s: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Samples with ``file_offset``, ``payload_offset`` and ``place_error``.
+
+    A run with a data offset begins at its track fragment's base plus that offset; the
+    base is the one its header gives, else the ``moof`` (for the first track fragment,
+    and where the header says so), else the end of the track fragment before. Any other
+    run follows the one before, the first begins with the ``mdat`` payload; a base
+    given by a header is where a first run without offset begins. An offset of 0 from
+    any other base, which some writers leave to be filled in, counts as none.
+    """
+    key, order = ["path", "fragment_index"], ["traf_index", "run_index", "__at"]
+    traf = [*key, "traf_index"]
+    pairs = _pairs(boxes).select(*key, F.col("moof_offset").alias("__moof"), F.col("mdat_payload_offset").alias("__data"), (F.col("mdat_offset") + F.col("mdat_size")).alias("__end"))
+    s = s.join(pairs, key, "left")
+    first = F.col("__at") == 0
+    from_moof = F.col("__base").isNull() & (F.col("__in_moof") | (F.col("traf_index") == 0))
+    s = s.withColumn("__offset", F.when(first & (F.col("__base").isNotNull() | (F.col("__offset") != 0)), F.col("__offset")))
+    base = F.coalesce("__base", F.when(from_moof, F.col("__moof")))
+    fixed = F.when(first, F.coalesce(base + F.col("__offset"), F.when(F.col("run_index") == 0, F.col("__base"))))
+    # One fragment is one box: its samples are a bounded group, and one clustering by fragment serves all of these sums.
+    fragment, piece = bounded(*key), bounded(*traf)
+    s = running(s, key, order, [run_sum("__before", F.col("size"), exclusive=True)], hot=fragment)
+    s = running(s, traf, order[1:], [run_sum("__own", F.col("size"), exclusive=True)], hot=piece)
+    # a base that is the end of the track fragment before: offsets count from there, not from the run before
+    s = running(s, traf, order[1:], [run_last("__from", F.col("__offset") - F.col("__own"), exclusive=True)], hot=piece)
+    jump = F.when(base.isNull() & F.col("__offset").isNotNull(), F.col("__offset") - F.col("__own") - F.coalesce("__from", F.lit(0)))
+    s = running(s.withColumns({"__fixed": fixed, "__jump": F.coalesce(jump, F.lit(0))}), key, order, [run_sum("__jumps", F.col("__jump"))], hot=fragment)
+    s = s.withColumn("__before", F.col("__before") + F.col("__jumps"))
+    s = running(s, key, order, [run_last("__anchor", F.col("__fixed") - F.col("__before"))], hot=fragment)
+    at = F.coalesce("__anchor", "__data") + F.col("__before")
+    inside = (at >= F.col("__data")) & (at + F.col("size") <= F.col("__end"))
+    s = s.withColumn("__place", at).withColumns({
+        "file_offset": F.when(inside, F.col("__place")), "payload_offset": F.when(inside, F.col("__place") - F.col("__data")),
+        "place_error": F.when(F.col("__data").isNull(), "no mdat").when(~inside, "outside its mdat")})
+    return s.drop("__moof", "__data", "__end", "__base", "__in_moof", "__offset", "__before", "__own", "__from", "__fixed", "__jump", "__jumps", "__anchor", "__place")
+
+
 def scan_samples(spark: SparkSession, path: str, glob: str | None = None, precedence: str = "standard", mode: str = "all") -> DataFrame:
     return samples_of(stage(scan_boxes(spark, path, glob)), precedence, mode)

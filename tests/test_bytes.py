@@ -217,3 +217,88 @@ def test_every_run_of_every_track_fragment(spark):
     frags, rejects = mp4.fragments_of(boxes)
     assert rows(frags, "fragment_index", "traf_index", "track_id", "base_decode_time") == [(0, 0, 1, 100), (0, 1, 2, 900)]
     assert [r["path"] for r in rejects.collect()] == ["junk.txt"]
+
+
+def run_at(offset: int | None, *sizes: int) -> bytes:
+    return bb.full("trun", 0x200 | (0x1 if offset is not None else 0), bb.u32(len(sizes)), (offset & 0xFFFFFFFF).to_bytes(4, "big") if offset is not None else b"", bb.u32(*sizes))
+
+
+def traf_of(track: int, *runs: bytes, flags: int = 0, base: int | None = None) -> bytes:
+    head = bb.full("tfhd", flags | (0x1 if base is not None else 0), bb.u32(track), base.to_bytes(8, "big") if base is not None else b"")
+    return bb.box("traf", head, bb.full("tfdt", 0, bb.u32(0)), *runs)
+
+
+def fragment_of(*trafs: bytes) -> bytes:
+    return bb.box("moof", bb.full("mfhd", 0, bb.u32(1)), *trafs)
+
+
+HEAD = bb.init(bb.trak(1, "vide", "avc1", 1000), bb.trak(2, "soun", "mp4a", 1000), trexes=bb.trex(1, 40, 0, 0) + bb.trex(2, 20, 0, 0))
+
+
+def places(spark, folder, name, build, data, before=b""):
+    """Bytes of the samples of (track, run) of one fragment; ``build`` gets the place of the data from the moof's start and the moof's place in the file."""
+    size = len(build(0, 0))
+    moof_at = len(HEAD) + len(before)
+    put(folder, name, HEAD + before + build(size + 8, moof_at) + bb.mdat(data))
+    s = mp4.scan_samples(spark, folder, name)
+    got = mp4.attach_payload(s.select("path", "traf_index", "track_id", "run_index", "sample_index", "file_offset", "size", "payload_offset", "place_error"), "file_offset", "size", "body")
+    return {(r["traf_index"], r["sample_index"]): (r["track_id"], bytes(r["body"]).decode() if r["body"] is not None else r["place_error"]) for r in got.collect()}
+
+
+def test_interleaved_runs_get_their_own_bytes(spark, folder):
+    # the second track fragment has no base of its own: its offset counts from the end of the first one's data
+    back = places(spark, folder, "inter.mp4", lambda at, _: fragment_of(traf_of(1, run_at(at, 2), run_at(at + 4, 2)), traf_of(2, run_at(-4, 2))), b"A1b1A2")
+    assert back == {(0, 0): (1, "A1"), (0, 1): (1, "A2"), (1, 0): (2, "b1")}
+    moofs = places(spark, folder, "base.mp4", lambda at, _: fragment_of(traf_of(1, run_at(at, 2), run_at(at + 4, 2), flags=0x20000), traf_of(2, run_at(at + 2, 2), flags=0x20000)), b"A1b1A2")
+    assert moofs == {(0, 0): (1, "A1"), (0, 1): (1, "A2"), (1, 0): (2, "b1")}
+
+
+def test_places_by_every_kind_of_base(spark, folder):
+    free = bb.box("free", bytes(50))
+    # a base given by the header, with and without offsets of the runs
+    given = places(spark, folder, "given.mp4", lambda at, moof: fragment_of(traf_of(1, run_at(2, 2), run_at(None, 1), base=moof + at), traf_of(2, run_at(None, 2), base=moof + at)), b"b1A2x", free)
+    assert given == {(0, 0): (1, "A2"), (0, 1): (1, "x"), (1, 0): (2, "b1")}
+    # no offsets at all: runs lie one after another
+    plain = places(spark, folder, "plain.mp4", lambda at, _: fragment_of(traf_of(1, run_at(None, 1, 1), run_at(None, 1)), traf_of(2, run_at(None, 2), flags=0x20000)), b"abcde")
+    assert plain == {(0, 0): (1, "a"), (0, 1): (1, "b"), (0, 2): (1, "c"), (1, 0): (2, "de")}
+    # a run without offset follows the one before, also when that one has an offset
+    follow = places(spark, folder, "follow.mp4", lambda at, _: fragment_of(traf_of(1, run_at(at + 3, 1), run_at(None, 1), run_at(at, 1))), b"xyzab")
+    assert follow == {(0, 0): (1, "a"), (0, 1): (1, "b"), (0, 2): (1, "x")}
+    # offsets that count from the end of the track fragment before
+    after = places(spark, folder, "after.mp4", lambda at, _: fragment_of(traf_of(1, run_at(at, 2)), traf_of(2, run_at(1, 1), run_at(3, 1), run_at(None, 1), run_at(0, 1), run_at(2, 1))), b"AA0123456")
+    # 0 counts as none: that run follows
+    assert after == {(0, 0): (1, "AA"), (1, 0): (2, "1"), (1, 1): (2, "3"), (1, 2): (2, "4"), (1, 3): (2, "5"), (1, 4): (2, "2")}
+    # bytes outside of the fragment's data are no guess
+    out = places(spark, folder, "out.mp4", lambda at, _: fragment_of(traf_of(1, run_at(at + 4, 2), run_at(at, 1), run_at(-5, 1))), b"abcde")
+    assert out == {(0, 0): (1, "outside its mdat"), (0, 1): (1, "a"), (0, 2): (1, "outside its mdat")}
+    reference = mp4.scan_samples(spark, folder, "follow.mp4", mode="reference")
+    assert rows(reference, "run_index", "payload_offset") == [(0, 0)]
+
+
+def test_large_file_is_walked_by_many_tasks(spark, folder):
+    """A sparse file of 5 GB with boxes of 250 MB that nobody reads."""
+    n, hole = 20, 250 << 20
+    with open(f"{folder}/large.mp4", "wb") as f:
+        f.write(HEAD + bb.box("uuid", bytes(100)))
+        for i in range(n):
+            moof = bb.moof(1, i * 1000, [dict(size=5)])
+            f.write(moof + bb.u32(1) + b"mdat" + (16 + hole).to_bytes(8, "big") + b"first")
+            f.seek(hole - 5, 1)
+        f.truncate(f.tell())
+    boxes = mp4.scan_boxes(spark, folder, "large.mp4")
+    assert boxes.where("tree = 'moof/traf/trun'").select(F.spark_partition_id()).distinct().count() > 2
+    assert boxes.where("payload IS NOT NULL AND NOT split(tree, '/')[size(split(tree, '/')) - 1] IN " + str(mp4.USED)).count() == 0
+    frags, rejects = mp4.fragments_of(boxes)
+    assert frags.count() == n and rejects.count() == 0
+    s = mp4.scan_samples(spark, folder, "large.mp4")
+    got = mp4.attach_payload(s.select("path", "fragment_index", "file_offset", "size"), "file_offset", "size")
+    assert {bytes(r["payload"]) for r in got.collect()} == {b"first"}
+
+
+def test_init_segments_and_codec_text(spark, folder):
+    avcc = bb.box("avcC", bytes([1, 0x64, 0x00, 0x1F, 0xFF]))
+    init = bb.init(bb.trak(1, "vide", "avc1", 90000, children=avcc), bb.trak(2, "vide", "avc3", 90000), bb.trak(3, "soun", "Opus", 48000), bb.trak(4, "soun", "mp4a", 48000))
+    put(folder, "a.mp4", init + bb.box("free", bytes(9)) + bb.moof(1, 0, 1) + bb.mdat(b"x"))
+    put(folder, "none.mp4", bb.box("free", b""))
+    assert [(r["init_size"], bytes(r["init"])) for r in mp4.scan_inits(spark, folder).collect()] == [(len(init), init)]
+    assert rows(mp4.scan_tracks(spark, folder), "track_id", "codec", "codec_text") == [(1, "avc1", "avc1.64001f"), (2, "avc3", "avc1"), (3, "Opus", "opus"), (4, "mp4a", "mp4a")]
