@@ -54,16 +54,35 @@ def plan_dependencies(tracks: DataFrame, asset: str = "asset_id", **kw) -> DataF
     return all_tracks.unionByName(own)
 
 
+#: What an object of a plan is; NULL where it does not apply. Media lie at (path, file_offset, payload_bytes), documents are inline.
+CONTENT = {"subgroup_id": "bigint", "media_time_us": "bigint", "media_duration_us": "bigint", "sap_type": "int", "payload_bytes": "bigint",
+           "path": "string", "file_offset": "bigint", "document": "string"}
+
+
 def build_plan(frags: DataFrame, tracks: DataFrame, sap: bool = True, timeline: bool = True, asset: str = "asset_id",
-               seq: str = "arrival_seq", span: int | None = None, **kw) -> DataFrame:
-    """All objects of an asset in publish order: catalog, media, timeline, SAP timelines."""
-    media = frags.select(asset, "track_name", "group_id", "object_id", F.col(seq).cast("bigint").alias("__seq"),
-                         F.lit(SECTIONS["media"]).alias("__section"), F.lit("media").alias("kind"))
+               seq: str = "arrival_seq", span: int | None = None, documents: DataFrame | None = None, **kw) -> DataFrame:
+    """All objects of an asset in publish order, with their content: catalog, media, timeline, SAP timelines.
+
+    ``documents`` (asset, track_name, part_index, document) are the contents of the
+    synthetic tracks; part n of a document is object n of group 0. Synthetic objects
+    have time and duration 0, and without documents no bytes.
+    """
+    def content(df, **given):
+        return [given.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in CONTENT.items()]
+
     zero = F.lit(0).cast("bigint")
+    own = frags if "subgroup_id" in frags.columns else frags.withColumn("subgroup_id", zero)
+    media = own.select(asset, "track_name", "group_id", "object_id", F.col(seq).cast("bigint").alias("__seq"), zero.alias("__part"),
+                       F.lit(SECTIONS["media"]).alias("__section"), F.lit("media").alias("kind"), *content(own, document=F.lit(None)))
 
     def synthetic(df, name, section, kind, at=zero):
-        return df.select(asset, name.alias("track_name"), zero.alias("group_id"), zero.alias("object_id"), at.alias("__seq"),
-                         F.lit(SECTIONS[section]).alias("__section"), F.lit(kind).alias("kind"))
+        rows = df.select(asset, name.alias("track_name"), at.alias("__seq"))
+        part, text = zero, F.lit(None).cast("string")
+        if documents is not None:
+            rows = rows.join(documents, [asset, "track_name"], "left")
+            part, text = F.coalesce(F.col("part_index"), zero), F.col("document")
+        return rows.select(asset, "track_name", zero.alias("group_id"), part.alias("object_id"), "__seq", part.alias("__part"), F.lit(SECTIONS[section]).alias("__section"), F.lit(kind).alias("kind"),
+                           *content(rows, subgroup_id=zero, media_time_us=zero, media_duration_us=zero, payload_bytes=F.coalesce(F.octet_length(text), zero), document=text))
 
     assets = tracks.select(asset).distinct()
     out = synthetic(assets, F.lit("catalog"), "catalog", "initialization").unionByName(media)
@@ -72,9 +91,9 @@ def build_plan(frags: DataFrame, tracks: DataFrame, sap: bool = True, timeline:
     if sap:
         out = out.unionByName(synthetic(tracks, sap_track_name(F.col("track_name")), "sap", "metadata", F.col("track_id").cast("bigint")))
     width = span or seq_span(frags.sparkSession)
-    plan = row_index(out, [asset], ["__section", "__seq"], "plan_index",
+    plan = row_index(out, [asset], ["__section", "__seq", "__part"], "plan_index",
                      chunk=F.struct(F.col("__section").alias("s"), idiv("__seq", width).alias("b")), **kw)
-    return plan.drop("__section", "__seq")
+    return plan.drop("__section", "__seq", "__part")
 
 
 def catalog_added(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.operators import order, relate, sequence, sets
+from medialake.functions import text
+from medialake.operators import order, publish, relate, rollup, sequence, sets
+from medialake.plans.media import _LANG_SQL
 from medialake.plans.registry import query
 from medialake.plans.relations import _MATCH, _subs
+from medialake.sources.sinks import object_filename
 
 
 @query("W9_end_flags", """
@@ -71,14 +74,85 @@ def _(v):
 
 
 @query("U1_build_plan", """
-WITH a AS (SELECT asset_id, 0 AS sec, 0 AS s, 'catalog' AS track_name, 0 AS group_id, 0 AS object_id, 'initialization' AS kind FROM tracks_v GROUP BY 1
- UNION ALL SELECT broadcast_id, 1, plan_index, track_name, group_id, object_id, 'media' FROM objects_v
- UNION ALL SELECT asset_id, 2, 0, 'timeline', 0, 0, 'metadata' FROM tracks_v GROUP BY 1
- UNION ALL SELECT asset_id, 3, track_id, track_name || '_sap', 0, 0, 'metadata' FROM tracks_v)
-SELECT asset_id, track_name, group_id, object_id, kind, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY sec, s) - 1 AS BIGINT) AS plan_index FROM a""")
-def _(v):
-    f = v.objects.select(F.col("broadcast_id").alias("asset_id"), "track_name", "group_id", "object_id", F.col("plan_index").alias("arrival_seq"))
-    return sets.build_plan(f, v.tracks, hot=v.hot_assets)
+WITH a AS (SELECT asset_id, 0 AS sec, 0 AS s, 'catalog' AS track_name, 0 AS group_id, 0 AS object_id, 'initialization' AS kind,
+           0 AS media_time_us, 0 AS media_duration_us, NULL AS sap_type, 0 AS payload_bytes FROM tracks_v GROUP BY 1
+ UNION ALL SELECT broadcast_id, 1, plan_index, track_name, group_id, object_id, 'media', media_time_us, media_duration_us, sap_type, payload_bytes FROM objects_v
+ UNION ALL SELECT asset_id, 2, 0, 'timeline', 0, 0, 'metadata', 0, 0, NULL, 0 FROM tracks_v GROUP BY 1
+ UNION ALL SELECT asset_id, 3, track_id, track_name || '_sap', 0, 0, 'metadata', 0, 0, NULL, 0 FROM tracks_v)
+SELECT asset_id, track_name, group_id, object_id, kind, media_time_us, media_duration_us, CAST(sap_type AS INT) AS sap_type, payload_bytes,
+       CAST(row_number() OVER (PARTITION BY asset_id ORDER BY sec, s) - 1 AS BIGINT) AS plan_index FROM a""")
+def _(v):
+    plan = sets.build_plan(_plan_frags(v), v.tracks, hot=v.hot_assets)
+    return plan.select("asset_id", "track_name", "group_id", "object_id", "kind", "media_time_us", "media_duration_us", "sap_type", "payload_bytes", "plan_index")
+
+
+def _plan_frags(v):
+    """Every asset's objects as fragments that lie one after another in its file."""
+    f = v.objects.select(F.col("broadcast_id").alias("asset_id"), "track_name", "group_id", "object_id", "subgroup_id", F.col("plan_index").alias("arrival_seq"),
+                         "media_time_us", "media_duration_us", "sap_type", "payload_bytes")
+    f = publish.with_file_places(f, "asset_id", hot=v.hot_assets)
+    return f.withColumn("path", F.concat(F.lit("asset_"), F.col("asset_id").cast("string"), F.lit(".mp4")))
+
+
+def _content_plan(v):
+    frags, tracks = _plan_frags(v), v.tracks.withColumn("language", text.language_tag("language"))
+    return sets.build_plan(frags, tracks, documents=publish.plan_documents(frags, tracks, hot=v.hot_assets), hot=v.hot_assets)
+
+
+_PLAN_SQL = f"""
+mx AS (SELECT asset_id, max(track_id) AS mx, '"' || string_agg(track_name, '","' ORDER BY track_id) || '"' AS names FROM tracks_v GROUP BY 1),
+sapmax AS (SELECT broadcast_id AS asset_id, track_name, max(sap_type) AS om, coalesce(max(CASE WHEN object_id = 0 THEN sap_type END), 0) AS gm FROM objects_v GROUP BY 1, 2),
+entries AS (
+  SELECT t.asset_id, track_id AS pos, '{{"name":"' || t.track_name || '","packaging":"cmaf","role":"' || CASE handler_type WHEN 'vide' THEN 'video' ELSE 'audio' END || '","isLive":false,"renderGroup":1'
+   || coalesce(',"codec":"' || nullif(codec, '') || '"', '')
+   || CASE WHEN handler_type = 'vide' AND frame_rate > 0 THEN ',"framerate":' || CASE WHEN abs(frame_rate - round(frame_rate)) < 0.0005 THEN CAST(CAST(round(frame_rate) AS BIGINT) AS VARCHAR) ELSE printf('%.3f', frame_rate) END ELSE '' END
+   || ',"timescale":' || timescale || ',"bitrate":' || coalesce(nullif(max_bitrate, 0), CASE WHEN handler_type = 'soun' THEN 128000 ELSE 2000000 END)
+   || coalesce(',"avgBitrate":' || nullif(avg_bitrate, 0), '')
+   || CASE WHEN handler_type = 'vide' THEN coalesce(',"width":' || nullif(width, 0), '') || coalesce(',"height":' || nullif(height, 0), '') ELSE '' END
+   || CASE WHEN handler_type = 'soun' THEN ',"samplerate":' || sample_rate || ',"channelConfig":"' || channel_count || '"' ELSE '' END
+   || coalesce(',"lang":"' || {_LANG_SQL} || '"', '') || coalesce(',"trackDuration":' || nullif(duration_ms, 0), '')
+   || coalesce(',"maxGrpSapStartingType":' || gm, '') || coalesce(',"maxObjSapStartingType":' || om, '') || '}}' AS j
+  FROM tracks_v t LEFT JOIN sapmax s ON s.asset_id = t.asset_id AND s.track_name = t.track_name
+  UNION ALL SELECT asset_id, mx + 1, '{{"name":"timeline","packaging":"mediatimeline","role":"mediatimeline","isLive":false,"depends":[' || names || '],"mimeType":"application/json"}}' FROM mx
+  UNION ALL SELECT asset_id, 1000000000 + track_id, '{{"name":"' || track_name || '_sap","packaging":"eventtimeline","eventType":"org.ietf.moq.cmsf.sap","role":"eventtimeline","isLive":false,"depends":["' || track_name || '"],"mimeType":"application/json"}}' FROM tracks_v),
+cat AS (SELECT asset_id, '{{"version":"1","tracks":[' || string_agg(j, ',' ORDER BY pos) || ']}}' AS d FROM entries GROUP BY 1),
+tl AS (SELECT broadcast_id AS asset_id, '[' || string_agg('[' || time_ms || ',[' || group_id || ',' || object_id || '],0]', ',' ORDER BY time_ms, group_id, object_id) || ']' AS d
+       FROM (SELECT DISTINCT broadcast_id, (media_time_us + 500) // 1000 AS time_ms, group_id, object_id FROM objects_v) GROUP BY 1),
+st AS (SELECT broadcast_id AS asset_id, track_name, '[' || string_agg('{{"l":[' || group_id || ',' || object_id || '],"data":[' || sap_type || ',' || ((media_time_us + 500) // 1000) || ']}}', ',' ORDER BY plan_index) || ']' AS d FROM objects_v GROUP BY 1, 2),
+obj AS (
+  SELECT asset_id, 0 AS sec, 0 AS s, 'catalog' AS track_name, 0 AS group_id, 0 AS object_id, 0 AS subgroup_id, 'initialization' AS kind, 0 AS media_time_us, 0 AS media_duration_us, NULL AS sap_type, NULL AS path, NULL AS file_offset, d AS document, strlen(d) AS payload_bytes FROM cat
+  UNION ALL SELECT broadcast_id, 1, plan_index, track_name, group_id, object_id, subgroup_id, 'media', media_time_us, media_duration_us, sap_type, 'asset_' || broadcast_id || '.mp4',
+    CAST(coalesce(sum(payload_bytes) OVER (PARTITION BY broadcast_id ORDER BY plan_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT), NULL, payload_bytes FROM objects_v
+  UNION ALL SELECT mx.asset_id, 2, 0, 'timeline', 0, 0, 0, 'metadata', 0, 0, NULL, NULL, NULL, coalesce(d, '[]'), strlen(coalesce(d, '[]')) FROM mx LEFT JOIN tl USING (asset_id)
+  UNION ALL SELECT t.asset_id, 3, track_id, t.track_name || '_sap', 0, 0, 0, 'metadata', 0, 0, NULL, NULL, NULL, coalesce(d, '[]'), strlen(coalesce(d, '[]')) FROM tracks_v t LEFT JOIN st ON st.asset_id = t.asset_id AND st.track_name = t.track_name),
+plan AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY sec, s) - 1 AS BIGINT) AS plan_index FROM obj)"""
+
+
+@query("U1_plan_content", f"""
+WITH {_PLAN_SQL}
+SELECT asset_id, plan_index, track_name, kind, group_id, object_id, media_time_us, media_duration_us, CAST(sap_type AS INT) AS sap_type, payload_bytes, path, file_offset, document FROM plan""")
+def _(v):
+    return _content_plan(v).select("asset_id", "plan_index", "track_name", "kind", "group_id", "object_id", "media_time_us", "media_duration_us", "sap_type", "payload_bytes", "path", "file_offset", "document")
+
+
+@query("U1_plan_stats", f"""
+WITH {_PLAN_SQL}
+SELECT asset_id, kind, CAST(sum(payload_bytes) AS BIGINT) AS bytes, count(*) AS objects, count(DISTINCT (track_name, group_id)) AS groups FROM plan GROUP BY 1, 2""")
+def _(v):
+    return rollup.publish_stats(_content_plan(v), ["asset_id", "kind"], track=["asset_id", "track_name"])
+
+
+@query("U1_plan_to_send_order", f"""
+WITH {_PLAN_SQL},
+m AS (SELECT s.request_id, p.* FROM subs_v s JOIN plan p ON s.track_name = p.track_name WHERE kind = 'media' AND {_MATCH}),
+r AS (SELECT *, max((media_time_us, plan_index)) OVER (PARTITION BY asset_id, request_id ORDER BY plan_index ROWS UNBOUNDED PRECEDING) AS head FROM m)
+SELECT asset_id, request_id, plan_index, path, file_offset, payload_bytes, track_name || '_g' || group_id || '_o' || object_id || '_media.mp4' AS object_filename,
+       CAST(dense_rank() OVER (PARTITION BY asset_id ORDER BY head, plan_index) AS BIGINT) AS send_seq FROM r""")
+def _(v):
+    plan = _content_plan(v).where("kind = 'media'").withColumn("object_filename", object_filename())
+    plan = plan.select("asset_id", "plan_index", "track_name", "group_id", "object_id", "media_time_us", "path", "file_offset", "payload_bytes", "object_filename")
+    sent = order.send_order(relate.match_subscriptions(_subs(v), plan), "asset_id", hot=v.hot_matches.renamed(broadcast_id="asset_id"))
+    return sent.select("asset_id", "request_id", "plan_index", "path", "file_offset", "payload_bytes", "object_filename", "send_seq")
 
 
 @query("U1_plan_tracks", """
