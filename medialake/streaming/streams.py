@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.functions.timing import idiv
+from medialake.functions.timing import idiv, sap_type, ticks_to_micros
 from medialake.operators.sets import merge_ranges
 from medialake.streaming import processors as P
 from medialake.streaming.bytestreams import Boxes, PesSamples
@@ -24,13 +24,37 @@ def stream_boxes(chunks: DataFrame) -> DataFrame:
                   "path string, chunk_seq bigint, kind string, track_id bigint, init_bytes binary, fragment binary, error string" + _LATE)
 
 
+def stream_fragments(chunks: DataFrame, payload: bool = False) -> DataFrame:
+    """Live fragments of every path: a row a track fragment, in order of ``arrival_seq``, with times in microseconds.
+
+    ``is_sync`` says that a video fragment begins with a sync sample. Chunks that
+    cannot be used and unknown tracks are rows with ``error`` and no ``arrival_seq``.
+    The bytes (``moof`` and ``mdat``) are there with ``payload``.
+    """
+    rows = _state(chunks, ["path"], Boxes(timed=True, keep_bytes=payload),
+                  "path string, chunk_seq bigint, kind string, track_id bigint, init_bytes binary, fragment binary, error string, arrival_seq bigint, track_name string, handler_type string, "
+                  "timescale bigint, base_ticks bigint, duration_ticks bigint, earliest_ticks bigint, first_flags bigint, payload_bytes bigint" + _LATE)
+    sap = sap_type("handler_type", "first_flags")
+    late = F.when(F.col("late"), "late chunk")
+    return rows.where("kind IN ('fragment', 'dropped', 'error') OR late").select(
+        "path", "chunk_seq", "arrival_seq", "track_id", "track_name", "handler_type", ticks_to_micros("base_ticks", "timescale").alias("start_us"),
+        ticks_to_micros("duration_ticks", "timescale").alias("duration_us"), ticks_to_micros("earliest_ticks", "timescale").alias("earliest_presentation_time_us"), sap.alias("sap_type"),
+        ((F.col("handler_type") == "vide") & (sap == 2)).alias("is_sync"), "payload_bytes", *([F.col("fragment").alias("payload")] if payload else []), F.coalesce("error", late).alias("error"))
+
+
+def stream_live_groups(chunks: DataFrame) -> DataFrame:
+    """Bytes to numbered objects in one query: chunks, fragments, key-frame groups per path."""
+    return stream_groups(stream_fragments(chunks).where("error IS NULL"), "path")
+
+
 def stream_pes(packets: DataFrame) -> DataFrame:
     return _state(packets, ["feed_id", "pid"], PesSamples(), "feed_id bigint, pid int, packet_index bigint, pts90k bigint, payload binary" + _LATE)
 
 
-def stream_groups(frags: DataFrame) -> DataFrame:
-    d = frags.select("feed_id", "arrival_seq", "track_name", "handler_type", "is_sync")
-    return _state(d, ["feed_id"], P.LiveGroups(), "feed_id bigint, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE)
+def stream_groups(frags: DataFrame, feed: str = "feed_id") -> DataFrame:
+    d = frags.select(F.col(feed).alias("feed_id"), "arrival_seq", "track_name", "handler_type", "is_sync")
+    out = _state(d, ["feed_id"], P.LiveGroups(), f"feed_id {d.schema['feed_id'].dataType.simpleString()}, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE)
+    return out.withColumnRenamed("feed_id", feed)
 
 
 def stream_shared_groups(frags: DataFrame, has_video: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
@@ -236,3 +238,141 @@ def test_pull_callback_is_a_source(spark, folder):
     q.stop()
     got = spark.read.parquet(folder + "/out")
     assert rows(got, "feed_id", "arrival_seq", "group_id", "payload") == [(7, i, i // 4, bytearray(f"p{i}".encode())) for i in range(10)]
+
+
+def test_live_chain_is_its_batch_twin(spark, folder):
+    """Bytes in uneven chunks to numbered groups in one streaming query, next to the file scan of the same bytes."""
+    import build_bytes as bb
+
+    from medialake.functions.timing import ticks_to_micros
+    from medialake.operators import rollup, sequence
+    from medialake.operators.ordered import bounded
+    from medialake.sources import mp4
+
+    head = bb.init(bb.trak(1, "vide", "avc1", 90000), bb.trak(2, "soun", "mp4a", 48000), trexes=bb.trex(1, 3000, 7, 0x10000) + bb.trex(2, 1024, 3, 0))
+    body = b""
+    for i in range(40):
+        sync = 0x02000000 if i % 7 == 2 else 0x01010000
+        body += bb.moof(1, i * 9000, [dict(duration=3000 + i, size=2, flags=sync if k == 0 else 0x01010000, offset=-4000 + 500 * k) for k in range(3)]) + bb.mdat(b"vv" * 3)
+        if i % 3:
+            body += bb.moof(2, i * 4800, 4, tfhd=0x8, tfhd_values=(1000 + i,)) + bb.mdat(b"snd" * 4)
+        if i % 5 == 0:
+            body += bb.moof(1, i * 9000 + 77, [dict(size=1), dict(size=1)], first_flags=0x02000000 if i % 2 else 0x10000) + bb.mdat(b"ab")
+    data = head + body
+    with open(f"{folder}/whole.mp4", "wb") as f:
+        f.write(data)
+    cuts = [0, 100, len(head) + 10, *range(len(head) + 300, len(data), 700), len(data)]
+    rows_in = [("p", i, data[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    df = spark.createDataFrame(rows_in, "path string, chunk_seq bigint, bytes binary")
+    for part in ("chunk_seq < 9", "chunk_seq >= 9"):
+        df.where(part).coalesce(1).write.mode("append").parquet(folder + "/in")
+        time.sleep(1.1)
+
+    def drain(build, out):
+        src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+        q = build(src).writeStream.format("parquet").option("path", f"{folder}/{out}").option("checkpointLocation", f"{folder}/ck-{out}").trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        return spark.read.parquet(f"{folder}/{out}")
+
+    frags = drain(streams.stream_fragments, "frags")
+    boxes = mp4.scan_boxes(spark, folder, "whole.mp4")
+    s = mp4.samples_of(boxes).join(mp4.tracks_of(boxes).select("path", "track_id", "handler_type", "timescale", "track_name"), ["path", "track_id"])
+    twin = rollup.rollup_fragments(s, ["path", "fragment_index", "track_id", "track_name"])
+    place = {r["fragment_index"]: (r["track_id"], r["start_time_us"], r["duration_us"], r["earliest_presentation_time_us"], r["sap_type"], r["track_name"]) for r in twin.collect()}
+    got = [(r["track_id"], r["start_us"], r["duration_us"], r["earliest_presentation_time_us"], r["sap_type"], r["track_name"]) for r in frags.orderBy("arrival_seq").collect()]
+    assert got == [place[i] for i in sorted(place)] and len(got) > 60
+    assert frags.where("error IS NOT NULL").count() == 0
+    groups = drain(streams.stream_live_groups, "groups")
+    batch = twin.select(F.lit("p").alias("path"), F.col("fragment_index").alias("arrival_seq"), "track_name", "handler_type", ((F.col("handler_type") == "vide") & (F.col("sap_type") == 2)).alias("is_sync"))
+    batch = sequence.number_objects(sequence.assign_groups(batch, "path", hot=bounded("path")), "path", hot=bounded("path"))
+    want = [(r["track_name"], r["group_id"], r["object_id"]) for r in batch.orderBy("arrival_seq").collect()]
+    assert [(r["track_name"], r["group_id"], r["object_id"]) for r in groups.orderBy("arrival_seq").collect()] == want
+    assert max(g for _, g, _ in want) > 3
+
+
+def test_live_fragments_of_odd_bytes(spark, folder):
+    """Unknown tracks, tracks without a clock and bad boxes are rows with an error, and several track fragments of one box are rows of their own."""
+    import build_bytes as bb
+
+    head = bb.init(bb.trak(1, "vide", "avc1", 1000), bb.trak(2, "soun", "mp4a", 0), bb.trak(3, "soun", "mp4a", 1000), trexes=bb.trex(1, 40, 0, 0))
+
+    def traf(track, base, *parts):
+        return bb.box("traf", bb.full("tfhd", 0, bb.u32(track)), bb.full("tfdt", 0, bb.u32(base)), *parts)
+
+    def run(n, duration=None):
+        return bb.full("trun", 0x100 if duration is not None else 0, bb.u32(n), *([bb.u32(duration)] * n if duration is not None else []))
+
+    both = bb.box("moof", bb.full("mfhd", 0, bb.u32(1)), traf(1, 100, run(2), run(1, 9)), traf(3, 700, run(3, 5)), traf(2, 0, run(1)), traf(9, 0, run(1)), traf(1, 500))
+    data = head + both + bb.mdat(b"x" * 9)
+    df = spark.createDataFrame([("p", 0, data), ("q", 0, data + bb.u32(3) + b"oops"), ("q", 1, both)], "path string, chunk_seq bigint, bytes binary")
+    df.coalesce(1).write.parquet(folder + "/in")
+    src = spark.readStream.schema(df.schema).parquet(folder + "/in")
+    q = streams.stream_fragments(src, payload=True).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/ck").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    out = spark.read.parquet(folder + "/out")
+    assert rows(out.where("path = 'p'"), "arrival_seq", "track_name", "start_us", "duration_us", "sap_type", "error") == [
+        (0, "vide_1", 100000, 89000, 2, None), (1, "soun_3", 700000, 15000, 1, None), (2, "vide_1", 500000, 0, 2, None),
+        (None, None, None, None, None, "track without a clock"), (None, None, None, None, None, "unknown track")]
+    assert {bytes(r["payload"]) for r in out.where("error IS NULL").collect()} == {both + bb.mdat(b"x" * 9)}
+    assert rows(out.where("path = 'q' AND error IS NOT NULL"), "error") == [("chunk after a bad box",), ("impossible box size",), ("track without a clock",), ("unknown track",)]
+
+
+def brute_keyframe(b: bytes, hevc: bool) -> bool:
+    for i in range(len(b)):
+        for code in (b"\0\0\1", b"\0\0\0\1"):
+            unit = i + len(code)
+            if b[i:unit] == code and i + 4 < len(b) and unit < len(b):
+                if hevc and 16 <= (b[unit] >> 1 & 63) <= 23 or not hevc and b[unit] & 31 == 5:
+                    return True
+    return False
+
+
+def test_keyframes_are_brute_force(spark):
+    import random
+
+    from medialake.operators.keyframes import with_keyframes
+
+    draw = random.Random(5)
+    bodies = [bytes(draw.choice([0, 0, 0, 1, 1, 0x65, 0x41, 0x26, 0x2E, 0x02, 0x30, 5]) for _ in range(draw.randrange(0, 14))) for _ in range(3000)]
+    bodies += [b"", b"\0\0\1\x65", b"\0\0\1\x65x", b"\0\0\0\1\x65", b"\0\0\0\0\1\x65", b"\0\0\1"]
+    data = [(i, [0x1B, 0x24, 0x02, 0x0F, None][i % 5], b if i % 97 else None) for i, b in enumerate(bodies * 2)]
+    df = spark.createDataFrame(data, "id int, stream_type int, payload binary").repartition(3)
+    got = {r["id"]: (r["is_video"], r["keyframe"]) for r in with_keyframes(df).collect()}
+    assert got == {i: (k in (0x1B, 0x24, 0x02), k in (0x1B, 0x24, 0x02) and brute_keyframe(b or b"", k == 0x24)) for i, k, b in data}
+    assert 300 < sum(k for _, k in got.values()) < 3000
+    types = spark.createDataFrame([(1, 256, 0x1B), (1, 257, 0x0F)], "feed_id bigint, pid int, stream_type int")
+    samples = spark.createDataFrame([(1, 256, b"\0\0\1\x65x"), (1, 257, b"\0\0\1\x65x"), (2, 256, b"\0\0\1\x65x")], "feed_id bigint, pid int, payload binary")
+    assert rows(with_keyframes(samples, types), "feed_id", "pid", "is_video", "keyframe") == [(1, 256, True, True), (1, 257, False, False), (2, 256, False, False)]
+
+
+def test_packets_to_groups_in_one_stream(spark, folder):
+    """Packets, samples with key-frame flags and live groups in one query equal the batch operators."""
+    import build_bytes as bb
+
+    from medialake.operators import sequence
+    from medialake.operators.keyframes import with_keyframes
+    from medialake.operators.ordered import bounded
+
+    idr, plain = b"\0\0\1\x65data", b"\0\0\1\x41data"
+    packets, n = [], 0
+    for k in range(30):
+        for pid, body in ((256, idr if k % 6 == 3 else plain), (257, b"sound")):
+            packets.append((1, pid, n, True, bb.pes(body, 3000 * k)))
+            packets.append((1, pid, n + 1, False, b"more"))
+            n += 2
+    df = spark.createDataFrame(packets, "feed_id bigint, pid int, packet_index bigint, pusi boolean, payload binary")
+    types = spark.createDataFrame([(1, 256, 0x1B), (1, 257, 0x0F)], "feed_id bigint, pid int, stream_type int")
+    for part in ("packet_index < 50", "packet_index >= 50"):
+        df.where(part).coalesce(1).write.mode("append").parquet(folder + "/in")
+        time.sleep(1.1)
+
+    def frags(samples):
+        d = with_keyframes(samples, types)
+        return d.select("feed_id", F.col("packet_index").alias("arrival_seq"), F.col("pid").cast("string").alias("track_name"), F.when(F.col("is_video"), "vide").otherwise("soun").alias("handler_type"), F.col("keyframe").alias("is_sync"))
+
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    q = streams.stream_groups(frags(streams.stream_pes(src))).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/ck").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    batch = sequence.number_objects(sequence.assign_groups(frags(sequence.pes_samples(df)), hot=bounded("feed_id")), hot=bounded("feed_id"))
+    got = rows(spark.read.parquet(folder + "/out").where("NOT late"), "track_name", "group_id", "object_id", "arrival_seq")
+    assert got == rows(batch, "track_name", "group_id", "object_id", "arrival_seq") and len(got) > 30
