@@ -9,9 +9,10 @@ similarities. Documents with equal sets are one class from then on.
 Classes that share a band are compared with one member of that band, not with
 each other: the sketches sort out most pairs, the full sets decide the others.
 Bands whose members are still in different components are compared with several
-other members, and what is then left is compared in blocks, sketch against sketch, and
-only pairs across components that have not been confirmed yet go on. So no link between components is
-lost but by the hashes (at the threshold itself, rates in the README), and a large group of near copies costs its size, not its square.
+other members, and what is then left meets in blocks that carry the full sets, so that a
+task gives the links which join components and no row for a pair it has tested. No link
+between components is lost but by the hashes (at the threshold itself, rates in the
+README), and a large group of near copies costs its size, not its square, in rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from medialake.operators.ordered import stage
 BANDS, ROWS = 32, 6
 SAMPLES, BITS = 1024, 2048
 MARGIN = 0.07
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 2048, 1 << 23
 CENTRES = (1, 8)  # members of a band that the others are compared with, turn by turn
 
 _K = SAMPLES
@@ -169,33 +170,70 @@ def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
     return tight(named.join(if_small(mixed.select("key")), "key"))
 
 
-def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` across components with sketches alike enough.
+class _Groups:
+    """Links between the components of a band's members, found within tasks: a union-find over the labels that a group of members has."""
 
-    A band is cut into blocks of about ``BLOCK`` and compared block against block in
-    numpy, so one group never holds more than two blocks. Of the bands that a pair
-    shares the first one gives it.
+    def __init__(self, label: np.ndarray):
+        self.of = np.unique(label, return_inverse=True)[1].tolist()
+        self.up = list(range(max(self.of, default=-1) + 1))
+
+    def root(self, i: int) -> int:
+        k = self.of[i]
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.of))])
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(i)] = self.root(j)
+
+
+def links_within(group: pa.Table, percent: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``a, b`` of links that join all components of the group which its members' full sets link; at most one less than there are.
+
+    Sketches sort out pairs, most alike first; a pair whose components have been
+    joined is not looked at again. Of the bands that a pair shares the first one
+    (``own`` is the band of the group) looks at it.
+    """
+    node, label, n = (group[c].to_numpy() for c in ("node", "label", "n_shingles"))
+    sketch = np.stack(group["__sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+    bands, sets = np.stack(group["__bands"].to_numpy()), group["set"].to_numpy()
+    most, joined, out = most_differing(percent), _Groups(label), []
+    for at in range(0, len(node), 64):
+        s = slice(at, at + 64)
+        root = joined.roots()
+        differ = np.bitwise_count(sketch[s, None, :] ^ sketch[None, :, :]).sum(-1, dtype=np.int64)
+        small, large = np.minimum(n[s, None], n[None]), np.maximum(n[s, None], n[None])
+        x, y = np.nonzero((differ <= most) & (root[s, None] != root[None]) & (node[s, None] < node[None]) & (100 * small >= percent * large))
+        first = (bands[x + at] == bands[y]).argmax(1) == own if own is not None else np.ones(len(x), bool)
+        x, y = x[first], y[first]
+        for k in np.argsort(differ[x, y], kind="stable"):
+            i, j = int(x[k]) + at, int(y[k])
+            if joined.root(i) == joined.root(j):
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                joined.join(i, j)
+                out.append((node[i], node[j]))
+    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _blocks(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: confirmed links that join the components which members of one band belong to.
+
+    A band is cut into blocks of about ``BLOCK`` members and ``BLOCK_BYTES``, and every
+    two blocks meet in a task, which compares them and gives fewer links than they
+    have members, whatever the number of pairs.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    size = size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    held = members.join(if_small(size), "key").join(marks.select("node", "n_shingles", "__sketch", "__bands"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sized = members.join(marks.select("node", "n_shingles"), "node")
+    size = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.col("n_shingles") * 8 + BITS) / BLOCK_BYTES)).cast("int").alias("parts"))
+    held = members.join(if_small(size), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = held.join(marks.select("node", "n_shingles", "__sketch", "__bands"), "node").join(sets, "node")
     held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "band", "node", "label", "n_shingles", "__sketch", "__bands")
+    held = held.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "band", "node", "label", "n_shingles", "__sketch", "__bands", "set")
     held = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    most = most_differing(percent)
-
-    def pairs(group: pa.Table):
-        node, label, n = (group[c].to_numpy() for c in ("node", "label", "n_shingles"))
-        sketch = np.stack(group["__sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        bands, own = np.stack(group["__bands"].to_numpy()), group["band"][0].as_py()
-        for at in range(0, len(node), 64):
-            s = slice(at, at + 64)
-            differ = np.bitwise_count(sketch[s, None, :] ^ sketch[None, :, :]).sum(-1, dtype=np.int64)
-            small, large = np.minimum(n[s, None], n[None]), np.maximum(n[s, None], n[None])
-            x, y = np.nonzero((differ <= most) & (label[s, None] != label[None]) & (node[s, None] < node[None]) & (100 * small >= percent * large))
-            x = x + at
-            first = (bands[x] == bands[y]).argmax(1) == own
-            yield node[x[first]], node[y[first]]
 
     def run(batches):
         rest = None
@@ -214,8 +252,10 @@ def _blocks(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         walk.rest = t.slice(int(head[stop])) if stop < len(head) else None
         for k in range(stop):
             if ends[k] - head[k] > 1:
-                for x, y in pairs(t.slice(int(head[k]), int(ends[k] - head[k]))):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                group = t.slice(int(head[k]), int(ends[k] - head[k]))
+                a, b = links_within(group, percent, group["band"][0].as_py())
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return held.mapInArrow(run, "a long, b long").distinct()
 
@@ -245,16 +285,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     sets = stage(_sets(docs.join(nodes, "doc_id", "left_semi"), size))
     links, tested, left = None, None, members
     for centres in (*CENTRES, None):
-        pairs = _star(left, centres) if centres else _blocks(left, marks, percent)
-        pairs = pairs if tested is None else pairs.join(hinted(tested), ["a", "b"], "left_anti")
-        pairs = tight(_alike(pairs, marks, percent) if centres else pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        if pairs.isEmpty():
-            continue
-        sure = tight(_confirm(pairs, sets, percent))
+        if centres:
+            pairs = _star(left, centres)
+            pairs = pairs if tested is None else pairs.join(hinted(tested), ["a", "b"], "left_anti")
+            pairs = tight(_alike(pairs, marks, percent))
+            tested = pairs if tested is None else tested.union(pairs)
+            if pairs.isEmpty():
+                continue
+            sure = tight(_confirm(pairs, sets, percent))
+        else:
+            sure = tight(_blocks(left, marks, sets, percent))
+            if sure.isEmpty():
+                continue
         links = sure if links is None else links.union(sure)
         reached = components(links)
-        left = _open(left, reached)
+        if centres:
+            left = _open(left, reached)
     own = classes.select(*whose, "node")
     if links is not None:
         own = own.join(reached, "node", "left").select(*whose, F.coalesce("label", "node").alias("component_id"))

@@ -11,12 +11,14 @@ BROADCAST_ROWS = 400_000
 
 
 def tight(df: DataFrame) -> DataFrame:
-    """``df`` staged by at most two tasks a core, however many partitions its last shuffle has.
+    """``df`` staged by an eighth as many tasks as its last shuffle has partitions, or two a core if that is more.
 
     A task then works through several partitions one after another, which takes no
-    more memory, and a small table does not become a file for each partition.
+    more memory, and a small table does not become a file for each partition. The
+    number follows ``spark.sql.shuffle.partitions``, which follows the size of the data.
     """
-    return stage(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+    spark = df.sparkSession
+    return stage(df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
