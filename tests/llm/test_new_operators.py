@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from medialake.llm import fptree, turntrie, windows
-from medialake.llm.tokens import ByteIds
+from medialake.llm.tokens import ByteIds, Store
 from medialake.llm.turntrie import DoubleArray, dense
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,12 +42,23 @@ def test_ids_are_those_of_whole_texts(texts):
     assert ByteIds.of(BPE)(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole().encode_batch(texts, add_special_tokens=False)]
 
 
-def test_store_drops_old_entries(monkeypatch):
-    ids = ByteIds(BPE)
-    ids.store.most = 40
-    texts = [f"word{i} and word{i + 1} again" for i in range(200)]
-    assert ids(texts[:10]) + ids(texts[10:30]) + ids(texts[5:25]) == [np.array(e.ids, "<u4").tobytes() for e in whole().encode_batch([*texts[:30], *texts[5:25]], add_special_tokens=False)]
-    assert len(ids.store.old) < 200
+def test_ids_of_every_code_point_and_of_random_words():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}{c} {c}b 1{c}  {c}'s" for c in points[::7]]
+    rng = np.random.default_rng(8)
+    texts += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), n)) for n in rng.integers(1, 14, 4000)]
+    for k in range(0, len(texts), 20_000):
+        assert ByteIds.of(BPE)(texts[k : k + 20_000]) == [np.array(e.ids, "<u4").tobytes() for e in whole().encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+
+
+def test_store_drops_old_entries():
+    store = Store(40)
+    for k in range(0, 200, 10):
+        keys = {*range(k, k + 10), *range(max(0, k - 5), k)}
+        new = store.missing(keys)
+        assert set(new) <= set(range(k, k + 10)) or k == 0
+        store.young.update((x, str(x)) for x in new)
+        assert keys <= store.young.keys() and len(store.young) + len(store.old) <= 60
 
 
 # --- online packing
@@ -290,3 +301,34 @@ def test_double_array_gives_one_slot_a_prefix(found):
             assert slots.setdefault(order[i][:d], s) == s
     assert len(set(slots.values())) == len(slots) == len({s[:d] for s in order for d in range(len(s) + 1)})
     assert all(trie.check[s] == (slots[p[:-1]] if p else -1) for p, s in slots.items())
+
+
+# --- ids of the word tokenizer, whole texts at once
+
+WORDS_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@lru_cache
+def word_ids():
+    from medialake.llm.packing import TextIds
+
+    return TextIds(WORDS_BPE)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abstmdrevlL''' \t\n\x1c\x0019.,-<|>éÉßÀÿ×÷é日\xa0", max_size=30), max_size=6))
+def test_word_ids_are_those_of_whole_texts(texts):
+    import pyarrow as pa
+
+    got = [x for _, some in word_ids()(pa.array(texts, pa.string())) for x in some]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in whole(WORDS_BPE).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_ids_of_special_tokens_nulls_and_random_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = ["<|endoftext|>", "x <|startoftext|>y", "'S 'RE'Ll", "''s", "s'", None, "", "é́", "日本 'd"]
+    texts += [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzßéñüç"), n)) for n in rng.integers(1, 14, 30)) for _ in range(300)]
+    got = [x for _, some in word_ids()(pa.array(texts)) for x in some]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in whole(WORDS_BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)]
