@@ -17,6 +17,9 @@ from __future__ import annotations
 import bisect
 import re
 import string
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from medialake.llm.tables import if_small
-from medialake.llm.texts import WORD, add_columns, without
+from medialake.llm.texts import WORD, Texts, add_columns, hand_back, slices, without
+from medialake.llm.tokens import BYTE_OF, Store
 from medialake.operators.ordered import stage
 
 END = 1
@@ -32,107 +36,199 @@ ROUNDS = 600
 CLASSES = 256
 FINE = 16
 STEP = 0.3
-KNOWN = 300_000
+KNOWN = 200_000
 
 _MARKS = string.punctuation
 _WORDS = re.compile(WORD).findall
+_LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch  # letters that are their own lower case and composed form
 
 
 class WordIds:
     """Token ids of texts by the tokenizer in ``path``, as little-endian unsigned 32-bit numbers.
 
-    Each distinct word that a task meets is encoded once. That needs a tokenizer of
-    words with word ends, which joins nothing across white space, as the one this is
-    used with. Most words are letters and then, maybe, punctuation, two pre-tokens;
-    letters are encoded many at a time and cut apart at the ids that end a word, any
-    other word by itself. Both stores are emptied when they hold ``KNOWN`` entries.
+    Each distinct word that a task meets is encoded once, while the store holds it. That
+    needs a tokenizer of words with word ends, which joins nothing across white space,
+    as the one this is used with. Most words are letters and then, maybe, punctuation,
+    two pre-tokens. Letters of Latin script are merged by ``tiktoken`` over the same
+    vocabulary, many words at a time, with a zero byte for the end of a word; the ids
+    are those of ``tokenizers`` (tests compare them), which encodes all other words.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {}
+        for token, i in vocabulary.items():
+            if token not in special:
+                over = token.endswith("</w>")
+                ranks[bytes(map(BYTE_OF.__getitem__, token.removesuffix("</w>"))) + b"\0" * over] = i
+        self.ranks = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known, self.stems = Store(KNOWN), Store(KNOWN)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
         """Add words of letters alone to the stems."""
+        other = [w for w in words if not _LATIN(w)]
+        self.stems.young.update(zip(other, self._encode(other)))
+        words = [w for w in words if _LATIN(w)]
         for k in range(0, len(words), 10_000):
             part = words[k : k + 10_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) == len(part):
-                raw, at = ids.tobytes(), cut.tolist()
-                self.stems.update(zip(part, (raw[a:b] for a, b in zip([0, *at], at))))
-            else:
-                self.stems.update(zip(part, self._encode(part)))
+            ids = self.ranks.encode_to_numpy("\0".join(part) + "\0", disallowed_special=()).astype("<u4", copy=False)
+            raw, at = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            self.stems.young.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at)]))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.stems) + len(words) > KNOWN:
-            self.stems.clear()
         split, other = [], []
         for w in words:
             stem = w.rstrip(_MARKS)
             low = stem.lower()
             if low.isalpha():
-                split.append((w, low if stem.isascii() else stem, w[len(stem) :]))
+                split.append((w, low if _LATIN(low) else stem, w[len(stem) :]))
             else:
                 other.append(w)
-        parts = dict.fromkeys(s for _, s, _ in split)
-        marks = dict.fromkeys(m for _, _, m in split if m)
-        self._letters([s for s in parts if s not in self.stems])
-        new = [m for m in marks if m not in self.stems]
-        self.stems.update(zip(new, self._encode(new)))
+        new = self.stems.missing({s for _, s, _ in split} | {m for _, _, m in split if m})
+        self._letters([s for s in new if s[0] not in _MARKS])
+        marks = [m for m in new if m[0] in _MARKS]
+        stems, known = self.stems.young, self.known.young
+        stems.update(zip(marks, self._encode(marks)))
         for w, stem, mark in split:
-            self.known[w] = self.stems[stem] + self.stems[mark] if mark else self.stems[stem]
-        self.known.update(zip(other, self._encode(other)))
+            known[w] = stems[stem] + stems[mark] if mark else stems[stem]
+        known.update(zip(other, self._encode(other)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         # split() also cuts at 0x1C-0x1F, which are symbols to a tokenizer
         cut = [[] if not t else _WORDS(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        words = dict.fromkeys(w for x in cut for w in x)
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-            fresh = list(words)
-        self._learn(fresh)
-        known = self.known
-        return [b"".join([known[w] for w in x]) for x in cut]
+        self._learn(self.known.missing(set().union(*cut)))
+        known = self.known.young
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
+
+
+_KIND = np.full(256, 3, np.uint8)  # of a byte: 0 white space, 1 letter, 2 digit, 3 other sign
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+
+
+def latin(t: Texts) -> np.ndarray:
+    """Which texts are of ASCII and the letters from U+00C0 to U+00FF alone, without a zero byte and without what may begin a special token."""
+    d = t.data
+    odd = (d == 0) | (d == 0xC2) | (d >= 0xC4)
+    odd[1:] |= ((d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7))) | ((d[:-1] == 0x3C) & (d[1:] == 0x7C))
+    return t.per_text(odd) == 0
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text", end: int = END) -> DataFrame:
+def cut_words(t: Texts) -> tuple[bytes, np.ndarray]:
+    """The pre-tokens of :func:`latin` texts in lower case, each with a zero byte behind, and their number in each text.
+
+    Pre-tokens are runs of letters, single digits, runs of other signs, and an
+    apostrophe with the ending behind it where it is not in a run of signs.
+    """
+    d = t.lowered().data
+    n = len(d)
+    accented = np.zeros(n, bool)
+    accented[1:] = (d[:-1] == 0xC3) & (d[1:] <= 0x9E)
+    d = np.where(accented, d + np.uint8(32), d)
+    kind = _KIND[d]
+    first = np.zeros(n + 3, bool)
+    first[t.offsets[:-1]] = True
+    begin = first[:n].copy()
+    begin[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    quote = np.flatnonzero(d == 0x27)
+    quote = quote[first[quote] | (kind[quote - 1] != 3)]
+    behind = np.concatenate((d, np.zeros(3, np.uint8)))
+    x, y = np.where(first[quote + 1], 0, behind[quote + 1]), np.where(first[quote + 1] | first[quote + 2], 0, behind[quote + 2])
+    size = np.where(np.isin(x, np.frombuffer(b"stmd", np.uint8)), 2, np.where(((x == 0x72) | (x == 0x76)) & (y == 0x65) | (x == 0x6C) & (y == 0x6C), 3, 0))
+    quote, size = quote[size > 0], size[size > 0]
+    begin[quote + 1] = False
+    after = quote + size
+    begin[after[after < n]] = True
+    word = kind > 0
+    end = np.ones(n, bool)
+    end[:-1] = begin[1:]
+    end &= word
+    d, end = d[word], end[word]
+    times = 1 + end.astype(np.int64)
+    out = np.repeat(d, times)
+    out[(np.cumsum(times) - 1)[end]] = 0
+    return out.tobytes(), t.per_text(begin & word)
+
+
+class TextIds:
+    """Ids of the texts of string columns: :func:`latin` texts as a whole, merged by ranks, any other text word by word."""
+
+    def __init__(self, path: str):
+        self.words = WordIds(path)
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """(first row, ids of consecutive texts)."""
+        for t in slices(column):
+            plain = latin(t)
+            if plain.all():
+                yield t.first, self._plain(t)
+                continue
+            raw = t.data.tobytes()
+            bodies = [raw[a:b] for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist())]
+            out: list[bytes] = [b""] * len(bodies)
+            at = np.flatnonzero(~plain).tolist()
+            for i, ids in zip(at, self.words([bodies[i].decode() for i in at])):
+                out[i] = ids
+            at = np.flatnonzero(plain).tolist()
+            kept = [bodies[i] for i in at]
+            ends = np.concatenate(([0], np.cumsum([len(b) for b in kept]))).astype(np.int64)
+            for i, ids in zip(at, self._plain(Texts(0, np.frombuffer(b"".join(kept), np.uint8), ends))):
+                out[i] = ids
+            yield t.first, out
+
+    def _plain(self, t: Texts) -> list[bytes]:
+        body, count = cut_words(t)
+        if not body:
+            return [b""] * len(t)
+        ids = self.words.ranks.encode_to_numpy(body.decode(), disallowed_special=()).astype("<u4", copy=False)
+        over = np.concatenate(([0], np.flatnonzero(self.words.ends[ids]) + 1))  # ids up to each word's end
+        at = (over[np.concatenate(([0], np.cumsum(count)))] * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text", end: int = END, keep_ids: bool = True) -> DataFrame:
     """The token pieces of every row: its columns but the text, and ``piece, start, length, ids``.
 
-    ``ids`` holds the ids as little-endian unsigned 32-bit numbers. A text's ids end
+    ``ids`` holds the ids as little-endian unsigned 32-bit numbers, or with
+    ``keep_ids=False`` there is their ``ids_crc32`` instead. A text's ids end
     with ``end``; null and empty texts give that id alone. Longer sequences are cut
-    at multiples of ``capacity``.
+    at multiples of ``capacity``. Repeated rows are rows of their own; an empty table
+    gives an empty one; columns with the names of new ones are replaced.
     """
-    new = StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())])
+    last_field = StructField("ids", BinaryType()) if keep_ids else StructField("ids_crc32", LongType())
+    new = StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), last_field])
     base = without(docs, new.fieldNames())
     kept = [f for f in base.schema.fields if f.name != text]
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = WordIds(tokenizer)
+        ids = TextIds(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, bodies in ids(b.column(b.schema.get_field_index(text))):
+                part = b.slice(lo, len(bodies))
                 row, piece, start, size, out = [], [], [], [], []
-                for i, body in enumerate(ids(part.column(part.schema.get_field_index(text)).to_pylist())):
+                for i, body in enumerate(bodies):
                     body += last
                     for k in range(0, len(body), 4 * capacity):
                         cut = body[k : k + 4 * capacity]
-                        row.append(i), piece.append(k // (4 * capacity)), start.append(k // 4), size.append(len(cut) // 4), out.append(cut)
+                        row.append(i), piece.append(k // (4 * capacity)), start.append(k // 4), size.append(len(cut) // 4), out.append(cut if keep_ids else zlib.crc32(cut))
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(f.name)).take(take) for f in kept] + [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())],
+                    [part.column(part.schema.get_field_index(f.name)).take(take) for f in kept] + [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary() if keep_ids else pa.int64())],
                     names=[f.name for f in kept] + new.fieldNames())
+            hand_back()
 
     return base.mapInArrow(run, StructType(kept + new.fields))
 

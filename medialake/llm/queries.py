@@ -20,6 +20,7 @@ def bucket_of(n: int, key: str = "doc_id"):
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see :func:`quality.score` for nulls, empty texts, repeated rows and empty tables."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels.where(bucket_of(4) != 2), "quality")
     scored = quality.score(docs, model)
@@ -27,6 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; see :func:`langid.identify` for nulls and empty texts. Repeated rows are judged alike; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(bucket_of(5) != 0))
     found = langid.identify(docs.select("doc_id", "text"), model)
@@ -34,11 +36,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector; see :func:`neighbours.nearest` for nulls, ties, repeated rows and empty tables."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; see :func:`toxicity.score` for nulls, empty texts, repeated rows and empty tables."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.where(bucket_of(5) != 0), "toxic")
     scored = toxicity.score(docs, model)
@@ -46,10 +50,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies; see :func:`neardup.near_duplicates` for nulls, empty texts and repeated rows. An empty table gives an empty one."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; see :func:`mixing.mix` for nulls, empty texts, repeated rows and empty tables."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -71,6 +77,7 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - flo
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents; see :func:`sharding.shard`. A null text has no bytes, repeated rows get slots of their own, an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     body = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
@@ -79,6 +86,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents; see :func:`secretscan.scan` for nulls, empty texts, repeated rows and empty tables."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "guess")
     return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -87,6 +95,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules on all documents; see :func:`repetition.rules` for nulls, empty texts, repeated rows and empty tables."""
     return repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
@@ -97,9 +106,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    digest = parts.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
-    return packing.pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Places of all token pieces; see :func:`packing.pieces` and :func:`packing.pack` for nulls, empty texts, repeated rows and empty tables."""
+    parts = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep_ids=False)
+    return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

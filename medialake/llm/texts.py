@@ -7,6 +7,7 @@ maximal runs of bytes other than space and 0x09-0x0D, in any UTF-8 text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SLICE = 1 << 19
 PART = 2048
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,6 +135,13 @@ def shingles(word_hash: np.ndarray, text: np.ndarray, size: int) -> tuple[np.nda
     return x[inside], text[:n][inside]
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system: a Python worker lives on beside the next stages, and allocators keep what tasks have freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns whose names an operator is about to give (in any case)."""
     taken = {n.lower() for n in names}
@@ -160,5 +170,6 @@ def add_columns(df: DataFrame, new: StructType, start: Callable[[], Callable[[pa
             for lo in range(0, b.num_rows, PART):
                 part = b.slice(lo, PART)
                 yield pa.RecordBatch.from_arrays([*part.columns, *step(part)], names=[*part.schema.names, *new.fieldNames()])
+            hand_back()
 
     return base.mapInArrow(run, StructType(base.schema.fields + new.fields))
