@@ -24,7 +24,7 @@ from medialake.operators.ordered import stage
 PROJECTIONS = 96
 THRESHOLD = 0.85  # part of the projections in which a vector must collide
 WIDTH, WIDER = 1.3, 1.15  # half of the first window, and its growth
-VERIFY = 0.09  # part of a block that a query verifies at least, beside those it looks for
+VERIFY = 0.12  # part of a block that a query verifies at least, beside those it looks for
 USUAL = 0.9  # quantile of the lengths in a block; longer vectors are verified for every query, so that they do not squeeze the others together
 BLOCK = 4096
 
@@ -42,17 +42,18 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Sorted projections of one block."""
+    """Sorted projections of one block. Components of any finite size do: a block is scaled by its largest first."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        length = np.sqrt((self.vectors**2).sum(1))
-        longest = min(longest, float(np.quantile(length, USUAL)))
+        scaled = self.vectors / np.abs(self.vectors).max()
+        length = np.sqrt((scaled**2).sum(1))
+        longest = float(np.quantile(length, USUAL)) or float(length.max())
         self.long = np.flatnonzero(length > longest * (1 + 1e-6))
         rest = np.sqrt(np.maximum(longest**2 - length**2, 0))
         self.axes = _projections(vectors.shape[1])
-        lifted = np.hstack([self.vectors, rest[:, None]]) / longest
+        lifted = np.hstack([scaled, rest[:, None]]) / longest
         values = lifted @ self.axes
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, 0).T)
@@ -64,7 +65,8 @@ class Index:
         """(ids, scores) for each query: the best ``k`` of the vectors it verified, without its own row."""
         n, need = len(self.ids), max(1, round(THRESHOLD * PROJECTIONS))
         enough = min(n, k + 1 + int(VERIFY * n))
-        at = np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ self.axes
+        unit = queries / np.abs(queries).max(1, keepdims=True)
+        at = np.hstack([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ self.axes
         found: list = [None] * len(queries)
         kind = self.place.dtype
         open_, half = np.arange(len(queries)), WIDTH
@@ -108,7 +110,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     """
     pool = stage(usable(vectors, key, column).distinct())
     asked = stage(usable(queries, key, column).distinct())
-    size = pool.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square"))
+    size = pool.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     sizes = stage(size)
     blocks = F.ceil(F.col("n") / block).cast("int")
     left = pool.withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim")  # one row for each length of vectors
@@ -126,12 +128,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        index = Index(a["vec_id"].to_numpy(), _matrix(a["v"]), float(np.sqrt(a["square"][0].as_py())))
+        index = Index(a["vec_id"].to_numpy(), _matrix(a["v"]))
         keys = b["vec_id"].to_numpy()
         found = index.search(keys, _matrix(b["v"]), k)
         return pa.table([pa.array(np.repeat(keys, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], schema=schema)
 
-    local = left.select(*groups, "vec_id", "v", "square").groupBy(*groups).cogroup(right.select(*groups, "vec_id", "v").groupBy(*groups)).applyInArrow(search, "query_id long, vec_id long, score double")
+    local = left.select(*groups, "vec_id", "v").groupBy(*groups).cogroup(right.select(*groups, "vec_id", "v").groupBy(*groups)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

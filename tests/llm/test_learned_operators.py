@@ -237,7 +237,7 @@ def test_recall_with_unequal_lengths():
     x = rng.normal(0, 1, (4096, 64))
     x *= (rng.lognormal(0, 0.5, 4096) / np.linalg.norm(x, axis=1))[:, None]
     ids = np.arange(4096)
-    index = neighbours.Index(ids, x, float(np.sqrt((x**2).sum(1).max())))
+    index = neighbours.Index(ids, x)
     found, hit = index.search(ids[:200], x[:200], 20), 0
     for q, (near, _) in enumerate(found):
         s = neighbours.exact(x, x[q])
@@ -246,6 +246,26 @@ def test_recall_with_unequal_lengths():
     assert hit / 4000 >= 0.9
 
 
+def test_recall_on_plain_gaussian_vectors():
+    rng = np.random.default_rng(12)
+    x, ids = rng.normal(0, 1, (4096, 64)), np.arange(4096)
+    found, hit = neighbours.Index(ids, x).search(ids[:200], x[:200], 20), 0
+    for q, (near, _) in enumerate(found):
+        s = neighbours.exact(x, x[q])
+        s[q] = -np.inf
+        hit += len(set(near.tolist()) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit / 4000 >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-310])
+def test_components_of_any_finite_size(size):
+    rng = np.random.default_rng(13)
+    x, ids = rng.normal(0, 1, (50, 8)), np.arange(50)
+    assert all(len(i) == 3 for i, _ in neighbours.Index(ids, x * size).search(ids[:5], x[:5] * size, 3))
+    mixed = np.vstack([x * size, x])
+    assert all(len(i) == 3 for i, _ in neighbours.Index(np.arange(100), mixed).search(ids[:5], mixed[:5], 3))
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [0.5, 0.5])]
