@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from medialake.llm.texts import Texts, add_columns, mix, slices
+from medialake.llm.texts import Texts, add_columns, hand_back, mix, slices
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 SWITCH = 6.0
 FLOOR = -8.0
 DEPTH = 3.0  # log probability by which the n-grams of a word of a language may be rarer than that language's n-grams on average
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 UNKNOWN = "und"
 
 #: First code points of script ranges; 0 stands for letters of the Latin script and for code points without a script.
@@ -136,6 +136,7 @@ def learn(docs: DataFrame) -> Model:
                     times = np.bincount(w.kind, minlength=len(w.script))
                     table[:BUCKETS] += np.bincount(w.grams, times[w.gram_of], BUCKETS).astype(np.int64)
                     table[BUCKETS:] += np.bincount(w.script, times, N_SCRIPTS).astype(np.int64)
+            hand_back()
         for lang, table in tables.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["lang", "bucket", "n"])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from medialake.llm.tables import components, hinted, if_small, tight
-from medialake.llm.texts import Texts, add_columns, mix, shingles, slices
+from medialake.llm.texts import Texts, add_columns, hand_back, mix, shingles, slices
 from medialake.operators.ordered import stage
 
 BANDS, ROWS = 32, 6
@@ -243,6 +243,8 @@ def _blocks(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
             rest = walk.rest
         if rest is not None:
             yield from walk(rest, True)
+        rest = walk.rest = None
+        hand_back()
 
     def walk(t: pa.Table, last: bool):
         columns = [t[c].to_numpy() for c in ("key", "i", "j")]

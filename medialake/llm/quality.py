@@ -197,7 +197,7 @@ def _featured(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row with ``score``, the probability of label 1. Null and empty texts are scored as texts without words. A column ``score`` is replaced."""
+    """Every row with ``score``, the probability of label 1. Null and empty texts are scored as texts without words. Repeated rows are scored alike; an empty table gives an empty one. A column ``score`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

@@ -92,8 +92,8 @@ def rules(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: f
 
     Null and empty texts have no words: counts and shares are 0, ``base_failed`` is
     true. Words are compared as they are written. A line is a run of characters
-    between line feeds and counts if it has a word. Input columns with these names
-    are replaced.
+    between line feeds and counts if it has a word. Repeated rows are judged alike; an
+    empty table gives an empty one. Input columns with these names are replaced.
     """
     limits = dict(limits or LIMITS)
     grams = tuple(limits)

@@ -157,8 +157,9 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS, text: str = "text") -> Dat
     """Every row with ``spans``: array of (kind, start, end, bits) over the whole text, in code points, end exclusive.
 
     Kinds: ``assign``, ``access`` and ``hex`` by pattern, ``guess`` by the cost of a
-    value in a credential context. Null and empty texts have no spans. A column
-    ``spans`` of the input is replaced.
+    value in a credential context. Null and empty texts have no spans, repeated rows
+    have equal ones, an empty table gives an empty one. A column ``spans`` of the input
+    is replaced.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
 
@@ -173,7 +174,7 @@ def scan(docs: DataFrame, min_bits: float = MIN_BITS, text: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", min_bits: float = MIN_BITS, text: str = "text") -> DataFrame:
-    """The rows with every found span replaced by ``mark``, overlapping spans by one; null texts stay null."""
+    """The rows with every found span replaced by ``mark``, overlapping spans by one; null texts stay null, repeated rows stay equal, an empty table gives an empty one."""
     others = [c for c in docs.columns if c != text]
 
     def start():

@@ -396,7 +396,7 @@ def _top(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row with ``score``, the probability of label 1, over the whole text. Null and empty texts have no sentence near a landmark and get the score of that. A column ``score`` is replaced."""
+    """Every row with ``score``, the probability of label 1, over the whole text. Null and empty texts have no sentence near a landmark and get the score of that. Repeated rows are scored alike; an empty table gives an empty one. A column ``score`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
