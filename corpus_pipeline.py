@@ -19,7 +19,11 @@ SURE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without one, or with less than ``SURE`` of their words credibly in any learned languages, go. ``lang`` is filled where it is null."""
+    """Documents in a learned language; those without one, or with less than ``SURE`` of their words credibly in any learned languages, go. ``lang`` is filled where it is null.
+
+    Null and empty texts and texts without a letter go; repeated rows are judged alike;
+    an empty table gives an empty one; columns with clashing names are kept.
+    """
     model = langid.learn(docs)
 
     def step(rows: DataFrame) -> DataFrame:
@@ -30,22 +34,25 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8."""
+    """One document of each group that five-word shingles link at a similarity of 0.8.
+
+    Documents without words, and rows without an id, stay; rows that repeat an id that goes go too.
+    """
     return neardup.drop_duplicates(docs, size=5, percent=80).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced; ``n_chars`` counts the new text."""
+    """Every document, its secrets replaced; ``n_chars`` counts the new text. Null texts stay null, with null ``n_chars``."""
     return secretscan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate takes it."""
+    """Each document as often as its source's rate takes it. A null source is a source of its own; texts without words are taken by their source's rate too; repeated rows share a draw."""
     return keeping(docs, mixing.OUT, lambda rows: mixing.emit(mixing.mix(rows)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place, for every copy that the mix took."""
+    """Token pieces with their sequence and place, for every copy that the mix took. Null and empty texts are one piece of the end token; an empty table gives an empty one."""
     parts = packing.pieces(docs.select("doc_id", "text", "lang", "source"), tokenizer_path())
     return packing.pack(parts).select("doc_id", "lang", "source", "piece", "start", "length", "ids", "sequence_id", "offset")
 
