@@ -13,18 +13,21 @@ from medialake.streaming.bytestreams import Boxes, PesSamples
 _LATE = ", late boolean"
 
 
-def _state(df: DataFrame, keys: list[str], processor, schema: str, time_mode: str = "None") -> DataFrame:
+def _state(df: DataFrame, keys: list[str], processor, schema: str, time_mode: str = "None", idle_ms: int | None = None) -> DataFrame:
+    """``processor`` on the keys of ``df``; with ``idle_ms`` the state of a key ends when it has been idle for so long."""
+    if idle_ms is not None:
+        processor.ttl_ms, time_mode = idle_ms, "ProcessingTime"
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
 
 
-def stream_boxes(chunks: DataFrame) -> DataFrame:
+def stream_boxes(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Chunks to ``init``, ``fragment``, ``dropped`` and ``error`` rows per path."""
     return _state(chunks, ["path"], Boxes(),
-                  "path string, chunk_seq bigint, kind string, track_id bigint, init_bytes binary, fragment binary, error string" + _LATE)
+                  "path string, chunk_seq bigint, kind string, track_id bigint, init_bytes binary, fragment binary, error string" + _LATE, idle_ms=idle_ms)
 
 
-def stream_fragments(chunks: DataFrame, payload: bool = False) -> DataFrame:
+def stream_fragments(chunks: DataFrame, payload: bool = False, idle_ms: int | None = None) -> DataFrame:
     """Live fragments of every path: a row a track fragment, in order of ``arrival_seq``, with times in microseconds.
 
     ``is_sync`` says that a video fragment begins with a sync sample. Chunks that
@@ -33,70 +36,73 @@ def stream_fragments(chunks: DataFrame, payload: bool = False) -> DataFrame:
     """
     rows = _state(chunks, ["path"], Boxes(timed=True, keep_bytes=payload),
                   "path string, chunk_seq bigint, kind string, track_id bigint, init_bytes binary, fragment binary, error string, arrival_seq bigint, track_name string, handler_type string, "
-                  "timescale bigint, base_ticks bigint, duration_ticks bigint, earliest_ticks bigint, first_flags bigint, payload_bytes bigint" + _LATE)
+                  "timescale bigint, base_ticks bigint, duration_ticks bigint, earliest_ticks bigint, first_flags bigint, payload_bytes bigint" + _LATE, idle_ms=idle_ms)
     sap = sap_type("handler_type", "first_flags")
+    timed = {"start_us": ticks_to_micros("base_ticks", "timescale"), "duration_us": ticks_to_micros("duration_ticks", "timescale"),
+             "earliest_presentation_time_us": ticks_to_micros("earliest_ticks", "timescale"), "sap_type": sap, "is_sync": (F.col("handler_type") == "vide") & (sap == 2)}
     late = F.when(F.col("late"), "late chunk")
     return rows.where("kind IN ('fragment', 'dropped', 'error') OR late").select(
-        "path", "chunk_seq", "arrival_seq", "track_id", "track_name", "handler_type", ticks_to_micros("base_ticks", "timescale").alias("start_us"),
-        ticks_to_micros("duration_ticks", "timescale").alias("duration_us"), ticks_to_micros("earliest_ticks", "timescale").alias("earliest_presentation_time_us"), sap.alias("sap_type"),
-        ((F.col("handler_type") == "vide") & (sap == 2)).alias("is_sync"), "payload_bytes", *([F.col("fragment").alias("payload")] if payload else []), F.coalesce("error", late).alias("error"))
+        "path", "chunk_seq", "arrival_seq", "track_id", "track_name", "handler_type", *[F.when(F.col("arrival_seq").isNotNull(), c).alias(n) for n, c in timed.items()],
+        "payload_bytes", *([F.col("fragment").alias("payload")] if payload else []), F.coalesce("error", late).alias("error"))
 
 
-def stream_live_groups(chunks: DataFrame) -> DataFrame:
+def stream_live_groups(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Bytes to numbered objects in one query: chunks, fragments, key-frame groups per path."""
-    return stream_groups(stream_fragments(chunks).where("error IS NULL"), "path")
+    return stream_groups(stream_fragments(chunks, idle_ms=idle_ms).where("error IS NULL"), "path", idle_ms)
 
 
-def stream_pes(packets: DataFrame) -> DataFrame:
-    return _state(packets, ["feed_id", "pid"], PesSamples(), "feed_id bigint, pid int, packet_index bigint, pts90k bigint, payload binary" + _LATE)
+def stream_pes(packets: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    return _state(packets, ["feed_id", "pid"], PesSamples(), "feed_id bigint, pid int, packet_index bigint, pts90k bigint, payload binary" + _LATE, idle_ms=idle_ms)
 
 
-def stream_groups(frags: DataFrame, feed: str = "feed_id") -> DataFrame:
+def stream_groups(frags: DataFrame, feed: str = "feed_id", idle_ms: int | None = None) -> DataFrame:
     d = frags.select(F.col(feed).alias("feed_id"), "arrival_seq", "track_name", "handler_type", "is_sync")
-    out = _state(d, ["feed_id"], P.LiveGroups(), f"feed_id {d.schema['feed_id'].dataType.simpleString()}, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE)
+    out = _state(d, ["feed_id"], P.LiveGroups(), f"feed_id {d.schema['feed_id'].dataType.simpleString()}, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE, idle_ms=idle_ms)
     return out.withColumnRenamed("feed_id", feed)
 
 
-def stream_shared_groups(frags: DataFrame, has_video: bool = True) -> DataFrame:
+def stream_shared_groups(frags: DataFrame, has_video: bool = True, idle_ms: int | None = None) -> DataFrame:
     """Shared groups per session. Whether a session has video is known from its announced tracks."""
     d = frags if "has_video" in frags.columns else frags.withColumn("has_video", F.lit(has_video))
     d = d.select("session_id", "arrival_seq", "track_name", "handler_type", "is_sync", "start_us", "has_video")
     return _state(d, ["session_id"], P.SharedGroups(),
-                  "session_id bigint, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE)
+                  "session_id bigint, arrival_seq bigint, track_name string, group_id bigint, object_id bigint" + _LATE, idle_ms=idle_ms)
 
 
-def stream_retain_groups(frags: DataFrame, n: int = 2) -> DataFrame:
+def stream_retain_groups(frags: DataFrame, n: int = 2, idle_ms: int | None = None) -> DataFrame:
     """Evicted rows as the latest groups advance; what is not evicted is what is kept."""
     d = frags.select("feed_id", "arrival_seq", "group_id")
-    return _state(d, ["feed_id"], P.LatestGroups(n), "feed_id bigint, arrival_seq bigint, group_id bigint" + _LATE)
+    return _state(d, ["feed_id"], P.LatestGroups(n), "feed_id bigint, arrival_seq bigint, group_id bigint" + _LATE, idle_ms=idle_ms)
 
 
-def stream_retain_newest(objects: DataFrame, n: int = 128) -> DataFrame:
-    return _state(objects.select("session_id", "arrival_seq"), ["session_id"], P.NewestRows(n), "session_id bigint, arrival_seq bigint" + _LATE)
+def stream_retain_newest(objects: DataFrame, n: int = 128, idle_ms: int | None = None) -> DataFrame:
+    return _state(objects.select("session_id", "arrival_seq"), ["session_id"], P.NewestRows(n), "session_id bigint, arrival_seq bigint" + _LATE, idle_ms=idle_ms)
 
 
-def stream_clock(es: DataFrame) -> DataFrame:
+def stream_clock(es: DataFrame, idle_ms: int | None = None) -> DataFrame:
     d = es.select("feed_id", "track_name", "arrival_seq", "is_video", "timescale", "pts_us")
     return _state(d, ["feed_id", "track_name"], P.SampleClock(),
-                  "feed_id bigint, track_name string, arrival_seq bigint, duration_us bigint, sample_ticks bigint, decode_time bigint" + _LATE)
+                  "feed_id bigint, track_name string, arrival_seq bigint, duration_us bigint, sample_ticks bigint, decode_time bigint" + _LATE, idle_ms=idle_ms)
 
 
-def stream_subscriptions(events: DataFrame) -> DataFrame:
+def stream_subscriptions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Subscribe rows (``is_subscribe``) and updates of requests to accept/reject rows with the state after each."""
     return _state(events, ["request_id"], P.Subscriptions(),
                   "request_id bigint, update_seq bigint, accepted boolean, start_group bigint, start_object bigint, end_group bigint, "
-                  "filter_type bigint, priority bigint, forward bigint" + _LATE)
+                  "filter_type bigint, priority bigint, forward bigint" + _LATE, idle_ms=idle_ms)
 
 
 def stream_demand(objects: DataFrame, intervals: DataFrame, keys: list[str] | None = None, bucket_us: int = 3600_000_000) -> DataFrame:
     """Stream-static form of the demand gate: objects of tracks subscribed at their time, each once.
 
-    The intervals are merged, so at most one per track is open and no object lies
-    in two. Closed ones meet the stream on (track, time bucket).
+    The intervals are merged, so at most one per track is open and no object lies in
+    two. Closed ones meet the stream on (track, time bucket), with buckets of about
+    their own length: doubled ``bucket_us``, so an interval lies in three at most.
     """
     keys = keys or ["track_name"]
     merged = merge_ranges(intervals.select(*keys, F.col("subscribe_us").alias("start_ms"), F.col("unsubscribe_us").alias("end_ms")), keys, span=bucket_us)
-    closed = merged.where("end_ms > start_ms").withColumn("__bucket", F.explode(F.sequence(idiv("start_ms", bucket_us), idiv("end_ms", bucket_us))))
+    length = F.greatest(idiv(F.col("end_ms") - F.col("start_ms"), bucket_us), F.lit(1).cast("bigint"))
+    closed = merged.where("end_ms > start_ms").withColumn("__level", F.length(F.bin(length)) - 1)
     still_open = merged.where("end_ms IS NULL")
     at = F.col("media_time_us")
 
@@ -105,9 +111,13 @@ def stream_demand(objects: DataFrame, intervals: DataFrame, keys: list[str] | No
         same = [F.col(k) == F.col(f"__r{k}") for k in on]
         return left.join(r, [*same, inside], "left_semi")
 
-    placed = objects.withColumn("__bucket", idiv(at, bucket_us))
-    in_closed = gate(placed, closed, [*keys, "__bucket"], (at >= F.col("__lo")) & (at < F.col("__hi"))).drop("__bucket")
-    return in_closed.unionByName(gate(objects, still_open, keys, at >= F.col("__lo")))
+    out = gate(objects, still_open, keys, at >= F.col("__lo"))
+    for r in sorted(x["__level"] for x in closed.select("__level").distinct().collect()):  # at most one for each power of two
+        width = bucket_us << r
+        own = closed.where(F.col("__level") == r).withColumn("__bucket", F.explode(F.sequence(idiv("start_ms", width), idiv("end_ms", width))))
+        placed = objects.withColumn("__bucket", idiv(at, width))
+        out = out.unionByName(gate(placed, own, [*keys, "__bucket"], (at >= F.col("__lo")) & (at < F.col("__hi"))).drop("__bucket"))
+    return out
 
 
 def stream_republish(log: DataFrame, interval_ms: int) -> DataFrame:
@@ -115,11 +125,11 @@ def stream_republish(log: DataFrame, interval_ms: int) -> DataFrame:
                   "broadcast_id bigint, version_seq bigint, published_ms bigint, again boolean", "ProcessingTime")
 
 
-def stream_retained_catalog(objects: DataFrame) -> DataFrame:
+def stream_retained_catalog(objects: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Latest catalog object of each broadcast, once per micro-batch that changes it."""
     d = objects.select("broadcast_id", "arrival_seq", "group_id", "object_id", "payload")
     return _state(d, ["broadcast_id"], P.LastCatalog(),
-                  "broadcast_id bigint, arrival_seq bigint, group_id bigint, object_id bigint, payload string" + _LATE)
+                  "broadcast_id bigint, arrival_seq bigint, group_id bigint, object_id bigint, payload string" + _LATE, idle_ms=idle_ms)
 
 
 def stream_stats(objects: DataFrame, window: str, slide: str | None = None, delay: str = "10 minutes", at: str = "media_time_us",
@@ -132,16 +142,16 @@ def stream_stats(objects: DataFrame, window: str, slide: str | None = None, dela
     return agg.select(*(by or ["broadcast_id"]), F.unix_micros(F.col("w.start")).alias("window_start_us"), "bytes", "objects")
 
 
-def stream_live_stats(objects: DataFrame) -> DataFrame:
+def stream_live_stats(objects: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Running bytes, objects and group changes per track, one row per track and micro-batch."""
     d = objects.select("broadcast_id", "track_name", "plan_index", "group_id", "payload_bytes")
     return _state(d, ["broadcast_id", "track_name"], P.Transitions(),
-                  "broadcast_id bigint, track_name string, bytes bigint, objects bigint, groups bigint" + _LATE)
+                  "broadcast_id bigint, track_name string, bytes bigint, objects bigint, groups bigint" + _LATE, idle_ms=idle_ms)
 
 
-def stream_liveness(events: DataFrame, gap_ms: int) -> DataFrame:
+def stream_liveness(events: DataFrame, gap_ms: int, forget_ms: int | None = None) -> DataFrame:
     """``events``: (feed_id, is_close). Emits a row when a feed turns live, gap or finished."""
-    return _state(events.select("feed_id", "is_close"), ["feed_id"], P.Liveness(gap_ms),
+    return _state(events.select("feed_id", "is_close"), ["feed_id"], P.Liveness(gap_ms, forget_ms),
                   "feed_id bigint, at_ms bigint, state string", "ProcessingTime")
 
 
