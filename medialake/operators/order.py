@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import HotKeys, by_heat, find_hot, prev_row, run_max, run_sum, running, with_key_totals
+from medialake.operators.ordered import HotKeys, find_hot, run_count, run_max, running, with_key_totals
 from medialake.operators.relate import match_subscriptions
 
 VIDEO_STREAM_TYPES = (0x1B, 0x24, 0x02)
@@ -22,25 +22,23 @@ def send_order(matched: DataFrame, broadcast: str = "broadcast_id", request: str
 
     A queue keeps plan order, so a row's place is the running maximum of
     (time, plan index) within its subscription and cycle. Subscriptions at the
-    same head share a ``send_seq``.
+    same head share a ``send_seq``: ranks cost the distinct places of a broadcast,
+    whether it has one subscriber or a million.
     """
     d = matched if cycle else matched.withColumn("__cycle", F.lit(0).cast("bigint"))
     cyc = cycle or "__cycle"
     place = [cyc, "__t", "__p", seq]
-    order = [*place, request]
     chunk = F.struct(F.col(cyc).alias("c"), idiv("__t", TIME_SPAN_US).alias("b"))
-    # A rank over distinct places: the running count of each place's first row.
-    new = F.when(F.col("__prev").eqNullSafe(F.struct(*place)), 0).otherwise(1).cast("bigint")
-
-    def merge(part: DataFrame, heat: HotKeys) -> DataFrame:
-        head = run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))
-        p = running(part, [broadcast, request, cyc], [seq], [head], hot=heat, **kw)
-        p = p.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
-        p = running(p, [broadcast], order, [prev_row("__prev", F.struct(*place))], chunk=chunk, hot=heat)
-        return running(p, [broadcast], order, [run_sum("send_seq", new)], chunk=chunk, hot=heat)
-
-    d = by_heat(d, hot or find_hot(matched, [broadcast]), merge)
-    return d.withColumns({"head_time_us": F.col("__t"), "head_index": F.col("__p")}).drop("__t", "__p", "__prev", "__cycle")
+    head = run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))
+    d = running(d, [broadcast, request, cyc], [seq], [head], hot=hot or find_hot(matched, [broadcast]), **kw)
+    d = d.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
+    # a place is one object at one head, however many subscriptions stand at it; ranks are given to places
+    places = d.select(broadcast, *place).distinct()
+    ranked = running(places, [broadcast], place, [run_count("send_seq")], chunk=chunk, hot=hot)
+    ranked = ranked.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate([broadcast, *place])], "send_seq")
+    same = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate([broadcast, *place])]
+    d = d.join(ranked, same)
+    return d.withColumns({"head_time_us": F.col("__t"), "head_index": F.col("__p")}).drop("__t", "__p", "__cycle", *[f"__r{i}" for i in range(5)])
 
 
 def next_object(subs: DataFrame, objects: DataFrame, position: str = "position", on: list[str] | None = None) -> DataFrame:

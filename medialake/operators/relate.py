@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import namespace_equals
 from medialake.functions.timing import idiv, location_matches
-from medialake.operators.ordered import run_last, running
+from medialake.operators.ordered import HotKeys, run_last, run_sum, running, stage
 
 GROUP_BUCKET = 64
 TIME_BUCKET_MS = 3600_000
@@ -49,13 +51,13 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: list[str], lo:
     held = placed.select(*keys, "__bucket", F.lit(1).alias("__held")).where(F.col("__bucket").isNotNull()).distinct()
     ends = bounded_lo.select(*keys, F.explode(F.array("__before", "__until")).alias("__bucket"), F.lit(0).alias("__held")).where(F.col("__bucket").isNotNull()).distinct()
     marks = held.unionByName(ends).groupBy(*keys, "__bucket").agg(F.max("__held").alias("__held"))
-    upto = marks.withColumn("__n", F.sum("__held").over(Window.partitionBy(*keys).orderBy("__bucket")))
+    upto = marks.withColumns({"__n": F.sum("__held").over(Window.partitionBy(*keys).orderBy("__bucket")), "__all": F.sum("__held").over(Window.partitionBy(*keys))})
+    upto = stage(upto)  # one row a bucket, read three times; what the points come from is computed once for it
     numbered = upto.where("__held = 1").select(*keys, "__n", "__bucket")
     spread = (
         bounded_lo
-        .join(upto.select(*keys, F.col("__bucket").alias("__before"), F.col("__n").alias("__first")), [*keys, "__before"])
+        .join(upto.select(*keys, F.col("__bucket").alias("__before"), F.col("__n").alias("__first"), "__all"), [*keys, "__before"])
         .join(upto.select(*keys, F.col("__bucket").alias("__until"), F.col("__n").alias("__last")), [*keys, "__until"], "left")
-        .join(upto.groupBy(*keys).agg(F.max("__n").alias("__all")), keys)
         .withColumn("__last", F.when(F.col(hi).isNull(), F.col("__all")).otherwise(F.col("__last")))
         .where("__first < __last")
         .withColumn("__n", F.explode(F.sequence(F.col("__first") + 1, F.col("__last"))))
@@ -77,15 +79,50 @@ def match_subscriptions(subs: DataFrame, objects: DataFrame, on: list[str] | Non
     return pairs.where(location_matches("filter_type", "start_group", "start_object", "end_group", "group_id", "object_id"))
 
 
-def unmatched_subscriptions(subs: DataFrame, objects: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Subscriptions without any matching object, which complete at once.
+def location_totals(subs: DataFrame, points: DataFrame, names: list[str], on: list[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
+    """``request_id`` and the sums of the columns ``names`` over the points that each subscription's filter passes.
 
-    A filter matches something iff the largest location of its track (up to its
-    end group) is at or after its start, so one row per (track, group) is enough.
+    A filter passes what lies between two locations of its track, so its sum is the
+    difference of two running sums: points and the ends of all filters are put in one
+    order, and no (subscription, point) row is made. Subscriptions that pass nothing
+    have sums of 0 or no row.
+    """
+    on = on or ["track_name"]
+    ft, low, high = F.col("filter_type"), F.lit(-(1 << 63)).cast("bigint"), F.lit((1 << 63) - 1)
+    located, closed = F.coalesce(ft.isin(3, 4), F.lit(False)), F.coalesce(ft == 4, F.lit(False))
+    known = F.coalesce(~located | (F.col("start_group").isNotNull() & (~closed | (F.col("start_group") <= F.col("end_group")))), F.lit(False))
+    named = [F.col(k).isNotNull() for k in on]
+    start = F.struct(F.col("start_group").cast("bigint").alias("__g"), F.coalesce(F.col("start_object").cast("bigint"), high).alias("__o"),
+                     F.when(F.col("start_object").isNull(), 2).otherwise(0).alias("__side"), F.lit(-1).alias("__sign"))
+    until = F.struct(F.when(closed, F.col("end_group").cast("bigint")).otherwise(high).alias("__g"), high.alias("__o"), F.lit(2).alias("__side"), F.lit(1).alias("__sign"))
+    ends = subs.where(reduce(lambda x, y: x & y, named, known)).select(*on, "request_id", F.inline(F.array_compact(F.array(until, F.when(located, start)))))
+    where = [F.coalesce(F.col(c).cast("bigint"), low).alias(a) for c, a in (("group_id", "__g"), ("object_id", "__o"))]
+    sums = points.where(reduce(lambda x, y: x & y, named)).groupBy(*on, *where).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+    both = sums.withColumn("__side", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    zero = F.lit(0).cast("bigint")
+    d = running(both, on, ["__g", "__o", "__side"], [run_sum(f"__upto_{n}", F.coalesce(F.col(n), zero)) for n in names], hot=hot)
+    return d.where("__side <> 1").groupBy("request_id").agg(*[F.sum(F.col("__sign") * F.col(f"__upto_{n}")).alias(n) for n in names])
+
+
+def served_totals(subs: DataFrame, objects: DataFrame, on: list[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
+    """``request_id, objects, streams``: what each subscription is served, counted without pairs.
+
+    A (group, subgroup) is served iff its last object is.
     """
     on = on or ["track_name"]
-    heads = objects.groupBy(*on, "group_id").agg(F.max("object_id").alias("object_id"))
-    hit = match_subscriptions(subs, heads, on).select("request_id").distinct()
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    heads = objects.groupBy(*on, "group_id", "subgroup_id").agg(F.max("object_id").alias("object_id"), F.count(F.lit(1)).alias("__n"))
+    points = objects.select(*on, "group_id", "object_id", one.alias("objects"), zero.alias("streams")).unionByName(
+        heads.select(*on, "group_id", "object_id", zero.alias("objects"), one.alias("streams")))
+    return location_totals(subs, points, ["objects", "streams"], on, hot)
+
+
+def unmatched_subscriptions(subs: DataFrame, objects: DataFrame, on: list[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
+    """Subscriptions without any matching object, which complete at once."""
+    on = on or ["track_name"]
+    # the last object of a group decides whether a filter passes any of it
+    heads = objects.groupBy(*on, "group_id").agg(F.max("object_id").alias("object_id")).withColumn("__n", F.lit(1).cast("bigint"))
+    hit = location_totals(subs, heads, ["__n"], on, hot).where("__n > 0").select("request_id")
     return subs.join(hit, ["request_id"], "left_anti")
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators.fold import fold_sorted
-from medialake.operators.ordered import run_sum, running
-from medialake.operators.relate import match_subscriptions
-from medialake.operators.rollup import streams_per_subscription
+from medialake.operators.ordered import HotKeys, find_hot, run_sum, running, split_hot
+from medialake.operators.relate import served_totals
 
 SUBSCRIPTION = ("start_group", "start_object", "end_group", "filter_type", "priority", "forward")
+LISTED_UPDATES = 1000
+_UPDATE = ("start_group", "start_object", "priority", "forward", "end_group_plus_one")
 UPDATE_SCHEMA = (
     "request_id bigint, update_seq bigint, accepted boolean, start_group bigint, start_object bigint, "
     "end_group bigint, filter_type bigint, priority bigint, forward bigint"
@@ -34,16 +35,51 @@ def apply_update(state: dict, update: dict) -> tuple[dict, bool]:
     return new, True
 
 
-def update_outcomes(subs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Each update with accept/reject and the subscription after it."""
-    base = subs.select("request_id", F.lit(-1).cast("bigint").alias("update_seq"),
-                       *[F.col(c).cast("bigint").alias(c) for c in SUBSCRIPTION], F.lit(0).cast("bigint").alias("end_group_plus_one"))
+def update_outcomes(subs: DataFrame, updates: DataFrame, limit: int = LISTED_UPDATES) -> DataFrame:
+    """Each update with accept/reject and the subscription after it; updates of unknown requests are rejected.
+
+    The updates of a request are folded as a sorted list in Catalyst; a request with
+    more than ``limit`` of them is streamed row by row.
+    """
+    base = subs.select("request_id", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in SUBSCRIPTION])
     ups = updates.select("request_id", F.col("update_seq").cast("bigint").alias("update_seq"),
-                         *[F.col(c).cast("bigint").alias(c) for c in ("start_group", "start_object", "priority", "forward", "end_group_plus_one")])
-    rows = base.unionByName(ups, allowMissingColumns=True).na.fill(0)
+                         *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in _UPDATE])
+    few, many = split_hot(ups, find_hot(ups, ["request_id"], limit))
+    if many is None:
+        return _fold_lists(base, few)
+    return _fold_lists(base, few).unionByName(_fold_rows(base.join(many.select("request_id").distinct(), "request_id", "left_semi"), many))
+
+
+def _fold_lists(base: DataFrame, ups: DataFrame) -> DataFrame:
+    state = ", ".join(f"{c}: bigint" for c in SUBSCRIPTION)
+    outcome = f"struct<update_seq: bigint, accepted: boolean, {state}>"
+    # a list holds at most the limit of updates
+    listed = ups.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("update_seq", *_UPDATE))).alias("__u"))
+    d = listed.join(base.withColumn("__known", F.lit(True)), "request_id", "left")
+
+    def step(s: Column, u: Column) -> Column:
+        closed, end = s["filter_type"] == 4, u["end_group_plus_one"]
+        back = (u["start_group"] < s["start_group"]) | ((u["start_group"] == s["start_group"]) & (u["start_object"] < s["start_object"]))
+        ok = ~(back | (closed & ((end == 0) | (end - 1 > s["end_group"]))))
+        new = {
+            "start_group": u["start_group"], "start_object": u["start_object"], "priority": u["priority"], "forward": u["forward"],
+            "end_group": F.when(end != 0, end - 1).when(closed, s["end_group"]).otherwise(F.lit(0).cast("bigint")),
+            "filter_type": F.when(end != 0, F.lit(4).cast("bigint")).otherwise(s["filter_type"]),
+        }
+        after = [F.when(ok, new[c]).otherwise(s[c]).alias(c) for c in SUBSCRIPTION]
+        return F.struct(*after, F.concat(s["done"], F.array(F.struct(u["update_seq"].alias("update_seq"), ok.alias("accepted"), *after))).alias("done"))
+
+    start = F.struct(*[F.col(c) for c in SUBSCRIPTION], F.expr(f"cast(array() as array<{outcome}>)").alias("done")).cast(f"struct<{state}, done: array<{outcome}>>")
+    unknown = F.transform("__u", lambda u: F.struct(u["update_seq"].alias("update_seq"), F.lit(False).alias("accepted"), *[F.lit(None).cast("bigint").alias(c) for c in SUBSCRIPTION]))
+    done = F.when(F.col("__known"), F.aggregate("__u", start, step, lambda s: s["done"])).otherwise(unknown)
+    return d.select("request_id", F.inline(done))
+
+
+def _fold_rows(base: DataFrame, ups: DataFrame) -> DataFrame:
+    rows = base.withColumns({"update_seq": F.lit(-(1 << 62)), "end_group_plus_one": F.lit(0).cast("bigint")}).unionByName(ups, allowMissingColumns=True).na.fill(0)
 
     def step(state, row):
-        if row["update_seq"] < 0:
+        if row["update_seq"] == -(1 << 62):
             return {c: int(row[c]) for c in SUBSCRIPTION}, None
         if state is None:
             return None, (row["request_id"], row["update_seq"], False, *[None] * len(SUBSCRIPTION))
@@ -95,9 +131,7 @@ def activate_dormant(tracks: DataFrame, updates: DataFrame) -> DataFrame:
     })
 
 
-def completion(subs: DataFrame, objects: DataFrame, on: list[str] | None = None) -> DataFrame:
+def completion(subs: DataFrame, objects: DataFrame, on: list[str] | None = None, hot: HotKeys | None = None) -> DataFrame:
     """Matched objects and streams of each subscription; those without a match are done at once with 0."""
-    served = match_subscriptions(subs.select("request_id", *(on or ["track_name"]), "filter_type", "start_group", "start_object", "end_group"),
-                                 objects.select(*(on or ["track_name"]), "group_id", "object_id", "subgroup_id"), on)
-    done = streams_per_subscription(served)
+    done = served_totals(subs, objects, on, hot)
     return subs.select("request_id", "track_name").join(done, ["request_id"], "left").na.fill(0, ["streams", "objects"])

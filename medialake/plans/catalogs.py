@@ -109,6 +109,25 @@ def _(v):
     return catalog.version_changes(v.snapshots, hot=v.hot_nations)
 
 
+@query("L4_force_independent", f"""
+WITH log AS ({_LOG_SQL.strip()}),
+asked AS (SELECT *, row_number() OVER (PARTITION BY broadcast_id ORDER BY request_seq) AS n FROM (SELECT DISTINCT broadcast_id, version_seq + 1 AS request_seq FROM snapshots_v WHERE version_seq % 7 IN (0, 3)))
+SELECT a.broadcast_id, a.request_seq, l.version_seq, 'independent' AS kind, CAST(l.group_id + n AS BIGINT) AS group_id, CAST(0 AS BIGINT) AS object_id
+FROM asked a ASOF JOIN log l ON a.broadcast_id = l.broadcast_id AND a.request_seq >= l.version_seq""")
+def _(v):
+    asked = v.snapshots.where("version_seq % 7 IN (0, 3)").select("broadcast_id", (F.col("version_seq") + 1).alias("request_seq")).distinct()
+    return catalog.force_independent(catalog.catalog_log(v.snapshots, hot=v.hot_nations), asked)[0]
+
+
+@query("L5_changes_after_end", """
+WITH ver AS (SELECT DISTINCT broadcast_id, version_seq FROM snapshots_v)
+SELECT broadcast_id, version_seq, 'change after end of broadcast' AS violation FROM ver
+WHERE version_seq > (SELECT min(version_seq) FROM ver e WHERE e.broadcast_id = ver.broadcast_id AND e.version_seq >= 30 + e.broadcast_id % 5)""")
+def _(v):
+    versions = v.snapshots.select("broadcast_id", "version_seq").distinct().withColumn("ended", F.col("version_seq") >= 30 + F.col("broadcast_id") % 5)
+    return catalog.changes_after_end(versions)
+
+
 @query("L3_convert_to_vod", """
 SELECT broadcast_id, name, false AS is_live, coalesce(duration_ms, track_duration_ms) AS track_duration_ms FROM cat_before
 LEFT JOIN (SELECT c_name AS name, 1000 + CAST(floor(c_acctbal) AS BIGINT) AS duration_ms FROM customer WHERE c_acctbal > 5000) USING (name)""")

@@ -140,7 +140,7 @@ def _(v):
 SELECT s.request_id, count(DISTINCT (o.group_id, o.subgroup_id)) AS streams, count(*) AS objects FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name WHERE {_MATCH} GROUP BY 1""")
 def _(v):
     o = v.objects.select("track_name", "group_id", "object_id", "subgroup_id")
-    return rollup.streams_per_subscription(relate.match_subscriptions(_subs(v), o))
+    return relate.served_totals(_subs(v), o, hot=v.hot_tracks).where("objects > 0").select("request_id", "streams", "objects")
 
 
 @query("A16_pacing_report", """
@@ -237,3 +237,17 @@ def _(v):
     from medialake.operators.catalog import retained_catalog
 
     return retained_catalog(v.objects.select("broadcast_id", "plan_index", "group_id", "payload_bytes"), seq="plan_index")
+
+
+@query("T13_liveness", """
+WITH r AS (SELECT feed_id, start_us AS t, 0 AS side FROM frags_v
+  UNION SELECT feed_id, max(start_us), 1 FROM frags_v WHERE feed_id % 3 = 0 GROUP BY 1
+  UNION SELECT feed_id, start_us + 3600000000 * (arrival_seq % 72), 2 FROM frags_v),
+w AS (SELECT *, max(CASE WHEN side = 0 THEN t END) OVER past AS seen, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER past AS closed FROM r
+  WINDOW past AS (PARTITION BY feed_id ORDER BY t, side ROWS UNBOUNDED PRECEDING))
+SELECT feed_id, t AS tick_us, CASE WHEN closed = 1 THEN 'finished' WHEN seen IS NULL OR t - seen > 86400000000 THEN 'gap' ELSE 'live' END AS state FROM w WHERE side = 2""")
+def _(v):
+    f = v.frags.select("feed_id", "arrival_seq", "start_us")
+    closes = f.where("feed_id % 3 = 0").groupBy("feed_id").agg(F.max("start_us").alias("close_us"))
+    ticks = f.select("feed_id", (F.col("start_us") + F.lit(3600000000) * (F.col("arrival_seq") % 72)).alias("tick_us"))
+    return live.liveness(f.withColumnRenamed("start_us", "arrival_us"), closes, ticks, 86_400_000_000)

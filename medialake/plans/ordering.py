@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions import text
 from medialake.operators import order, publish, relate, rollup, sequence, sets
+from medialake.operators.ordered import stage
 from medialake.plans.media import _LANG_SQL
 from medialake.plans.registry import query
 from medialake.plans.relations import _MATCH, _subs
@@ -95,7 +96,8 @@ def _plan_frags(v):
 
 
 def _content_plan(v):
-    frags, tracks = _plan_frags(v), v.tracks.withColumn("language", text.language_tag("language"))
+    # written once: the catalog, both timelines and the media rows read it
+    frags, tracks = stage(_plan_frags(v)), v.tracks.withColumn("language", text.language_tag("language"))
     return sets.build_plan(frags, tracks, documents=publish.plan_documents(frags, tracks, hot=v.hot_assets), hot=v.hot_assets)
 
 

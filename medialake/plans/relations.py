@@ -98,16 +98,17 @@ def _(v):
 SELECT request_id, track_name FROM subs_v WHERE request_id NOT IN
  (SELECT s.request_id FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name WHERE {_MATCH})""")
 def _(v):
-    return relate.unmatched_subscriptions(_subs(v), v.objects).select("request_id", "track_name")
+    o = v.objects.select("track_name", "group_id", "object_id")
+    return relate.unmatched_subscriptions(_subs(v), o, hot=v.hot_tracks).select("request_id", "track_name")
 
 
 @query("P6_location_filter", f"""
 SELECT request_id, filter_type, count(*) AS matched, CAST(sum(group_id) AS BIGINT) AS group_sum, CAST(sum(object_id) AS BIGINT) AS object_sum
 FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name WHERE {_MATCH} GROUP BY 1, 2""")
 def _(v):
-    o = v.objects.select("track_name", "group_id", "object_id")
-    return relate.match_subscriptions(_subs(v), o).groupBy("request_id", "filter_type").agg(
-        F.count(F.lit(1)).alias("matched"), F.sum("group_id").alias("group_sum"), F.sum("object_id").alias("object_sum"))
+    o = v.objects.select("track_name", "group_id", "object_id", F.lit(1).alias("matched"), F.col("group_id").alias("group_sum"), F.col("object_id").alias("object_sum"))
+    found = relate.location_totals(_subs(v), o, ["matched", "group_sum", "object_sum"], hot=v.hot_tracks).where("matched > 0")
+    return found.join(_subs(v).select("request_id", "filter_type"), ["request_id"]).select("request_id", "filter_type", "matched", "group_sum", "object_sum")
 
 
 @query("J5_drm_enrichment", """
@@ -255,7 +256,8 @@ SELECT s.request_id, s.track_name, coalesce(n, 0) AS objects, coalesce(st, 0) AS
  (SELECT s.request_id, count(*) AS n, count(DISTINCT (o.group_id, o.subgroup_id)) AS st FROM subs_v s JOIN objects_v o ON s.track_name = o.track_name
   WHERE {_MATCH} GROUP BY 1) c USING (request_id)""")
 def _(v):
-    return subscribe.completion(_subs(v), v.objects).select("request_id", "track_name", "objects", "streams")
+    o = v.objects.select("track_name", "group_id", "object_id", "subgroup_id")
+    return subscribe.completion(_subs(v), o, hot=v.hot_tracks).select("request_id", "track_name", "objects", "streams")
 
 
 @query("N1_fold_updates", """

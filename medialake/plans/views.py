@@ -216,6 +216,15 @@ class Views:
     def hot_broadcasts(self) -> HotKeys:
         return self.hot_feeds.renamed(feed_id="broadcast_id")
 
+    @cached_property
+    def hot_tracks(self) -> HotKeys:
+        """Tracks with more objects and filter ends than one task should order: a bound from events and orders."""
+        o = self.table("events").groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+        s = self.table("orders").groupBy(idiv("o_custkey", 10).alias("u")).agg((2 * F.count(F.lit(1))).alias("n"))
+        big = o.unionByName(s).groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") > seq_span(self.spark))
+        names = big.select(F.explode(F.array(*[F.concat(F.lit("u"), F.col("u").cast("string"), F.lit(f"_{h}")) for h in ("vide", "soun")])).alias("track_name"))
+        return HotKeys(("track_name",), None if big.isEmpty() else stage(names))
+
     @cached_property
     def hot_sessions(self) -> HotKeys:
         return find_hot(self.table("events").select((F.col("user_id") % 8).alias("session_id")), ["session_id"])

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import HotKeys, find_hot
+from medialake.operators.ordered import HotKeys, find_hot, seq_span, stage
 
 OBJECT_KEY = ["broadcast_id", "track_name", "group_id", "object_id"]
 
@@ -39,14 +39,26 @@ def lake_rows(objects: DataFrame, inits: DataFrame | None = None) -> DataFrame:
     return rows.unionByName(init, allowMissingColumns=True)
 
 
+TRACK_BYTES = 1 << 30
+
+
+def _large_tracks(objects: DataFrame) -> HotKeys:
+    """Tracks with more rows than one task should hold, or more than ``TRACK_BYTES`` of payload."""
+    if "payload_bytes" not in objects.columns:
+        return find_hot(objects, ["track_name"])
+    rows = objects.groupBy("track_name").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
+    rows = rows.where((F.col("n") > seq_span(objects.sparkSession)) | (F.col("bytes") > TRACK_BYTES)).select("track_name")
+    return HotKeys(("track_name",), None if rows.isEmpty() else stage(rows))
+
+
 def write_object_lake(objects: DataFrame, inits: DataFrame | None, path: str, mode: str = "overwrite", hot: HotKeys | None = None) -> None:
     """Write the lake partitioned by track.
 
-    Each track goes to one task and file set; a hot track is spread over all
-    shuffle partitions by (group, object).
+    Each track goes to one task and file set; a hot track, by rows or by
+    ``payload_bytes``, is spread over all shuffle partitions by (group, object).
     """
     rows = lake_rows(objects, inits)
-    hot = hot or find_hot(objects, ["track_name"])
+    hot = hot or _large_tracks(objects)
     spread = F.lit(0)
     if hot.rows is not None:
         width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -153,3 +153,80 @@ def test_interval_join_on_sparse_points(spark):
     b = spark.createDataFrame(pts, "k string, p bigint, at bigint")
     want = sorted((i, p) for k, i, lo, hi in iv for q, p, at in pts if k == q and lo is not None and at >= lo and (hi is None or at <= hi))
     assert rows(relate.interval_join(a, b, ["k"], "lo", "hi", "at", 10), "i", "p") == want
+
+
+def passed(sub, o):
+    kind, sg, so, eg = sub
+    g, n = o
+    if kind not in (3, 4):
+        return True
+    after = g is not None and sg is not None and (g > sg or (g == sg and n is not None and so is not None and n >= so))
+    return after and (kind == 3 or (eg is not None and g <= eg))
+
+
+@pytest.mark.parametrize("span", [None, "3"])
+def test_served_totals_are_brute_force(spark, span):
+    """Objects and streams of every filter, with nulls, ties, empty ranges and a hot track, and no join of subscriptions with objects."""
+    rng = random.Random(12)
+
+    def maybe(v):
+        return v if rng.random() < 0.9 else None
+
+    objects = [(rng.choice("ab"), maybe(rng.randrange(8)), maybe(rng.randrange(4)), rng.randrange(3)) for _ in range(300)] + [(None, 1, 1, 1)]
+    subs = [(i, rng.choice(["a", "b", "c", None]), maybe(rng.randrange(1, 6)), maybe(rng.randrange(9)), maybe(rng.randrange(5)), maybe(rng.randrange(9))) for i in range(120)]
+    o = spark.createDataFrame(objects, "track_name string, group_id bigint, object_id bigint, subgroup_id bigint")
+    s = spark.createDataFrame(subs, "request_id bigint, track_name string, filter_type bigint, start_group bigint, start_object bigint, end_group bigint")
+    if span:
+        spark.conf.set("spark.medialake.sequence.span", span)
+    try:
+        found = relate.served_totals(s, o)
+        got = {r["request_id"]: (r["objects"], r["streams"]) for r in found.collect()}
+        left = {r["request_id"] for r in relate.unmatched_subscriptions(s, o).collect()}
+    finally:
+        spark.conf.unset("spark.medialake.sequence.span")
+    for i, track, *sub in subs:
+        mine = [x for x in objects if track is not None and x[0] == track and passed(sub, x[1:3])]
+        assert got.get(i, (0, 0))[0] == len(mine), (i, sub)
+        if all(x[2] is not None for x in objects if x[0] == track and x[1] is not None and (x[1] or 0) == sub[1]):
+            assert got.get(i, (0, 0))[1] == len({(x[1], x[3]) for x in mine})
+        assert (i in left) == (not mine)
+    if not span:
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_updates_fold_alike_as_lists_and_rows(spark):
+    from medialake.operators import subscribe
+
+    rng = random.Random(13)
+    subs = [(i, rng.randrange(5), rng.randrange(3), rng.randrange(9), rng.randrange(1, 5), 1, rng.randrange(2)) for i in range(40)]
+    ups = [(i, n, rng.randrange(9), rng.randrange(4), rng.randrange(9), rng.randrange(2), rng.choice([0, 0, rng.randrange(12)])) for i in range(45) for n in range(rng.randrange(12))]
+    s = spark.createDataFrame(subs, "request_id bigint, start_group bigint, start_object bigint, end_group bigint, filter_type bigint, priority bigint, forward bigint")
+    u = spark.createDataFrame(ups, "request_id bigint, update_seq bigint, start_group bigint, start_object bigint, priority bigint, forward bigint, end_group_plus_one bigint")
+    state = {r[0]: dict(zip(("start_group", "start_object", "end_group", "filter_type", "priority", "forward"), r[1:])) for r in subs}
+    want = []
+    for i, n, sg, so, pr, fw, end in ups:
+        if i not in state:
+            want.append((i, n, False, None, None))
+            continue
+        state[i], ok = subscribe.apply_update(state[i], {"start_group": sg, "start_object": so, "priority": pr, "forward": fw, "end_group_plus_one": end})
+        want.append((i, n, ok, state[i]["start_group"], state[i]["filter_type"]))
+    for limit in (1000, 5, 0):
+        got = subscribe.update_outcomes(s, u, limit)
+        assert rows(got, "request_id", "update_seq", "accepted", "start_group", "filter_type") == sorted(want)
+    plan = subscribe.update_outcomes(s, u)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_stream_demand_of_long_intervals(spark, folder):
+    """Intervals of years beside intervals of seconds: an interval lies in three buckets at most."""
+    from medialake.streaming import streams
+
+    year = 365 * 86_400_000_000
+    iv = [("a", 0, 30 * year), ("a", 40 * year, 40 * year + 5), ("b", 7, None), ("b", 3, 4), ("c", year, year)]
+    pts = [(t, i, at) for i, (t, at) in enumerate([("a", 0), ("a", 29 * year), ("a", 30 * year), ("a", 40 * year + 4), ("a", 40 * year + 5), ("b", 3), ("b", 4), ("b", 7), ("b", 99 * year), ("c", year)])]
+    i = spark.createDataFrame(iv, "track_name string, subscribe_us bigint, unsubscribe_us bigint")
+    spark.createDataFrame(pts, "track_name string, plan_index bigint, media_time_us bigint").write.parquet(folder + "/in")
+    src = spark.readStream.schema("track_name string, plan_index bigint, media_time_us bigint").parquet(folder + "/in")
+    q = streams.stream_demand(src, i).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/ck").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert rows(spark.read.parquet(folder + "/out"), "plan_index") == [(0,), (1,), (3,), (5,), (7,), (8,)]
