@@ -26,7 +26,7 @@ GRAMS = (1, 2, 3, 4)
 SWITCH = 6.0
 FLOOR = -8.0
 DEPTH = 3.0  # log probability by which the n-grams of a word of a language may be rarer than that language's n-grams on average
-CHUNK = 1 << 19
+CHUNK = 1 << 20  # bytes of text that are worked on at once
 UNKNOWN = "und"
 
 #: First code points of script ranges; 0 stands for letters of the Latin script and for code points without a script.
@@ -224,7 +224,7 @@ def _identify(t: Texts, model: Model, switch: float):
     return names, score, pa.ListArray.from_arrays(ends, spans), learned
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Every row with ``lang_pred``, ``score`` (share of its words in that language, by script too), ``lang_spans`` and ``learned`` (share of its words that are credibly in any learned language).
 
     A span (language, start, end in code points) runs from the first to the last of
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text: str =
             column = batch.column(batch.schema.get_field_index(text))
             if not m.languages:
                 return [pa.array([UNKNOWN] * len(column)), pa.array([0.0] * len(column)), pa.array([[]] * len(column), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), pa.array([0.0] * len(column))]
-            parts = [_identify(t, m, switch) for t in slices(column, CHUNK)]
+            parts = [_identify(t, m, switch) for t in slices(column, chunk)]
             return [pa.array([x for p in parts for x in p[0]], pa.string()), pa.array(np.concatenate([p[1] for p in parts])), pa.chunked_array([p[2] for p in parts]).combine_chunks(), pa.array(np.concatenate([p[3] for p in parts]))]
 
         return step
