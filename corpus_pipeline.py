@@ -16,6 +16,7 @@ from medialake.llm.texts import keeping
 from medialake.operators.ordered import stage
 
 SURE = 0.5
+SLICE = 1 << 19  # bytes of text at once: the stages share their executors' memory
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = langid.learn(docs)
 
     def step(rows: DataFrame) -> DataFrame:
-        found = langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("learned") >= SURE))
+        found = langid.identify(rows, model, chunk=SLICE).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("learned") >= SURE))
         return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
     return keeping(docs, langid.OUT.fieldNames(), step)
