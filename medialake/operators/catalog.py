@@ -400,8 +400,8 @@ def track_json() -> Column:
     return F.when(F.coalesce(custom, F.lit("")) == "", base).otherwise(F.concat(before_refs, custom, refs, F.lit("}")))
 
 
-def _json_parts(df: DataFrame, item: Column, broadcast: str, order: str, max_items: int, name: str) -> DataFrame:
-    parts = ordered_parts(df, [broadcast], [order], item, max_items=max_items)
+def _json_parts(df: DataFrame, item: Column, broadcast: str, order: list[str], max_items: int, name: str) -> DataFrame:
+    parts = ordered_parts(df, [broadcast], order, item, max_items=max_items)
     return parts.select(broadcast, "part_index", F.array_join("items", ",").alias(name))
 
 
@@ -415,13 +415,14 @@ def catalog_json(cat: Catalog, broadcast: str = "broadcast_id", order: str = "po
     """
     key = [broadcast, "part_index"]
     t = complete_tracks(cat.tracks)
-    parts = _json_parts(t, track_json(), broadcast, order, max_items, "__tracks")
+    parts = _json_parts(t, track_json(), broadcast, [order], max_items, "__tracks")
     header = cat.tracks.select(broadcast).distinct() if cat.header is None else cat.header
     d = header.withColumn("part_index", F.lit(0).cast("bigint")).join(parts, key, "full")
     listed: dict[str, Column] = {}
     for name, source in (("contentProtections", cat.protections), ("publishTracks", cat.publish_tracks), ("initDataList", cat.inits)):
         if source is None:
             continue
+        by = [order]
         if name == "contentProtections":
             rows = source if order in source.columns else source.withColumn(order, F.col("ref_id").try_cast("bigint"))
             item = protection_json(source)
@@ -429,8 +430,9 @@ def catalog_json(cat: Catalog, broadcast: str = "broadcast_id", order: str = "po
             rows = complete_tracks(source)
             item = track_json()
         else:
-            rows, item = source, F.to_json(F.struct("id", "type", "data"))
-        d = d.join(_json_parts(rows, item, broadcast, order, max_items, f"__{name}"), key, "full")
+            # entries at one position go by id
+            rows, item, by = source, F.to_json(F.struct("id", "type", "data")), [order, "id"]
+        d = d.join(_json_parts(rows, item, broadcast, by, max_items, f"__{name}"), key, "full")
         listed[name] = F.concat(F.lit(f'"{name}":['), F.col(f"__{name}"), F.lit("]"))
     cols = header.columns
     version = F.coalesce(F.col("version"), F.lit("1")) if "version" in cols else F.lit("1")

@@ -151,12 +151,17 @@ def _(v):
 
 
 @query("S10_catalog_json", """
-WITH t AS (SELECT broadcast_id, string_agg('{"name":"' || name || '"' || coalesce(',"namespace":"' || namespace || '"', '') || ',"packaging":"' || packaging || '"'
+WITH t AS (SELECT broadcast_id, pos // 10000 AS part_index, string_agg('{"name":"' || name || '"' || coalesce(',"namespace":"' || namespace || '"', '') || ',"packaging":"' || packaging || '"'
   || coalesce(',"eventType":"' || event_type || '"', '') || ',"role":"' || role || '","isLive":' || is_live || coalesce(',"label":"' || label || '"', '')
   || ',"initRef":"' || init_ref || '"' || coalesce(',"bitrate":' || bitrate, '') || coalesce(',"samplerate":' || samplerate, '')
-  || coalesce(',"channelConfig":"' || channel_config || '"', '') || coalesce(',"trackDuration":' || track_duration_ms, '') || '}', ',' ORDER BY position) AS tracks FROM cat_before GROUP BY 1),
-i AS (SELECT broadcast_id, string_agg('{"id":"' || id || '","type":"' || type || '","data":"' || data || '"}', ',' ORDER BY id) AS inits FROM cat_inits GROUP BY 1)
-SELECT broadcast_id, 0 AS part_index, 'independent' AS kind, '{"version":"1","tracks":[' || tracks || '],"initDataList":[' || inits || ']}' AS document FROM t JOIN i USING (broadcast_id)""")
+  || coalesce(',"channelConfig":"' || channel_config || '"', '') || coalesce(',"trackDuration":' || track_duration_ms, '') || '}', ',' ORDER BY pos) AS tracks
+  FROM (SELECT *, row_number() OVER (PARTITION BY broadcast_id ORDER BY position) - 1 AS pos FROM cat_before) GROUP BY 1, 2),
+i AS (SELECT broadcast_id, pos // 10000 AS part_index, string_agg('{"id":"' || id || '","type":"' || type || '","data":"' || data || '"}', ',' ORDER BY pos) AS inits
+  FROM (SELECT *, row_number() OVER (PARTITION BY broadcast_id ORDER BY CAST(regexp_extract(id, '#([0-9]+)', 1) AS BIGINT), id) - 1 AS pos FROM cat_inits) GROUP BY 1, 2)
+SELECT broadcast_id, part_index, CASE WHEN part_index = 0 THEN 'independent' ELSE 'delta' END AS kind,
+  '{' || CASE WHEN part_index = 0 THEN '"version":"1","tracks":[' || coalesce(tracks, '') || ']' || coalesce(',"initDataList":[' || inits || ']', '')
+    ELSE concat_ws(',', '"deltaUpdate":[{"op":"add","tracks":[' || tracks || ']}]', '"initDataList":[' || inits || ']') END || '}' AS document
+FROM t FULL JOIN i USING (broadcast_id, part_index)""")
 def _(v):
     inits = v.cat_inits.withColumn("position", F.regexp_extract("id", "#([0-9]+)", 1).cast("bigint"))
     return catalog.catalog_json(Catalog(v.cat_before, inits=inits))
