@@ -192,7 +192,7 @@ def _(v):
 
 
 @query("U5_merge_location_ranges", """
-WITH o AS (SELECT link_id, start_group * 100000 + coalesce(start_object, 0) AS s,
+WITH o AS (SELECT DISTINCT link_id, start_group * 100000 + coalesce(start_object, 0) AS s,
    CASE WHEN end_group IS NULL THEN 9000000000 ELSE end_group * 100000 + coalesce(end_object, 99999) END AS e FROM links_v),
 m AS (SELECT *, max(e) OVER (PARTITION BY link_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY link_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m),

@@ -30,3 +30,20 @@ def test_catalog_json_init_entries_of_one_position(spark, folder):
     customers(folder, 3000, 2, "CAST(i % 10 AS VARCHAR) || '_' || i")
     got, want = both(spark, "S10_catalog_json", folder, ["customer"])
     assert got == want
+
+
+def test_location_ranges_sql_orders_distinct_ranges(folder):
+    """Two windows over tied rows may order them differently, so a range must occur once."""
+    duckdb.connect().execute(f"""COPY (SELECT i AS o_orderkey, i % 50 AS o_custkey, 'O' AS o_orderstatus, DATE '1995-01-01' AS o_orderdate
+      FROM range(20000) t(i)) TO '{folder}/orders.parquet'""")
+    con, sql = duckdb.connect(), SQL["U5_merge_location_ranges"]
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{folder}/orders.parquet')")
+    ranges = sql[:sql.index("m AS (")].rstrip().rstrip(",")
+    assert con.execute(f"{ranges} SELECT count(*) - count(DISTINCT (link_id, s, e)) FROM o").fetchone() == (0,)
+
+
+def test_location_ranges_with_ties(spark, folder):
+    duckdb.connect().execute(f"""COPY (SELECT (i * 7) % 9000 AS o_orderkey, i % 4000 AS o_custkey, 'O' AS o_orderstatus, TIMESTAMP '1995-01-01' AS o_orderdate
+      FROM range(30000) t(i)) TO '{folder}/orders.parquet'""")
+    got, want = both(spark, "U5_merge_location_ranges", folder, ["orders"])
+    assert got == want
