@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.timing import idiv
-from medialake.operators.ordered import HotKeys, find_hot, run_count, run_max, running, with_key_totals
-from medialake.operators.relate import match_subscriptions
+from medialake.operators.ordered import HotKeys, by_heat, find_hot, run_count, run_max, running, seq_span, split_hot, stage, with_key_totals
+from medialake.operators.relate import match_subscriptions, receives
 
 VIDEO_STREAM_TYPES = (0x1B, 0x24, 0x02)
 AUDIO_STREAM_TYPES = (0x0F, 0x11, 0x03, 0x04)
 QUEUE_DEPTH = 128
 TIME_SPAN_US = 600_000_000
+PAIRS = 1 << 21
 
 
 def send_order(matched: DataFrame, broadcast: str = "broadcast_id", request: str = "request_id",
@@ -22,23 +23,77 @@ def send_order(matched: DataFrame, broadcast: str = "broadcast_id", request: str
 
     A queue keeps plan order, so a row's place is the running maximum of
     (time, plan index) within its subscription and cycle. Subscriptions at the
-    same head share a ``send_seq``: ranks cost the distinct places of a broadcast,
-    whether it has one subscriber or a million.
+    same head share a ``send_seq``. The rows of an ordinary broadcast are
+    shuffled once and ordered in one task; in a hot one ranks are given to its
+    distinct places, so they cost these, whether it has one subscriber or a million.
     """
     d = matched if cycle else matched.withColumn("__cycle", F.lit(0).cast("bigint"))
     cyc = cycle or "__cycle"
     place = [cyc, "__t", "__p", seq]
-    chunk = F.struct(F.col(cyc).alias("c"), idiv("__t", TIME_SPAN_US).alias("b"))
     head = run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))
-    d = running(d, [broadcast, request, cyc], [seq], [head], hot=hot or find_hot(matched, [broadcast]), **kw)
-    d = d.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
+
+    def ranked(part: DataFrame, heat: HotKeys) -> DataFrame:
+        p = part if heat.every else part.repartition(broadcast)
+        p = running(p, [broadcast, request, cyc], [seq], [head], hot=heat, **kw)
+        p = p.withColumns({"__t": F.col("__head.t"), "__p": F.col("__head.p")}).drop("__head")
+        return _rank_places(p, broadcast, place) if heat.every else _dense_rank(p, broadcast, place)
+
+    d = by_heat(d, hot or find_hot(matched, [broadcast]), ranked)
+    return d.withColumns({"head_time_us": F.col("__t"), "head_index": F.col("__p")}).drop("__t", "__p", "__cycle")
+
+
+def _dense_rank(d: DataFrame, broadcast: str, place: list[str]) -> DataFrame:
+    return d.withColumn("send_seq", F.dense_rank().over(Window.partitionBy(broadcast).orderBy(*place)).cast("bigint"))
+
+
+def _rank_places(d: DataFrame, broadcast: str, place: list[str]) -> DataFrame:
     # a place is one object at one head, however many subscriptions stand at it; ranks are given to places
+    chunk = F.struct(F.col(place[0]).alias("c"), idiv("__t", TIME_SPAN_US).alias("b"))
     places = d.select(broadcast, *place).distinct()
-    ranked = running(places, [broadcast], place, [run_count("send_seq")], chunk=chunk, hot=hot)
+    ranked = running(places, [broadcast], place, [run_count("send_seq")], chunk=chunk, hot=HotKeys((broadcast,), every=True))
     ranked = ranked.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate([broadcast, *place])], "send_seq")
     same = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate([broadcast, *place])]
-    d = d.join(ranked, same)
-    return d.withColumns({"head_time_us": F.col("__t"), "head_index": F.col("__p")}).drop("__t", "__p", "__cycle", *[f"__r{i}" for i in range(5)])
+    return d.join(ranked, same).drop(*[f"__r{i}" for i in range(5)])
+
+
+def subscribed_send_order(subs: DataFrame, objects: DataFrame, broadcast: str = "broadcast_id", request: str = "request_id",
+                          time: str = "media_time_us", seq: str = "plan_index", on: list[str] | None = None,
+                          hot: HotKeys | None = None) -> DataFrame:
+    """:func:`send_order` of the matches of ``subs`` and ``objects``, without shuffling the matches.
+
+    Subscriptions and objects of a broadcast meet in one task, which makes its
+    matches and orders them: what is shuffled grows with the inputs, not with
+    their matches. Tasks are as many as keep each at about ``PAIRS`` pairs; a
+    broadcast with more pairs than one task should order is matched by buckets.
+    ``hot`` lists these broadcasts.
+    """
+    on = on or ["track_name"]
+    objects = stage(objects)  # read for its tracks, their sizes and the matches
+    tracks = objects.groupBy(*on, broadcast).agg(F.count(F.lit(1)).alias("__n"))
+    wanted = subs.join(tracks.select(*on, broadcast), on)
+    if hot is None or not hot.every:
+        pairs = F.sum("__n") * F.sum("__m")
+        sizes = tracks.join(subs.groupBy(*on).agg(F.count(F.lit(1)).alias("__m")), on).groupBy(broadcast).agg(pairs.alias("__pairs"))
+        if hot is None:
+            big = sizes.where(F.col("__pairs") > seq_span(subs.sparkSession)).select(broadcast)
+            hot = HotKeys((broadcast,), None if big.isEmpty() else stage(big))
+        total = split_hot(sizes, hot)[0].agg(F.sum("__pairs")).first()[0] or 0
+
+    def ordered(part: DataFrame, heat: HotKeys) -> DataFrame:
+        if heat.every:
+            return send_order(match_subscriptions(subs, part, on), broadcast, request, time, seq, hot=heat)
+        count = 1 + int(total) // PAIRS
+        asked = wanted.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([broadcast, *on])], *[c for c in subs.columns if c not in on])
+        # only the broadcast is a join key, so that the matches stay where they are made: tracks are compared by order, which is no key
+        same = [(F.col(c) >= F.col(f"__k{i}")) & (F.col(c) <= F.col(f"__k{i}")) for i, c in enumerate(on, 1)]
+        met = part.repartition(count, broadcast).join(
+            asked.repartition(count, "__k0"), [F.col(broadcast) == F.col("__k0"), *same, receives("group_id", "object_id")])
+        p = met.drop(*[f"__k{i}" for i in range(len(on) + 1)])
+        p = running(p, [broadcast, request], [seq], [run_max("__head", F.struct(F.col(time).alias("t"), F.col(seq).alias("p")))], hot=heat)
+        p = _dense_rank(p, broadcast, ["__head", seq])
+        return p.withColumns({"head_time_us": F.col("__head.t"), "head_index": F.col("__head.p")}).drop("__head")
+
+    return by_heat(objects, hot, ordered)
 
 
 def next_object(subs: DataFrame, objects: DataFrame, position: str = "position", on: list[str] | None = None) -> DataFrame:

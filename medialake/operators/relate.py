@@ -67,14 +67,24 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: list[str], lo:
     return joined.where((F.col(at) >= F.col(lo)) & (F.col(hi).isNull() | (F.col(at) <= F.col(hi))))
 
 
+def _group_ends() -> tuple[Column, Column]:
+    """First and last group a subscription's filter may pass; a NULL last one is open."""
+    ft = F.col("filter_type")
+    return F.when(ft.isin(3, 4), F.col("start_group")).otherwise(0).cast("bigint"), F.when(ft == 4, F.col("end_group")).cast("bigint")
+
+
+def receives(group: str = "group_id", obj: str = "object_id") -> Column:
+    """Whether the subscription of a (subscription, object) row receives the object by its location filter."""
+    low, high = _group_ends()
+    within = (F.col(group) >= low) & (high.isNull() | (F.col(group) <= high))
+    return within & location_matches("filter_type", "start_group", "start_object", "end_group", group, obj)
+
+
 def match_subscriptions(subs: DataFrame, objects: DataFrame, on: list[str] | None = None, width: int = GROUP_BUCKET) -> DataFrame:
     """Objects each subscription receives by its location filter."""
     on = on or ["track_name"]
-    ft = F.col("filter_type")
-    wanted = subs.withColumns({
-        "__lo": F.when(ft.isin(3, 4), F.col("start_group")).otherwise(0).cast("bigint"),
-        "__hi": F.when(ft == 4, F.col("end_group")).cast("bigint"),
-    })
+    low, high = _group_ends()
+    wanted = subs.withColumns({"__lo": low, "__hi": high})
     pairs = interval_join(wanted, objects, on, "__lo", "__hi", "group_id", width).drop("__lo", "__hi")
     return pairs.where(location_matches("filter_type", "start_group", "start_object", "end_group", "group_id", "object_id"))
 

@@ -47,10 +47,8 @@ SELECT broadcast_id, request_id, plan_index, CAST(dense_rank() OVER (PARTITION B
 def _(v):
     o = v.objects.select("track_name", "broadcast_id", "plan_index", "group_id", "object_id",
                          (F.col("media_time_us") - (F.col("plan_index") % 5) * F.lit(40000000000)).alias("media_time_us"))
-    m = relate.match_subscriptions(_subs(v), o).select("request_id", "broadcast_id", "plan_index", "media_time_us")
     # A broadcast has at most objects x subscriptions matches; only one above the task size needs splitting.
-    hot = v.hot_matches
-    return order.send_order(m, hot=hot).select("broadcast_id", "request_id", "plan_index", "send_seq")
+    return order.subscribed_send_order(_subs(v), o, hot=v.hot_matches).select("broadcast_id", "request_id", "plan_index", "send_seq")
 
 
 @query("O2_next_object", f"""

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
+from conftest import SF, rows
 from test_oracle import QUERIES, SQL, canon
 
+from medialake.operators import order, relate
+from medialake.operators.ordered import HotKeys, bounded
+from medialake.plans.views import Views
+
 
 def both(spark, name, folder, tables):
     con = duckdb.connect()
@@ -47,3 +53,38 @@ def test_location_ranges_with_ties(spark, folder):
       FROM range(30000) t(i)) TO '{folder}/orders.parquet'""")
     got, want = both(spark, "U5_merge_location_ranges", folder, ["orders"])
     assert got == want
+
+
+def shuffled_records(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    empty = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, empty, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["O1_send_order"])
+def test_send_order_shuffles_inputs_not_matches(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, i % 2 AS user_id,
+      CASE WHEN i < 4 THEN 'signup' ELSE 'view' END AS event_type, 1.5 AS value, '' AS props FROM range(200) t(i)) TO '{folder}/events.parquet'""")
+    con.execute(f"""COPY (SELECT i AS o_orderkey, i % 20 AS o_custkey, 'O' AS o_orderstatus, TIMESTAMP '1995-01-01' AS o_orderdate
+      FROM range(1200) t(i)) TO '{folder}/orders.parquet'""")
+    con.execute(f"""COPY (SELECT i AS p_partkey, 'Brand#1' AS p_brand, 'LARGE' AS p_type, 5 AS p_size, 900.0 AS p_retailprice
+      FROM range(8) t(i)) TO '{folder}/part.parquet'""")
+    before = shuffled_records(spark)
+    got, want = both(spark, name, folder, ["events", "orders", "part"])
+    assert got == want and len(got) > 60000
+    assert shuffled_records(spark) - before < 20000
+
+
+def test_subscribed_send_order_of_hot_and_ordinary_broadcasts(spark):
+    v = Views(spark, SF)
+    subs = v.subs.select("request_id", "track_name", "filter_type", "start_group", "start_object", "end_group")
+    objects = v.objects.select("track_name", "broadcast_id", "plan_index", "group_id", "object_id", "media_time_us")
+    cols = ("broadcast_id", "request_id", "plan_index", "send_seq", "head_time_us", "head_index")
+    want = rows(order.send_order(relate.match_subscriptions(subs, objects), hot=bounded("broadcast_id")), *cols)
+    some = HotKeys(("broadcast_id",), objects.where("broadcast_id < 5").select("broadcast_id").distinct())
+    for hot in (bounded("broadcast_id"), some, HotKeys(("broadcast_id",), every=True), None):
+        assert rows(order.subscribed_send_order(subs, objects, hot=hot), *cols) == want
+    assert rows(order.send_order(relate.match_subscriptions(subs, objects), hot=some), *cols) == want
