@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medialake.functions import text
-from medialake.operators import order, publish, relate, rollup, sequence, sets
+from medialake.operators import order, publish, rollup, sequence, sets
 from medialake.operators.ordered import stage
 from medialake.plans.media import _LANG_SQL
 from medialake.plans.registry import query
@@ -149,10 +149,10 @@ r AS (SELECT *, max((media_time_us, plan_index)) OVER (PARTITION BY asset_id, re
 SELECT asset_id, request_id, plan_index, path, file_offset, payload_bytes, track_name || '_g' || group_id || '_o' || object_id || '_media.mp4' AS object_filename,
        CAST(dense_rank() OVER (PARTITION BY asset_id ORDER BY head, plan_index) AS BIGINT) AS send_seq FROM r""")
 def _(v):
-    plan = _content_plan(v).where("kind = 'media'").withColumn("object_filename", object_filename())
-    plan = plan.select("asset_id", "plan_index", "track_name", "group_id", "object_id", "media_time_us", "path", "file_offset", "payload_bytes", "object_filename")
-    sent = order.send_order(relate.match_subscriptions(_subs(v), plan), "asset_id", hot=v.hot_matches.renamed(broadcast_id="asset_id"))
-    return sent.select("asset_id", "request_id", "plan_index", "path", "file_offset", "payload_bytes", "object_filename", "send_seq")
+    plan = _content_plan(v).where("kind = 'media'")
+    plan = plan.select("asset_id", "plan_index", "track_name", "kind", "group_id", "object_id", "media_time_us", "path", "file_offset", "payload_bytes")
+    sent = order.subscribed_send_order(_subs(v), plan, "asset_id", hot=v.hot_matches.renamed(broadcast_id="asset_id"))
+    return sent.withColumn("object_filename", object_filename()).select("asset_id", "request_id", "plan_index", "path", "file_offset", "payload_bytes", "object_filename", "send_seq")
 
 
 @query("U1_plan_tracks", """

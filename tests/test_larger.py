@@ -63,7 +63,7 @@ def shuffled_records(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["O1_send_order"])
+@pytest.mark.parametrize("name", ["O1_send_order", "U1_plan_to_send_order"])
 def test_send_order_shuffles_inputs_not_matches(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, i % 2 AS user_id,
