@@ -88,3 +88,9 @@ def test_subscribed_send_order_of_hot_and_ordinary_broadcasts(spark):
     for hot in (bounded("broadcast_id"), some, HotKeys(("broadcast_id",), every=True), None):
         assert rows(order.subscribed_send_order(subs, objects, hot=hot), *cols) == want
     assert rows(order.send_order(relate.match_subscriptions(subs, objects), hot=some), *cols) == want
+
+
+def test_snapshots_send_no_customers_through_the_driver(spark):
+    snapshots = Views(spark, SF).snapshots
+    snapshots.collect()
+    assert "Broadcast" not in snapshots._jdf.queryExecution().executedPlan().toString()
