@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from medialake.functions.text import is_uuid, percent_ok
 from medialake.functions.timing import idiv
 from medialake.operators.ordered import (
-    HotKeys, by_heat, find_hot, ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running, with_key_totals,
+    HotKeys, by_heat, find_hot, ordered_parts, prev_row, row_index, run_last, run_max, run_sum, running, stage, with_key_totals,
 )
 from medialake.operators.relate import dangling_protection_refs, dangling_refs
 from medialake.operators.rollup import duplicate_keys
@@ -219,7 +219,8 @@ def _versions(snapshots: DataFrame, versions: DataFrame | None, broadcast: str,
     v = source.select(broadcast, "version_seq", *given).distinct()
     v = v.withColumns({c: F.lit(False) for c in flags if c not in given})
     v = row_index(v, [broadcast], ["version_seq"], "version_no", hot=hot)
-    return with_key_totals(v, [broadcast], {"last_no": F.max("version_no")}, hot)
+    # one row a version, read several times; what the snapshots come from is computed once for it
+    return stage(with_key_totals(v, [broadcast], {"last_no": F.max("version_no")}, hot))
 
 
 def _track_events(snapshots: DataFrame, versions: DataFrame, broadcast: str, hot: HotKeys) -> DataFrame:
@@ -257,7 +258,8 @@ def version_changes(snapshots: DataFrame, versions: DataFrame | None = None, bro
     """
     hot = hot or find_hot(snapshots, [broadcast])
     v = _versions(snapshots, versions, broadcast, hot)
-    rows = _track_events(snapshots, v, broadcast, hot)
+    # a track has at most one row a version, so versions say which keys are hot
+    rows = _track_events(snapshots, v, broadcast, find_hot(v, [broadcast]))
     return rows.join(v.select(broadcast, "version_no", "version_seq"), [broadcast, "version_no"]).drop("version_no")
 
 
@@ -275,6 +277,7 @@ def catalog_log(snapshots: DataFrame, max_deltas: int = MAX_DELTAS, versions: Da
     """
     hot = hot or find_hot(snapshots, [broadcast])
     v = _versions(snapshots, versions, broadcast, hot)
+    hot = find_hot(v, [broadcast])  # a track has at most one row a version
     key = [broadcast, "version_no"]
 
     def count_of(op: str) -> Column:

@@ -7,8 +7,8 @@ import pytest
 from conftest import SF, rows
 from test_oracle import QUERIES, SQL, canon
 
-from medialake.operators import order, relate
-from medialake.operators.ordered import HotKeys, bounded
+from medialake.operators import catalog, order, relate
+from medialake.operators.ordered import HotKeys, bounded, by_heat
 from medialake.plans.views import Views
 
 
@@ -94,3 +94,13 @@ def test_snapshots_send_no_customers_through_the_driver(spark):
     snapshots = Views(spark, SF).snapshots
     snapshots.collect()
     assert "Broadcast" not in snapshots._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tracks_of_a_hot_broadcast_with_few_versions_stay_plain(spark, monkeypatch):
+    """A broadcast may have many rows, a track has one row a version."""
+    v, seen = Views(spark, SF), []
+    plain = rows(catalog.version_changes(v.snapshots, hot=bounded("broadcast_id")))
+    monkeypatch.setattr(catalog, "by_heat", lambda df, hot, step: (seen.append(hot), by_heat(df, hot, step))[1])
+    every = HotKeys(("broadcast_id",), v.snapshots.select("broadcast_id").distinct())
+    assert rows(catalog.version_changes(v.snapshots, hot=every)) == plain
+    assert len(seen) == 1 and seen[0].rows is None and not seen[0].every
