@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 6
 SAMPLES, BITS = 1024, 2048
 MARGIN = 0.07
 BLOCK, BLOCK_BYTES = 2048, 1 << 23
+RUN = 128  # texts whose samples are worked on at once
+TILE = 64, 512  # members whose sketches and bands are compared at once
 CENTRES = (1, 8)  # members of a band that the others are compared with, turn by turn
 
 _K = SAMPLES
@@ -83,14 +85,16 @@ def signatures(t: Texts, size: int):
     least = np.empty((_K, len(full)), np.uint32)
     for k in range(_K):  # one permutation of the 32-bit hashes at a time keeps the work in cache
         np.minimum.reduceat(x * _A[k] + _B[k], at, out=least[k])
-    sample = mix(least.astype(np.uint64) ^ _SALT[:, None])
-    band = np.zeros((BANDS, len(full)), np.uint64)
-    for r in range(ROWS):
-        band = mix(band * _DOC + sample[r : BANDS * ROWS : ROWS])
-    keys[full] = np.ascontiguousarray(band.T).view(np.int64)
-    bit = (sample >> np.uint64(20)).astype(np.int64) % BITS + np.arange(len(full)) * BITS
-    odd = (np.bincount(bit.ravel(), minlength=len(full) * BITS) & 1).astype(np.uint8)
-    sketch[full] = np.packbits(odd.reshape(len(full), BITS), axis=1).view(np.int64)
+    for lo in range(0, len(full), RUN):  # samples take 8 KB a text, so short texts go by runs
+        some = full[lo : lo + RUN]
+        sample = mix(least[:, lo : lo + RUN].astype(np.uint64) ^ _SALT[:, None])
+        band = np.zeros((BANDS, len(some)), np.uint64)
+        for r in range(ROWS):
+            band = mix(band * _DOC + sample[r : BANDS * ROWS : ROWS])
+        keys[some] = np.ascontiguousarray(band.T).view(np.int64)
+        bit = (sample >> np.uint64(20)).astype(np.int64) % BITS + np.arange(len(some)) * BITS
+        odd = (np.bincount(bit.ravel(), minlength=len(some) * BITS) & 1).astype(np.uint8)
+        sketch[some] = np.packbits(odd.reshape(len(some), BITS), axis=1).view(np.int64)
     return count, digests.view(np.int64), keys, sketch
 
 
@@ -201,15 +205,18 @@ def links_within(group: pa.Table, percent: int, own: int | None = None) -> tuple
     sketch = np.stack(group["__sketch"].to_numpy()).astype(np.int64).view(np.uint64)
     bands, sets = np.stack(group["__bands"].to_numpy()), group["set"].to_numpy()
     most, joined, out = most_differing(percent), _Groups(label), []
-    for at in range(0, len(node), 64):
-        s = slice(at, at + 64)
-        root = joined.roots()
-        differ = np.bitwise_count(sketch[s, None, :] ^ sketch[None, :, :]).sum(-1, dtype=np.int64)
-        small, large = np.minimum(n[s, None], n[None]), np.maximum(n[s, None], n[None])
-        x, y = np.nonzero((differ <= most) & (root[s, None] != root[None]) & (node[s, None] < node[None]) & (100 * small >= percent * large))
-        first = (bands[x + at] == bands[y]).argmax(1) == own if own is not None else np.ones(len(x), bool)
-        x, y = x[first], y[first]
-        for k in np.argsort(differ[x, y], kind="stable"):
+    for at in range(0, len(node), TILE[0]):
+        s = slice(at, at + TILE[0])
+        root, found = joined.roots(), []
+        for lo in range(0, len(node), TILE[1]):
+            o = slice(lo, lo + TILE[1])
+            differ = np.bitwise_count(sketch[s, None, :] ^ sketch[None, o, :]).sum(-1, dtype=np.int64)
+            small, large = np.minimum(n[s, None], n[None, o]), np.maximum(n[s, None], n[None, o])
+            x, y = np.nonzero((differ <= most) & (root[s, None] != root[None, o]) & (node[s, None] < node[None, o]) & (100 * small >= percent * large))
+            first = (bands[x + at] == bands[y + lo]).argmax(1) == own if own is not None else np.ones(len(x), bool)
+            found.append((x[first], y[first] + lo, differ[x[first], y[first]]))
+        x, y, differ = (np.concatenate(c) for c in zip(*found))
+        for k in np.lexsort((y, x, differ)):
             i, j = int(x[k]) + at, int(y[k])
             if joined.root(i) == joined.root(j):
                 continue
@@ -240,7 +247,8 @@ def _blocks(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             yield from walk(t, False)
-            rest = walk.rest
+            rest, t = walk.rest, None
+            hand_back()
         if rest is not None:
             yield from walk(rest, True)
         rest = walk.rest = None
