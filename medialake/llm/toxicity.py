@@ -36,7 +36,7 @@ REACH = 5  # most letters from the first to the last of a triple
 NEAR = 0.45  # kernel value from which a word is looked at
 WHOLE = 4  # fewest letters of a window, and of a reading of every second letter
 RANGES = 20_000  # compared at once
-KNOWN = 1_000_000
+KNOWN = 1_000_000  # words, and readings of words, far from all landmarks that a task keeps
 SENTENCES = 4  # of a labelled document, the nearest to landmarks
 
 _GAPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH) if a + b <= REACH]
@@ -130,6 +130,22 @@ def readings(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: list[i
     return np.concatenate((text, text[half])), *(np.concatenate(x).astype(np.int64) for x in zip(*out))
 
 
+class Far:
+    """Sorted hashes of what is far from all landmarks; beyond ``KNOWN`` only what came last."""
+
+    def __init__(self):
+        self.hash = np.zeros(0, np.uint64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.zeros(len(hashes), bool)
+        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] == hashes
+
+    def add(self, hashes: np.ndarray) -> None:
+        """``hashes`` are sorted, distinct and new."""
+        self.hash = np.insert(self.hash, np.searchsorted(self.hash, hashes), hashes) if len(self.hash) + len(hashes) <= KNOWN else hashes
+
+
 class Landmarks:
     """The landmarks' triples, for kernel values of many words at once."""
 
@@ -176,6 +192,7 @@ class Landmarks:
                 continue
             reach = np.bincount(owner, self.most[row] * weight, len(s)) >= least * norm
             keep = np.flatnonzero(reach[owner])
+            keep = keep[np.argsort(owner[keep].astype(np.int16), kind="stable")]  # range after range, so that sums stay in cache
             row, owner, weight = row[keep], owner[keep], weight[keep]
             n = self.count[row]
             place = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -184,23 +201,33 @@ class Landmarks:
             out[lo : lo + len(s)] = sums.reshape(len(s), k) / norm[:, None]
         return np.minimum(out, 1.0)  # norms count a triple that a word holds twice as two
 
-    def near(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The highest kernel value of all readings of each byte range with each landmark, of the readings that reach ``NEAR``."""
+    def near(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, far: Far) -> np.ndarray:
+        """The highest kernel value of all readings of each byte range with each landmark, of the readings that reach ``NEAR``; ``far`` has readings that do not, and gets those that are found."""
         out = np.zeros((len(start), len(self.names)), np.float32)
         body, a, b, owner = readings(data, start, end, self.sizes)
-        for lo in range(0, len(a), RANGES):
+        distinct, first, kind = np.unique(Texts(0, body, np.array([0, len(body)])).hashes(a, b), return_index=True, return_inverse=True)
+        new = np.flatnonzero(~far.holds(distinct))
+        a, b, place, found = a[first[new]], b[first[new]], np.full(len(distinct), -1), []
+        for lo in range(0, len(new), RANGES):
             values = self.kernel(body, a[lo : lo + RANGES], b[lo : lo + RANGES], NEAR)
-            hit = values.max(1) >= NEAR
-            np.maximum.at(out, owner[lo : lo + RANGES][hit], values[hit])
+            hit = np.flatnonzero(values.max(1) >= NEAR)
+            place[new[lo + hit]] = sum(map(len, found)) + np.arange(len(hit))
+            found.append(values[hit])
+        far.add(distinct[new[place[new] < 0]])
+        at = np.flatnonzero(place[kind] >= 0)
+        if len(at):
+            at = at[np.argsort(owner[at], kind="stable")]
+            head = np.flatnonzero(np.concatenate(([True], owner[at[1:]] != owner[at[:-1]])))
+            out[owner[at[head]]] = np.maximum.reduceat(np.concatenate(found)[place[kind[at]]], head, axis=0)
         return out
 
 
 class Reader:
-    """Finds, in a task, the words near a landmark; the hashes of other words are kept, up to ``KNOWN``, and not computed again."""
+    """Finds, in a task, the words near a landmark; the hashes of other words, and of their readings, are kept, up to ``KNOWN``, and not computed again."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.far = np.zeros(0, np.uint64)
+        self.far, self.readings = Far(), Far()
 
     def sentences(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(kernel values, text) of every sentence with a word near a landmark, the highest value of its words with each; and the words of each text."""
@@ -211,14 +238,10 @@ class Reader:
         if not len(start) or not self.landmarks.names:
             return none
         distinct, first, kind = np.unique(low.hashes(start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.far, distinct)
-        known = (at < len(self.far)) & (self.far[np.minimum(at, len(self.far) - 1)] == distinct) if len(self.far) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
-        values = self.landmarks.near(low.data, start[first[new]], end[first[new]])
+        new = np.flatnonzero(~self.far.holds(distinct))
+        values = self.landmarks.near(low.data, start[first[new]], end[first[new]], self.readings)
         close = values.max(1) >= NEAR
-        far = distinct[new[~close]]
-        # both are sorted
-        self.far = np.insert(self.far, np.searchsorted(self.far, far), far) if len(self.far) + len(far) <= KNOWN else far
+        self.far.add(distinct[new[~close]])
         place = np.full(len(distinct), -1)
         place[new[close]] = np.arange(int(close.sum()))
         hit = np.flatnonzero(place[kind] >= 0)
