@@ -198,6 +198,28 @@ class TextIds:
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
+RANK = StructType([StructField("__task", IntegerType()), StructField("__nth", LongType())])
+
+
+class Ranks:
+    """Columns ``RANK`` of a task's rows: the task, and a row's number among the rows of its length that the task has met."""
+
+    def __init__(self, capacity: int):
+        from pyspark import TaskContext
+
+        self.task, self.seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+    def __call__(self, length: np.ndarray) -> list[pa.Array]:
+        order = np.argsort(length, kind="stable")
+        s = length[order]
+        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+        run = np.diff(np.concatenate((head, [len(s)])))
+        nth = np.empty(len(s), np.int64)
+        nth[order] = np.arange(len(s)) - np.repeat(head, run) + np.repeat(self.seen[s[head]], run)
+        self.seen[s[head]] += run
+        return [pa.array(np.full(len(s), self.task, np.int32)), pa.array(nth)]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text", end: int = END, keep_ids: bool = True) -> DataFrame:
     """The token pieces of every row: its columns but the text, and ``piece, start, length, ids``.
 
@@ -207,14 +229,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "t
     at multiples of ``capacity``. Repeated rows are rows of their own; an empty table
     gives an empty one; columns with the names of new ones are replaced.
     """
+    return _pieces(docs, tokenizer, capacity, text, end, keep_ids, False)
+
+
+def _pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, end: int, keep_ids: bool, ranked: bool) -> DataFrame:
+    """:func:`pieces`, with the columns of :class:`Ranks` if ``ranked``."""
     last_field = StructField("ids", BinaryType()) if keep_ids else StructField("ids_crc32", LongType())
-    new = StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), last_field])
+    new = StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), last_field, *(RANK.fields if ranked else [])])
     base = without(docs, new.fieldNames())
     kept = [f for f in base.schema.fields if f.name != text]
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids = TextIds(tokenizer)
+        ids, ranks = TextIds(tokenizer), Ranks(capacity) if ranked else None
         for b in batches:
             for lo, bodies in ids(b.column(b.schema.get_field_index(text))):
                 part = b.slice(lo, len(bodies))
@@ -226,9 +253,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "t
                         row.append(i), piece.append(k // (4 * capacity)), start.append(k // 4), size.append(len(cut) // 4), out.append(cut if keep_ids else zlib.crc32(cut))
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(f.name)).take(take) for f in kept] + [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary() if keep_ids else pa.int64())],
+                    [part.column(part.schema.get_field_index(f.name)).take(take) for f in kept] + [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary() if keep_ids else pa.int64())]
+                    + (ranks(np.array(size, np.int64)) if ranks else []),
                     names=[f.name for f in kept] + new.fieldNames())
             hand_back()
+        del ids
+        hand_back()  # the tokenizer too
 
     return base.mapInArrow(run, StructType(kept + new.fields))
 
@@ -400,28 +430,22 @@ def pack(parts: DataFrame, capacity: int = 4096, rounds: int = ROUNDS) -> DataFr
     without ordering rows, so one length may hold all of them. An empty table gives
     an empty one; equal rows get places of their own.
     """
-    spark = parts.sparkSession
-    new = StructType([StructField("__task", IntegerType()), StructField("__nth", LongType())])
 
     def start():
-        from pyspark import TaskContext
+        ranks = Ranks(capacity)
+        return lambda batch: ranks(batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False))
 
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    return _place(stage(add_columns(without(parts, ["sequence_id", "offset"]), RANK, start)), capacity, rounds)
 
-        def step(batch):
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            s = length[order]
-            head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-            run = np.diff(np.concatenate((head, [len(s)])))
-            nth = np.empty(len(s), np.int64)
-            nth[order] = np.arange(len(s)) - np.repeat(head, run) + np.repeat(seen[s[head]], run)
-            seen[s[head]] += run
-            return [pa.array(np.full(len(s), task, np.int32)), pa.array(nth)]
 
-        return step
+def pack_texts(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text", end: int = END, keep_ids: bool = True, rounds: int = ROUNDS) -> DataFrame:
+    """:func:`pack` of the :func:`pieces` of ``docs``, which get their numbers where they are cut: ids pass one Python step before they are written, not two side by side in an executor's memory."""
+    return _place(stage(_pieces(without(docs, ["sequence_id", "offset"]), tokenizer, capacity, text, end, keep_ids, True)), capacity, rounds)
+
 
-    rows = stage(add_columns(without(parts, ["sequence_id", "offset"]), new, start))
+def _place(rows: DataFrame, capacity: int, rounds: int) -> DataFrame:
+    """Staged rows with ``length`` and the columns of :class:`Ranks`, these replaced by ``sequence_id`` and ``offset``."""
+    spark = rows.sparkSession
     held = rows.groupBy("length", "__task").agg(F.count(F.lit(1)).alias("__n"))
     plan = Plan({r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("__n").alias("n")).collect()}, capacity, rounds)  # at most ``capacity`` rows
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
@@ -451,5 +475,5 @@ def pack(parts: DataFrame, capacity: int = 4096, rounds: int = ROUNDS) -> DataFr
 
     # rows may carry their token ids: they stay where they are while the bases are few
     ranked = rows.join(if_small(base), ["length", "__task"]).withColumn("__rank", F.col("__base") + F.col("__nth")).drop("__base", "__nth", "__task")
-    names = [c for c in without(parts, ["sequence_id", "offset"]).columns]
+    names = [c for c in rows.columns if c not in RANK.fieldNames()]
     return add_columns(ranked, place, find).select(*names, "sequence_id", "offset")
