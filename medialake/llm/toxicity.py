@@ -16,6 +16,7 @@ sentences.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ REACH = 5  # most letters from the first to the last of a triple
 NEAR = 0.45  # kernel value from which a word is looked at
 WHOLE = 4  # fewest letters of a window, and of a reading of every second letter
 RANGES = 20_000  # compared at once
-KNOWN = 1_000_000  # words, and readings of words, far from all landmarks that a task keeps
+GROUPS = 32  # of landmarks; what is far from all landmarks of a group is found by one sum
+SHORT = 24  # most letters of a range that is compared with groups first
+KNOWN = 4_000_000  # words, and readings of words, far from all landmarks that a Python worker keeps
+KEPT = 200_000  # words near a landmark whose kernel values a Python worker keeps
 SENTENCES = 4  # of a labelled document, the nearest to landmarks
 
 _GAPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH) if a + b <= REACH]
@@ -130,20 +134,70 @@ def readings(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: list[i
     return np.concatenate((text, text[half])), *(np.concatenate(x).astype(np.int64) for x in zip(*out))
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, a place of each, and the number of each hash among them; ``np.unique`` sorts more slowly where it is asked for the first places."""
+    distinct, kind = np.unique(hashes, return_inverse=True)
+    place = np.empty(len(distinct), np.int64)
+    place[kind] = np.arange(len(hashes))
+    return distinct, place, kind
+
+
+def _places(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    return np.where(table[at] == hashes, at, -1)
+
+
 class Far:
-    """Sorted hashes of what is far from all landmarks; beyond ``KNOWN`` only what came last."""
+    """Sorted hashes of what is far from all landmarks; beyond ``KNOWN`` only what came last. New ones lie apart until they are many, so that few of them do not move all others."""
 
     def __init__(self):
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = self.late = np.zeros(0, np.uint64)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.zeros(len(hashes), bool)
-        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] == hashes
+        return (_places(self.hash, hashes) >= 0) | (_places(self.late, hashes) >= 0)
 
     def add(self, hashes: np.ndarray) -> None:
         """``hashes`` are sorted, distinct and new."""
-        self.hash = np.insert(self.hash, np.searchsorted(self.hash, hashes), hashes) if len(self.hash) + len(hashes) <= KNOWN else hashes
+        if len(self.hash) + len(self.late) + len(hashes) > KNOWN:
+            self.hash, self.late = hashes, hashes[:0]
+            return
+        self.late = np.insert(self.late, np.searchsorted(self.late, hashes), hashes)
+        if len(self.late) > len(self.hash) // 8:
+            self.hash, self.late = np.insert(self.hash, np.searchsorted(self.hash, self.late), self.late), self.late[:0]
+
+
+class Near:
+    """Kernel values of words near a landmark, by the words' sorted hashes; beyond ``KEPT`` only what came last."""
+
+    def __init__(self, landmarks: int):
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.values = np.empty((KEPT, landmarks), np.float32)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of ``values`` of each word, or -1."""
+        at = _places(self.hash, hashes)
+        return np.append(self.row, -1)[at]
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """``hashes`` are sorted, distinct and new."""
+        hashes, values = hashes[:KEPT], values[:KEPT]
+        if len(self.hash) + len(hashes) > KEPT:
+            self.hash, self.row = self.hash[:0], self.row[:0]
+        row, at = len(self.hash) + np.arange(len(hashes)), np.searchsorted(self.hash, hashes)
+        self.values[row] = values
+        self.hash, self.row = np.insert(self.hash, at, hashes), np.insert(self.row, at, row)
+
+
+def highest(values: np.ndarray, row: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The highest of ``values[row]``, column by column, in each run of ``row``; runs begin at ``head``, and those of one length are taken together."""
+    out, count = np.empty((len(head), values.shape[1]), values.dtype), np.diff(head, append=len(row))
+    for n in np.unique(count).tolist():
+        at = np.flatnonzero(count == n)
+        out[at] = values[row[head[at][:, None] + np.arange(n)]].max(1)
+    return out
 
 
 class Landmarks:
@@ -162,50 +216,75 @@ class Landmarks:
         self.row[distinct] = np.arange(len(distinct))
         weights = np.zeros((len(distinct), len(names)), np.float32)
         np.add.at(weights, (at, owner), weight / norm[owner])
-        self.most = weights.max(1) if len(names) else np.zeros(0, np.float32)
+        # landmarks go to the nearest of some that are far apart; the last row is that of triples in no landmark
+        alike, seeds = weights.T @ weights, [0]
+        while len(seeds) < min(GROUPS, len(names)):
+            seeds.append(int(alike[:, seeds].max(1).argmin()))
+        group = alike[:, seeds].argmax(1) if names else np.zeros(0, np.int64)
+        self.most = np.stack([np.append(weights[:, group == g].max(1, initial=0), np.float32(0)) for g in range(len(seeds))], 1)
         # a triple lies in few landmarks: their numbers and weights, triple after triple
         row, self.column = np.nonzero(weights)
         self.value = weights[row, self.column]
         self.count = np.bincount(row, minlength=len(distinct))
         self.first = np.cumsum(self.count) - self.count
 
+    @cached_property
+    def reader(self) -> Reader:
+        """A reader that lives as long as the landmarks do in a Python worker, so that a task knows the words of earlier tasks."""
+        return Reader(self)
+
     def __getstate__(self):
         return self.names
 
     def __setstate__(self, names):
         self.__init__(names)
 
-    def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0) -> np.ndarray:
-        """Normalised kernel of each byte range with each landmark; 0 for those that cannot reach ``least`` with any.
+    def reach(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A value that no kernel value of a byte range exceeds; 1 for ranges of more than ``SHORT`` letters.
 
-        A triple adds no more than its highest weight in a landmark, so a sum of
-        these bounds all landmarks at once.
+        A triple adds no more than its highest weight in a group of landmarks, so a
+        sum of these bounds the whole group. Ranges of one length have their triples,
+        and so their norm, in common.
         """
+        out, code = np.ones(len(start)), _CODE[data]
+        place = np.concatenate(([0], np.cumsum(code > 0)))
+        code, first, letters = code[code > 0], place[start], place[end] - place[start]
+        for n in np.unique(letters[(letters > 0) & (letters <= SHORT)]).tolist():
+            gaps = [(a, b, n + 2 - a - b) for a, b in _GAPS if a + b < n + 2]
+            weight = np.repeat([DECAY ** (a + b - 2) for a, b, _ in gaps], [m for _, _, m in gaps])
+            same = np.flatnonzero(letters == n)
+            for at in np.split(same, range(500, len(same), 500)):
+                word = np.full((len(at), n + 2), _HEAD)
+                word[:, 1:-1] = code[first[at][:, None] + np.arange(n)]
+                word[:, -1] = _TAIL
+                key = np.hstack([(word[:, :m] * _BASE + word[:, a : a + m]) * _BASE + word[:, a + b :] for a, b, m in gaps])
+                out[at] = (weight.astype(np.float32) @ self.most.take(self.row.take(key), 0)).max(1) / np.sqrt((weight**2).sum())
+        return out * (1 + 1e-4)  # sums are rounded
+
+    def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, least: float = 0.0) -> np.ndarray:
+        """Normalised kernel of each byte range with each landmark; 0 for those that cannot reach ``least`` with any."""
         out = np.zeros((len(start), len(self.names)), np.float32)
-        for lo in range(0, len(start), 2000):
-            s, e = start[lo : lo + 2000], end[lo : lo + 2000]
-            (key, owner, weight), norm = triples(data, s, e)
-            row = self.row[key]
+        able = np.flatnonzero(self.reach(data, start, end) >= least) if least else np.arange(len(start))
+        for lo in range(0, len(able), 1000):
+            at = able[lo : lo + 1000]
+            (key, owner, weight), norm = triples(data, start[at], end[at])
+            row = self.row.take(key)
             hit = row >= 0
             row, owner, weight = row[hit], owner[hit], weight[hit]
             if not len(row):
                 continue
-            reach = np.bincount(owner, self.most[row] * weight, len(s)) >= least * norm
-            keep = np.flatnonzero(reach[owner])
-            keep = keep[np.argsort(owner[keep].astype(np.int16), kind="stable")]  # range after range, so that sums stay in cache
-            row, owner, weight = row[keep], owner[keep], weight[keep]
             n = self.count[row]
             place = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
             k = len(self.names)
-            sums = np.bincount(np.repeat(owner * k, n) + self.column[place], np.repeat(weight, n) * self.value[place], len(s) * k)
-            out[lo : lo + len(s)] = sums.reshape(len(s), k) / norm[:, None]
+            sums = np.bincount(np.repeat(owner * k, n) + self.column[place], np.repeat(weight, n) * self.value[place], len(at) * k)
+            out[at] = sums.reshape(len(at), k) / norm[:, None]
         return np.minimum(out, 1.0)  # norms count a triple that a word holds twice as two
 
     def near(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, far: Far) -> np.ndarray:
         """The highest kernel value of all readings of each byte range with each landmark, of the readings that reach ``NEAR``; ``far`` has readings that do not, and gets those that are found."""
         out = np.zeros((len(start), len(self.names)), np.float32)
         body, a, b, owner = readings(data, start, end, self.sizes)
-        distinct, first, kind = np.unique(Texts(0, body, np.array([0, len(body)])).hashes(a, b), return_index=True, return_inverse=True)
+        distinct, first, kind = _distinct(Texts(0, body, np.array([0, len(body)])).hashes(a, b))
         new = np.flatnonzero(~far.holds(distinct))
         a, b, place, found = a[first[new]], b[first[new]], np.full(len(distinct), -1), []
         for lo in range(0, len(new), RANGES):
@@ -218,16 +297,16 @@ class Landmarks:
         if len(at):
             at = at[np.argsort(owner[at], kind="stable")]
             head = np.flatnonzero(np.concatenate(([True], owner[at[1:]] != owner[at[:-1]])))
-            out[owner[at[head]]] = np.maximum.reduceat(np.concatenate(found)[place[kind[at]]], head, axis=0)
+            out[owner[at[head]]] = highest(np.concatenate(found), place[kind[at]], head)
         return out
 
 
 class Reader:
-    """Finds, in a task, the words near a landmark; the hashes of other words, and of their readings, are kept, up to ``KNOWN``, and not computed again."""
+    """Finds the words near a landmark; their kernel values are kept, up to ``KEPT``, as are the hashes of other words and of their readings, up to ``KNOWN``, and not computed again."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.far, self.readings = Far(), Far()
+        self.far, self.readings, self.known = Far(), Far(), Near(len(landmarks.names))
 
     def sentences(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(kernel values, text) of every sentence with a word near a landmark, the highest value of its words with each; and the words of each text."""
@@ -237,19 +316,22 @@ class Reader:
         none = np.zeros((0, len(self.landmarks.names)), np.float32), np.zeros(0, np.int64), count
         if not len(start) or not self.landmarks.names:
             return none
-        distinct, first, kind = np.unique(low.hashes(start, end), return_index=True, return_inverse=True)
-        new = np.flatnonzero(~self.far.holds(distinct))
+        distinct, first, kind = _distinct(low.hashes(start, end))
+        row = self.known.rows(distinct)
+        old, new = np.flatnonzero(row >= 0), np.flatnonzero((row < 0) & ~self.far.holds(distinct))
         values = self.landmarks.near(low.data, start[first[new]], end[first[new]], self.readings)
         close = values.max(1) >= NEAR
         self.far.add(distinct[new[~close]])
+        values, near = np.concatenate((self.known.values[row[old]], values[close])), np.concatenate((old, new[close]))
+        self.known.add(distinct[near[len(old) :]], values[len(old) :])
         place = np.full(len(distinct), -1)
-        place[new[close]] = np.arange(int(close.sum()))
+        place[near] = np.arange(len(near))
         hit = np.flatnonzero(place[kind] >= 0)
         if not len(hit):
             return none
         s = sentence[hit]
         head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        return np.maximum.reduceat(values[close][place[kind[hit]]], head, axis=0), text[s[head]], count
+        return highest(values, place[kind[hit]], head), text[s[head]], count
 
 
 @dataclass
@@ -261,7 +343,7 @@ class Model:
     doc: np.ndarray  # weights of the document's features, bias last
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        return values**POWER @ self.root @ self.weight + self.bias
+        return values**POWER @ (self.root @ self.weight) + self.bias
 
     def probability(self, margins: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
         z = _document(margins, text, words) @ self.doc[:-1] + self.doc[-1]
@@ -360,7 +442,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     shared = docs.sparkSession.sparkContext.broadcast(landmarks)
 
     def read(batches):
-        reader = Reader(shared.value)
+        reader = shared.value.reader
         for b in batches:
             ids, y = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "label"))
             for t in slices(b.column(b.schema.get_field_index("text"))):
@@ -424,7 +506,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def start():
         m = shared.value
-        reader = Reader(m.landmarks)
+        reader = m.landmarks.reader
 
         def step(batch):
             parts = []
