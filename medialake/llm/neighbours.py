@@ -6,10 +6,12 @@ the smallest distance. A block of vectors keeps one sorted array for each random
 projection. A query opens a window around its own projection in every array and
 counts how often each vector lies in a window; windows widen step by step
 (virtual rehashing), and vectors whose count reaches the threshold are verified
-with their exact inner product, until enough of the block has been verified.
+with their exact inner product, until enough of the block has been verified. Most
+queries end at one of two steps, so the search for a query's last step begins
+where the queries before it ended.
 
-Blocks of queries meet blocks of vectors: each pair is one task's group of
-bounded size, and only the best of each pair go on to the next shuffle.
+Blocks of queries meet strips of blocks of vectors: each pair is one task's group
+of bounded size, and only the best of each pair go on to the next shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from medialake.operators.ordered import stage
 
@@ -27,6 +30,11 @@ WIDTH, WIDER = 1.3, 1.15  # half of the first window, and its growth
 VERIFY = 0.12  # part of a block that a query verifies at least, beside those it looks for
 USUAL = 0.9  # quantile of the lengths in a block; longer vectors are verified for every query, so that they do not squeeze the others together
 BLOCK = 4096
+STRIP = 4  # most blocks of vectors that a block of queries meets in one task
+GROUPS = 8  # for each core, at least, before blocks go into strips
+TASKS, TASKS_MOST = 4, 2000  # partitions for each group, so that few groups share one, and the most of all
+TILE = 64  # queries that are worked on together
+HALVES = np.cumprod([WIDTH] + [WIDER] * 200)  # of the windows, step by step; the last spans all projections of unit vectors
 
 
 def _projections(dim: int, seed: int = 20) -> np.ndarray:
@@ -34,10 +42,10 @@ def _projections(dim: int, seed: int = 20) -> np.ndarray:
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components, so that equal vectors score equally wherever they lie."""
+    """Inner products with one query, or with one for each vector, in double precision, summed in the order of the components, so that equal vectors score equally wherever they lie."""
     out = np.zeros(len(vectors))
     for d in range(vectors.shape[1]):
-        out += vectors[:, d] * query[d]
+        out += vectors[:, d] * query[..., d]
     return out
 
 
@@ -63,38 +71,76 @@ class Index:
 
     def search(self, keys: np.ndarray, queries: np.ndarray, k: int):
         """(ids, scores) for each query: the best ``k`` of the vectors it verified, without its own row."""
-        n, need = len(self.ids), max(1, round(THRESHOLD * PROJECTIONS))
-        enough = min(n, k + 1 + int(VERIFY * n))
+        found, start = [], 0
+        for lo in range(0, len(queries), TILE):
+            some = queries[lo : lo + TILE]
+            near, step = self.collided(some, min(len(self.ids), k + 1 + int(VERIFY * len(self.ids))), start)
+            found += self.best(keys[lo : lo + TILE], some, near, k)
+            start = max(int(np.median(step)) - 1, 0)  # the next queries end nearby
+        return found
+
+    def collided(self, queries: np.ndarray, enough: int, start: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the first step of the windows at which ``enough`` vectors collide, or all lie in them, and these vectors.
+
+        The windows of a step hold those of the steps before, so that steps are
+        tried from ``start`` on, upwards until there are enough and downwards until
+        there are not.
+        """
+        n, need, kind = len(self.ids), max(1, round(THRESHOLD * PROJECTIONS)), self.place.dtype
         unit = queries / np.abs(queries).max(1, keepdims=True)
         at = np.hstack([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros((len(queries), 1))]) @ self.axes
-        found: list = [None] * len(queries)
-        kind = self.place.dtype
-        open_, half = np.arange(len(queries)), WIDTH
+        near: list = [None] * len(queries)
+        step, short = np.full(len(queries), start), np.full(len(queries), -1)  # short: the last step that has too few
+        open_ = np.arange(len(queries))
         while len(open_):
-            here = at[open_]
+            here, half = at[open_], HALVES[step[open_]]
             first = np.stack([np.searchsorted(s, x - half) for s, x in zip(self.sorted, here.T)], 1)
             size = np.stack([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, here.T)], 1) - first
-            still = []
-            for r, i in enumerate(open_.tolist()):
+            whole = size.min(1) == n
+            hits = np.zeros((len(open_), n), np.uint8 if PROJECTIONS < 256 else np.uint16)
+            for place, a, m in zip(self.place, first.astype(kind).T, size.astype(kind).T):
                 # unsigned: places before the window wrap round and lie beyond it
-                inside = self.place - first[r].astype(kind)[:, None] < size[r].astype(kind)[:, None]
-                near = np.flatnonzero(inside.view(np.uint8).sum(0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16) >= need)
-                if len(near) < enough and size[r].min() < n:
-                    still.append(i)
-                    continue
-                if len(self.long):
-                    near = np.union1d(near, self.long)
-                near = near[self.ids[near] != keys[i]]
-                score = exact(self.vectors[near], queries[i])
-                best = np.lexsort((self.ids[near], -score))[:k]
-                found[i] = self.ids[near][best], score[best]
-            open_, half = np.array(still, np.int64), half * WIDER
-        return found
+                hits += (place - a[:, None] < m[:, None]).view(np.uint8)
+            close = hits >= need
+            done = (np.count_nonzero(close, 1) >= enough) | whole
+            for r in np.flatnonzero(done).tolist():
+                near[open_[r]] = np.flatnonzero(close[r])
+            short[open_[~done]] = step[open_[~done]]
+            step[open_] += np.where(done, -1, [near[i] is None for i in open_.tolist()])
+            open_ = open_[step[open_] > short[open_]]
+        return near, short + 1
+
+    def best(self, keys: np.ndarray, queries: np.ndarray, near: list[np.ndarray], k: int):
+        """(ids, scores) of the best ``k`` of each query's vectors, and of those longer than usual.
+
+        A matrix product, which sums in any order, leaves the vectors that may be
+        among the best, within what rounding can change; only these are scored exactly.
+        """
+        dim, may = self.vectors.shape[1], []
+        with np.errstate(over="ignore", invalid="ignore"):  # nothing is left out where products are not finite
+            rough = queries @ self.vectors.T
+            most = dim * np.abs(self.vectors).max() * np.abs(queries).max(1)  # of a product, and of its partial sums
+        error = dim * 1e-15 * most + np.finfo(float).tiny
+        for i, (key, at) in enumerate(zip(keys, near)):
+            if len(self.long):
+                at = np.union1d(at, self.long)
+            at = at[self.ids[at] != key]
+            if len(at) > k and np.isfinite(most[i]):
+                values = rough[i, at]
+                at = at[values >= np.partition(values, -k)[-k] - error[i]]
+            may.append(at)
+        count = np.array([len(at) for at in may])
+        at, owner = np.concatenate(may), np.repeat(np.arange(len(may)), count)
+        score = exact(self.vectors[at], queries[owner])
+        order = np.lexsort((self.ids[at], -score, owner))
+        at, score = at[order], score[order]
+        return [(self.ids[at[a : a + min(k, c)]], score[a : a + min(k, c)]) for a, c in zip((np.cumsum(count) - count).tolist(), count.tolist())]
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """``vec_id, v`` (array of double) of the vectors that take part: with an id, not null, not zero, all components finite."""
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
+    """``vec_id, v`` (array of float if it was one, else of double) of the vectors that take part: with an id, not null, not zero, all components finite."""
+    (kind,) = vectors.select(column).schema
+    v = F.col(column) if kind.dataType.elementType in (FloatType(), DoubleType()) else F.transform(column, lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
@@ -119,25 +165,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     parts = stage(n_asked)
     right = asked.withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim").join(F.broadcast(parts), "dim")
     right = right.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))
-    # every block of vectors goes to every block of queries, blocks and not rows being multiplied
-    left = left.join(F.broadcast(parts), "dim").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.withColumn("vb", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = ["dim", "vb", "qb"]
+    # every block of vectors goes to every block of queries, blocks and not rows being multiplied; a group has a strip of blocks
+    pairs, spark = sizes.join(parts, "dim").agg(F.sum(blocks * F.col("parts"))).first()[0] or 1, pool.sparkSession
+    strip = min(STRIP, max(1, pairs // (GROUPS * spark.sparkContext.defaultParallelism)))
+    left = left.join(F.broadcast(parts), "dim").withColumn("strip", F.floor(F.col("vb") / strip).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.withColumn("strip", F.explode(F.sequence(F.lit(0), F.ceil(blocks / strip).cast("int") - 1)))
+    groups = ["dim", "strip", "qb"]
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        index = Index(a["vec_id"].to_numpy(), _matrix(a["v"]))
-        keys = b["vec_id"].to_numpy()
-        found = index.search(keys, _matrix(b["v"]), k)
-        return pa.table([pa.array(np.repeat(keys, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], schema=schema)
-
-    local = left.select(*groups, "vec_id", "v").groupBy(*groups).cogroup(right.select(*groups, "vec_id", "v").groupBy(*groups)).applyInArrow(search, "query_id long, vec_id long, score double")
+        keys, vectors, queries = b["vec_id"].to_numpy(), a["v"], _matrix(b["v"])
+        owner, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        of, every = a["vb"].to_numpy(), a["vec_id"].to_numpy()
+        for one in np.unique(of) if len(keys) else []:
+            at = np.flatnonzero(of == one)
+            found = Index(every[at], _matrix(vectors.take(at))).search(keys, queries, k)
+            owner = np.concatenate((owner, np.repeat(np.arange(len(keys)), [len(i) for i, _ in found])))
+            ids, score = np.concatenate((ids, *(i for i, _ in found))), np.concatenate((score, *(s for _, s in found)))
+            order = np.lexsort((ids, -score, owner))
+            order = order[np.arange(len(order)) - np.searchsorted(owner[order], owner[order]) < k]
+            owner, ids, score = owner[order], ids[order], score[order]
+        return pa.table({"query_id": keys[owner], "vec_id": ids, "score": score})
+
+    # a group is small but takes long, so it is dealt out by number: Spark would merge partitions by their bytes
+    tasks = max(min(TASKS * -(-pairs // strip), TASKS_MOST), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = left.select(*groups, "vb", "vec_id", "v").repartition(tasks, *groups).groupBy(*groups)
+    right = right.select(*groups, "vec_id", "v").repartition(tasks, *groups).groupBy(*groups)
+    local = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
-    return column.flatten().to_numpy().reshape(len(column), -1)
+    return column.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(column), -1)
